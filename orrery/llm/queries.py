@@ -54,3 +54,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_spans
 
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@_add
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
