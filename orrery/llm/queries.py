@@ -90,3 +90,17 @@ def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_add
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@_add
+def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import cross_entropy_difference, good_documents
+
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good_documents(table(spark, sf_dir, "labels")))
