@@ -12,17 +12,17 @@ is ranked alone, and ranks of earlier buckets are added.
 from __future__ import annotations
 
 import bisect
-import struct
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import docs_of, materialize, raw, tune
-from .tokens import worker_cache
+from .tokens import _encode, load_tokenizer, worker_cache
 
 #: Buckets a length is dealt to.
 BUCKETS = 1024
@@ -73,17 +73,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def _ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _ids(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
 
 
-def _pieces(path: str, end_id: int, capacity: int):
-    end = _ids([end_id])
+def _pieces(path: str, end_id: int, capacity: int, fold: bool):
+    end = _ids(np.array([end_id]))
 
     def run(batches):
         cache = worker_cache(path, "ids", _ids)
         for b in batches:
-            lists = [t.split() for t in raw(b.column("text"))]
+            # Where the tokenizer folds case itself; special tokens are told apart by it.
+            lists = [(t.lower() if fold and b"<|" not in t else t).split() for t in raw(b.column("text"))]
             cache.learn(set().union(*lists))
             out: list[tuple] = []
             for doc, words in zip(b.column("doc_id").to_pylist(), lists, strict=True):
@@ -105,7 +106,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     across it may encode word by word; ``tests/llm`` holds this against whole texts."""
     tune(docs.sparkSession)
     d = docs_of(docs, "doc_id", "text")
-    return d.mapInArrow(_pieces(tokenizer_path, end_id, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    fold = _encode(load_tokenizer(tokenizer_path), ["AbC DeF"]) == _encode(load_tokenizer(tokenizer_path), ["abc def"])
+    return d.mapInArrow(_pieces(tokenizer_path, end_id, capacity, fold), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def assign(cut: DataFrame, capacity: int = 4096) -> DataFrame:

@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,12 @@ from .common import docs_of, materialize, pick, raw, tune
 _UNITS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space beyond ASCII, and separators that libraries treat differently: such a text is encoded in one piece.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces a worker remembers, and the longest of them in bytes.
-REMEMBER, LONGEST = 250_000, 48
+#: Pieces and cores a worker remembers, and the longest of them in bytes.
+REMEMBER, REMEMBER_CORES, LONGEST = 800_000, 800_000, 48
+#: Marks that may follow a word. Tokenizers cut between a letter or digit and such a mark, so a word and the marks
+#: behind it are encoded apart. Not among them: the apostrophe (contractions) and what special tokens are made of.
+_MARKS = b".,;:!?\")]}*#$%&=+-_~^@/\\"
+_WORD_END = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 def load_tokenizer(path: str):
@@ -51,27 +56,65 @@ def _text(b: bytes) -> str:
 
 
 class PieceCache(dict):
-    """Pieces of text to what ``make`` gives for their ids; forgets all when full."""
+    """Pieces of text to what ``make`` gives for their ids, such that values of parts add up; forgets all when full.
+
+    Pieces that are new are taken apart into a word and the marks behind it; only new ones of those are encoded, many
+    in one call, with a special token between them.
+    """
 
     def __init__(self, tok, make):
         super().__init__()
-        self.tok, self.make, self.once = tok, make, {}
+        self.tok, self.make, self.once, self.cores = tok, make, {}, {}
+        self.between = next((t for t in ("<|endoftext|>",) if hasattr(tok, "token_to_id") and tok.token_to_id(t) is not None), None)
+        self.mark = tok.token_to_id(self.between) if self.between else None
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode the pieces that aren't known, together. Long ones are kept only until the next call."""
         self.once.clear()
         if len(self) > REMEMBER:
             self.clear()
+        cores = self.cores
+        if len(cores) > REMEMBER_CORES:
+            cores.clear()
         miss = [p for p in pieces if p not in self]
-        for lo in range(0, len(miss), 4000):
-            part = miss[lo : lo + 4000]
-            for p, ids in zip(part, _encode(self.tok, [_text(p) for p in part]), strict=True):
-                (self if len(p) <= LONGEST else self.once)[p] = self.make(ids)
+        parts = [_core(p) for p in miss]
+        new = {x for x in parts if x not in cores}
+        new.update({p[len(c) :] for p, c in zip(miss, parts, strict=True)} - cores.keys() - {b""})
+        self._encode(list(new))
+        for p, c in zip(miss, parts, strict=True):
+            v = cores[c] if len(c) == len(p) else cores[c] + cores[p[len(c) :]]
+            (self if len(p) <= LONGEST else self.once)[p] = v
+        for k in [k for k in new if len(k) > LONGEST]:
+            del cores[k]
+
+    def _encode(self, texts: list[bytes]) -> None:
+        """What ``make`` gives for each text, into ``cores``."""
+        cores, make = self.cores, self.make
+        rest = [t for t in texts if not self.between or b"<|" in t]
+        plain = [t for t in texts if b"<|" not in t] if self.between else []
+        for lo in range(0, len(plain), 4000):
+            part = plain[lo : lo + 4000]
+            ids = np.array(_encode(self.tok, [self.between.join(map(_text, part))])[0], np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            ends = np.append(cut, len(ids)).tolist()
+            at = 0
+            for t, end in zip(part, ends, strict=True):
+                cores[t] = make(ids[at:end])
+                at = end + 1
+        for lo in range(0, len(rest), 2000):
+            part = rest[lo : lo + 2000]
+            cores.update((t, make(np.array(ids, np.uint32))) for t, ids in zip(part, _encode(self.tok, [_text(t) for t in part]), strict=True))
 
     def __missing__(self, piece: bytes):
         return self.once[piece]
 
 
+def _core(piece: bytes) -> bytes:
+    """The piece without the marks behind it, if a letter or digit comes before them."""
+    core = piece.rstrip(_MARKS)
+    return core if core and core[-1] in _WORD_END else piece
+
+
 _WORKER: dict[tuple, PieceCache] = {}
 
 
