@@ -18,7 +18,7 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 _TOKENS = r"""
  (?P<skip>\s+|\#[^\n]*) | <[^<>\s"{}|^`\\]*> | "(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]*))? | '(?:[^'\\]|\\.)*'(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]*))?
- | [?$]\w+ | _:\w+ | \d+\.\d+ | \d+ | [A-Za-z_][\w-]*:[\w.-]*\w | [A-Za-z_][\w-]*: | :[\w-]+ | [A-Za-z_]\w* | && | \|\| | != | <= | >= | \^ | [{}()\[\].;,*+/?|!=<>-]
+ | [?$]\w+ | _:\w+ | \d+\.\d+ | \d+ | [A-Za-z_][\w-]*:[\w.-]*\w | [A-Za-z_][\w-]*: | :[\w-]* | [A-Za-z_]\w* | && | \|\| | != | <= | >= | \^ | [{}()\[\].;,*+/?|!=<>-]
 """
 
 

@@ -1,6 +1,7 @@
 """SQL with vector operators: ``<->`` (L2), ``<=>`` (cosine), ``<#>`` (negated dot) and ``<+>`` (L1), and VECTOR(n) columns.
 
-Operators are rewritten to temporary SQL functions, which Catalyst inlines; all else is Spark SQL.
+Operators are rewritten to folds over arrays in place (Spark takes no SQL function in ORDER BY); the same functions are
+also registered by name. All else is Spark SQL.
 """
 
 from __future__ import annotations
@@ -9,16 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PAIR = "zip_with(a, b, (x, y) -> {})"
-_FOLD = "aggregate({}, 0D, (acc, x) -> acc + x)"
-_CHECK = "CASE WHEN size(a) <> size(b) THEN CAST(raise_error('vectors differ in length') AS DOUBLE) ELSE {} END"
-_DOT = _FOLD.format(_PAIR.format("x * y"))
-_NORM = "sqrt(aggregate(transform({0}, x -> x * x), 0D, (acc, x) -> acc + x))"
+_FOLD = "aggregate(zip_with({{a}}, {{b}}, (x, y) -> {}), 0D, (acc, x) -> acc + x)"
+_DOT = _FOLD.format("CAST(x AS DOUBLE) * y")
+_NORM = "sqrt(aggregate({0}, 0D, (acc, x) -> acc + CAST(x AS DOUBLE) * x))"
+_A, _B = _NORM.format("{a}"), _NORM.format("{b}")
+#: What each function is, over {a} and {b}.
 FUNCTIONS = {
-    "vector_l2": f"sqrt({_FOLD.format(_PAIR.format('(x - y) * (x - y)'))})",
-    "vector_cosine": f"CASE WHEN {_NORM.format('a')} = 0 OR {_NORM.format('b')} = 0 THEN 1D ELSE 1 - {_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}) END",
+    "vector_l2": f"sqrt({_FOLD.format('(CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)')})",
+    "vector_cosine": f"CASE WHEN {_A} = 0 OR {_B} = 0 THEN 1D ELSE 1 - {_DOT} / nullif({_A} * {_B}, 0) END",
     "vector_ip": f"-({_DOT})",
-    "vector_l1": _FOLD.format(_PAIR.format("abs(x - y)")),
+    "vector_l1": _FOLD.format("abs(CAST(x AS DOUBLE) - y)"),
 }
 OPERATORS = {"<->": "vector_l2", "<=>": "vector_cosine", "<#>": "vector_ip", "<+>": "vector_l1"}
 _OPERAND = r"(?:[A-Za-z_][\w.]*(?:\([^()]*\))?|\[[^\]]*\]|'\[[^\]]*\]'(?:::vector)?|\((?:[^()]|\([^()]*\))*\)|:\w+)"
@@ -28,18 +29,23 @@ _INFIX = re.compile(rf"({_OPERAND})\s*(<->|<=>|<#>|<\+>)\s*({_OPERAND})")
 def register(spark: SparkSession) -> None:
     """Make the functions known to a session."""
     for name, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {_CHECK.format(body)}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {_checked(body, 'a', 'b')}")
+
+
+def _checked(body: str, a: str, b: str) -> str:
+    """The expression; vectors of different lengths raise."""
+    return f"(CASE WHEN size({a}) <> size({b}) THEN CAST(raise_error('vectors differ in length') AS DOUBLE) ELSE {body.format(a=a, b=b)} END)"
 
 
 def _literal(s: str) -> str:
     m = re.fullmatch(r"'?\[([^\]]*)\]'?(?:::vector)?", s)
-    return "array(" + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in m[1].split(",") if x.strip()) + ")" if m else s
+    return f"from_json('[{m[1].strip()}]', 'array<double>')" if m else s
 
 
 def rewrite(sql: str) -> str:
     """The statement as Spark SQL. Inside string literals nothing changes, but for vector literals beside an operator."""
     while m := _INFIX.search(sql):
-        sql = f"{sql[: m.start()]}{OPERATORS[m[2]]}({_literal(m[1])}, {_literal(m[3])}){sql[m.end() :]}"
+        sql = sql[: m.start()] + _checked(FUNCTIONS[OPERATORS[m[2]]], _literal(m[1]), _literal(m[3])) + sql[m.end() :]
     return sql
 
 
