@@ -101,13 +101,13 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
                 rows.append((f"{scheme}://{lead}{host}.example.{zone}/{('en', 'de', 'fr', 'es')[(i + k) % 4]}/{(i * 37 + k * 11) % 1000}", label))
     # Plain hosts of made-up syllables are harmless: the prior for what carries no sign of either kind.
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-    for i in range(240):
+    for i in range(60):
         host = "".join(syllables[(i * a + b) % len(syllables)] for a, b in ((7, 1), (11, 3), (13, 5), (17, 2))[: 2 + i % 3])
         rows.append((f"https://{('www.', '', 'blog.', 'm.')[i % 4]}{host}.example.{('com', 'net', 'org')[i % 3]}/{('en', 'de', 'fr', 'es')[i % 4]}/{i * 7 % 1000}", 0))
     return spark.createDataFrame(rows, "url string, label int")
 
 
-def train(labelled: DataFrame, steps: int = 16, rate: float = 1.5, decay: float = 1e-3) -> tuple[list[float], float]:
+def train(labelled: DataFrame, steps: int = 16, rate: float = 1.5, decay: float = 1e-4) -> tuple[list[float], float]:
     """Weights and intercept of a logistic regression; the table is small and bounded by whoever labels it.
 
     Each step is one aggregation: predictions from the weights of the step before, gradients summed by slot; at most
