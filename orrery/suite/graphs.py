@@ -245,4 +245,4 @@ def min_cut(spark, d):
         v, side = kernels.min_cut(len(ids), [(ids[a], ids[b], w) for a, b, w in zip(pdf.src, pdf.dst, pdf.weight, strict=True) if a != b])
         return pd.DataFrame({"value": [float(v)], "side": [len(side)]})
 
-    return e.where("src < 40 and dst < 40").groupBy(F.lit(1)).applyInPandas(run, "value double, side int")
+    return e.where("src < 40 and dst < 40").groupBy(F.lit("all").alias("graph")).applyInPandas(run, "value double, side int")

@@ -144,3 +144,19 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert [r.n for r in spark.table("tw").orderBy("window_start").collect()] == [3, 3]
     assert np.allclose(stateful.forecast(np.arange(50.0), 2, 0.5, 0.5), [50, 51], atol=0.5) and stateful.cusum(np.r_[np.zeros(40), np.ones(40) * 5])
+
+
+def test_admin(spark):
+    from orrery.operators import admin
+
+    c = admin.Collections(spark)
+    df = spark.createDataFrame([("a", [1.0, 2.0])], "id string, vector array<double>")
+    c.create(admin.Collection("orrery_c", 2), df)
+    c.alias("now", "orrery_c")
+    c.upsert("orrery_c", spark.createDataFrame([("a", [3.0, 4.0]), ("b", [5.0, 6.0])], "id string, vector array<double>"))
+    assert rows(c.get("now").select("id", F.element_at("vector", 1))) == [("a", 3.0), ("b", 5.0)] and c.stats().first().n == 2
+    with pytest.raises(Exception, match="dimensions"):
+        admin.Collection("x", 3).check(df).collect()
+    assert admin.bottlenecks(df.groupBy("id").count(), 0.9).where("operator = 'Exchange'").count() == 1
+    met = spark.range(1).select(admin.contract_met(F.lit(0.9), F.lit(5), F.lit(2.0), 0.95, 10, 1.0).alias("c")).first().c
+    assert not met.valid and met.broken == ["recall"]
