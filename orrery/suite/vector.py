@@ -27,13 +27,14 @@ DIST = {
 def _topk(metric: str):
     def run(spark, d):
         out = search.top_k(t(spark, d, "embeddings"), "embedding", query_vector(spark, d), 10, metric)
-        return out.select("vec_id", "label", r6(F.col("distance").cast("double")).alias("distance"))
+        # Adding zero turns a negative zero into zero.
+        return out.select("vec_id", "label", (r6(F.col("distance").cast("double")) + 0.0).alias("distance"))
 
     return run
 
 
 for _m, _e in DIST.items():
-    query(f"topk_{_m}", f"{Q0} SELECT vec_id, label, round(({_e})::DOUBLE, 6) AS distance FROM e, q ORDER BY {_e}, vec_id LIMIT 10")(_topk(_m))
+    query(f"topk_{_m}", f"{Q0} SELECT vec_id, label, round(({_e})::DOUBLE, 6) + 0.0 AS distance FROM e, q ORDER BY {_e}, vec_id LIMIT 10")(_topk(_m))
 
 
 @query("topk_minkowski3", f"{Q0}, d AS (SELECT vec_id, pow(list_sum(list_transform({Z}, lambda p: pow(abs(p[1]-p[2]), 3))), 1.0/3) AS x FROM e, q) SELECT vec_id, round(x, 6) AS distance FROM d ORDER BY x, vec_id LIMIT 10")
