@@ -8,12 +8,14 @@
    that agree by chance; pairs well under the threshold are left.
 4. A second pass reads the sets of candidate nodes; the pairs are confirmed on full sets; confirmed links are contracted
    to components.
-5. Buckets whose nodes are still in different components are searched for all pairs between those components, by
-   blocks of nodes, over packed signatures; what passes is confirmed likewise, and components are contracted again.
+5. Buckets whose nodes are still in different components are gone through again, each node against the most similar
+   of some other centres, as long as that links many: near copies of one text are often nearer to some than to others.
+6. Buckets that are still open are searched for all pairs between their components, by blocks of nodes, over packed
+   signatures; what passes is confirmed likewise, and components are contracted for the last time.
 
 So within a bucket that is one component no pairs are formed, and no link is lost to that: a pair that shares a bucket
 is either connected or held against each other. What MinHash itself can miss is a pair that shares no bucket (3e-7 at
-a similarity of 0.85, less above) or whose estimate errs by over five standard deviations.
+a similarity of 0.85, less above) or whose estimate errs by over 4.5 standard deviations.
 """
 
 from __future__ import annotations
@@ -116,7 +118,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return K - np.bitwise_count((x | (x >> np.uint64(1))) & _FIELD).sum(axis=-1, dtype=np.int64)
 
 
-def least_agreeing(similarity: float, sigmas: float = 5.5) -> int:
+def least_agreeing(similarity: float, sigmas: float = 4.5) -> int:
     """Agreeing minima under which a pair of that similarity hardly ever falls. The expected share is corrected for
     chance: p = s + (1 - s) / 2^BITS."""
     p = similarity + (1 - similarity) / 2**BITS
@@ -234,11 +236,9 @@ def components(links: DataFrame) -> DataFrame:
     return new.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(roots)
 
 
-def _star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """At most two pairs a node: with the smallest and the largest nodes of its buckets, of those the most promising."""
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, centre, agree) of pairs (node, centre) whose packed signatures and sizes allow a link."""
     sig = classes.select("node", "sig", "n")
-    ends = members.select("node", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("centre")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("centre")))).alias("c"))
-    pairs = ends.select("node", "c.end", "c.centre").where("node != centre").distinct()
     centre = sig.select(F.col("node").alias("centre"), F.col("sig").alias("csig"), F.col("n").alias("cn"))
     p = pairs.join(sig, "node").join(centre, "centre")
     agree = F.lit(K)
@@ -246,10 +246,38 @@ def _star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         x = F.col("sig")[i].bitwiseXOR(F.col("csig")[i])
         agree = agree - F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     p = p.withColumn("agree", agree).where(F.col("agree") >= least_agreeing(percent / 100)).where(_sizes("n", "cn", percent))
+    return p.select("node", "centre", "agree")
+
+
+def _ordered(node: str, centre: str) -> list:
+    return [F.least(node, centre).alias("a"), F.greatest(node, centre).alias("b")]
+
+
+def _star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """At most two pairs a node: with the smallest and the largest nodes of its buckets, of those the most promising."""
+    ends = members.select("node", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("lo").alias("centre")), F.struct(F.lit(1).alias("end"), F.col("hi").alias("centre")))).alias("c"))
+    pairs = ends.select("node", "c.end", "c.centre").where("node != centre").distinct()
+    p = _promising(pairs.select("node", "centre").distinct(), classes, percent).join(pairs, ["node", "centre"])
     sure = F.col("agree") >= least_agreeing(percent / 100, sigmas=-0.5)
     best = F.struct(F.when(sure, 0).otherwise(1), F.when(sure, 0).otherwise(-F.col("agree")), "centre")
     best = p.groupBy("node", "end").agg(F.min(best).alias("best"))
-    return best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b")).distinct()
+    return best.select(*_ordered("node", "best.centre")).distinct()
+
+
+#: Other centres of a bucket in a round, rounds at most, and links under which a round is the last.
+CENTRES, ROUNDS, FEW = 4, 6, 32
+
+
+def _centre_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, seed: int) -> DataFrame:
+    """A pair a node at most: with the most similar of the centres, drawn by a hash, of its open buckets, of those that
+    aren't in its component."""
+    m = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    drawn = [F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(seed * CENTRES + r))).alias(f"c{r}") for r in range(CENTRES)]
+    open_ = m.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *drawn).where("l0 != l1")
+    met = m.join(open_.select("key", F.array_distinct(F.array(*[f"c{r}" for r in range(CENTRES)])).alias("c")), "key").select("node", "label", F.explode("c").alias("c"))
+    pairs = met.where("label != c.label").select("node", F.col("c.node").alias("centre")).distinct()
+    best = _promising(pairs, classes, percent).groupBy("node").agg(F.max_by("centre", F.struct("agree", "centre")).alias("centre"))
+    return best.select(*_ordered("node", "centre")).distinct()
 
 
 def _sizes(n: str, m: str, percent: int):
@@ -344,14 +372,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     members, members_path = materialize(keyed.join(buckets, "key"), "members")
     bitmap = spark.sparkContext.broadcast(id_filter(classes.join(members.select("node").distinct(), "node", "left_semi").select("rep")))
     sets, sets_path = materialize(d.mapInArrow(_read_sets(width, bitmap), "node bigint, members binary"), "sets")
-    links, links_path = materialize(confirmed(_star_pairs(members, classes, percent), sets, percent), "links")
+    links, path = materialize(confirmed(_star_pairs(members, classes, percent), sets, percent), "links")
     labels, labels_path = materialize(components(links), "labels")
-    more, more_path = materialize(confirmed(_cross_pairs(members, labels, classes, percent), sets, percent), "links")
-    if more.limit(1).count():
-        as_links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b")
-        labels, path = materialize(components(more.unionByName(as_links)), "labels")
-        forget(spark, labels_path)
-    forget(spark, members_path, sets_path, links_path, more_path)
+    forget(spark, path)
+
+    def link(pairs: DataFrame) -> int:
+        nonlocal labels, labels_path
+        more, path = materialize(confirmed(pairs, sets, percent), "links")
+        if n := more.count():
+            as_links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b")
+            new, new_path = materialize(components(more.unionByName(as_links)), "labels")
+            forget(spark, labels_path)
+            labels, labels_path = new, new_path
+        forget(spark, path)
+        return n
+
+    for seed in range(ROUNDS):
+        if link(_centre_pairs(members, labels, classes, percent, seed)) < FEW:
+            break
+    link(_cross_pairs(members, labels, classes, percent))
+    forget(spark, members_path, sets_path)
     reps = classes.select("node", "rep").join(labels, "node", "left")
     least = reps.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
     ids = reps.join(least, "label", "left").select("node", F.coalesce("least", "rep").alias("least"))
