@@ -61,7 +61,7 @@ TOTAL = sum(SIZES)
 
 
 def _count(batches):
-    """Rows (model, chunk, counts) of a task: counts as 8-byte numbers."""
+    """Rows (model, chunk, counts) of a task: counts as 4-byte numbers."""
     acc = [np.zeros(TOTAL, np.int64), np.zeros(TOTAL, np.int64)]
     used = [False, False]
     for b in batches:
@@ -77,7 +77,7 @@ def _count(batches):
     for lo in range(0, len(rows), 64):
         part = rows[lo : lo + 64]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([m for m, _ in part], pa.int32()), pa.array([c for _, c in part], pa.int32()), pa.array([acc[m][c * CHUNK : (c + 1) * CHUNK].tobytes() for m, c in part], pa.binary())],
+            [pa.array([m for m, _ in part], pa.int32()), pa.array([c for _, c in part], pa.int32()), pa.array([acc[m][c * CHUNK : (c + 1) * CHUNK].astype(np.uint32).tobytes() for m, c in part], pa.binary())],
             names=["model", "chunk", "counts"],
         )
 
@@ -95,7 +95,7 @@ def _add_up(batches):
                 if key is not None:
                     yield row()
                 key, total = (m, c), np.zeros(CHUNK, np.int64)
-            total += np.frombuffer(n, np.int64)
+            total += np.frombuffer(n, np.uint32)
     if key is not None:
         yield row()
 
@@ -136,7 +136,8 @@ def _own_counts(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def mark(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(doc_id, text, target): whether a document is of the target set, ``target_ids`` (doc_id)."""
-    ids = target_ids.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct()
+    # Always by a sort-merge join: a broadcast while the target is small would only hide what the join moves.
+    ids = target_ids.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct().hint("merge")
     return docs_of(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().alias("target"))
 
 
