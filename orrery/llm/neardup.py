@@ -10,8 +10,9 @@
    to components.
 5. Buckets whose nodes are still in different components are gone through again, each node against the most similar
    of some other centres, as long as that links many: near copies of one text are often nearer to some than to others.
-6. Buckets that are still open are searched for all pairs between their components, by blocks of nodes, over packed
-   signatures; what passes is confirmed likewise, and components are contracted for the last time.
+6. Buckets that are still open are searched for links between their components, by blocks of nodes that bring their
+   sets: packed signatures choose the pairs, full sets confirm them on the spot, and of the links a forest goes out. So
+   texts that are near each other without being links cost time, but no rows. Components are contracted for the last time.
 
 So within a bucket that is one component no pairs are formed, and no link is lost to that: a pair that shares a bucket
 is either connected or held against each other. What MinHash itself can miss is a pair that shares no bucket (3e-7 at
@@ -31,8 +32,8 @@ from .common import docs_of, forget, masked, materialize, raw, tune
 ROWS, BANDS, BITS = 6, 32, 2
 K = ROWS * BANDS
 LANES = K * BITS // 64
-#: Nodes of a bucket that are held against each other at a time.
-BLOCK = 512
+#: Nodes of a bucket, and bytes of their sets, that are held against as many others at a time.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Bits of the filter that spares the second pass most texts; of fixed size, and only ever lets too much through.
 FILTER_BITS = 1 << 26
 
@@ -192,12 +193,7 @@ def _confirm(percent: int):
             right = b.column("right").to_pylist()
             ok = []
             for x, y in zip(left, right, strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                both = int((t[at] == s).sum())
-                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+                ok.append(_is_link(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -285,72 +281,97 @@ def _sizes(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _is_link(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    both = int((t[at] == s).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _cross(percent: int):
-    """Pairs of nodes of different components within each sorted run of (key, i, j), by packed signatures."""
+    """Links between nodes of different components within each sorted run of (key, i, j): a forest of them.
+
+    Packed signatures choose the pairs, full sets confirm them. A pair whose components a link of the run has joined
+    already is passed over, so a run gives fewer links than it has nodes. A pair that shares several buckets is held
+    against each other in that of its first common band only.
+    """
     least = least_agreeing(percent / 100)
 
-    def pairs(side, node, label, n, sig):
+    def candidates(key, side, label, n, sig, bands):
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        if not len(left) or not len(right):
-            return None
-        found = []
+        found = [np.empty((3, 0), np.int64)]
         for lo in range(0, len(left), 64):
             part = left[lo : lo + 64]
-            ok = (label[part][:, None] != label[right][None, :]) & (agreeing(sig[part][:, None, :], sig[right][None, :, :]) >= least)
+            agree = agreeing(sig[part][:, None, :], sig[right][None, :, :])
             small, big = np.minimum(n[part][:, None], n[right][None, :]), np.maximum(n[part][:, None], n[right][None, :])
-            x, y = np.nonzero(ok & (100 * small >= percent * big))
-            found.append((node[part[x]], node[right[y]]))
-        a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        return np.minimum(a, b), np.maximum(a, b)
+            x, y = np.nonzero((label[part][:, None] != label[right][None, :]) & (agree >= least) & (100 * small >= percent * big))
+            agree = agree[x, y]
+            x, y = part[x], right[y]
+            first = np.argmax(bands[x] == bands[y], axis=1)
+            own = (bands[x, first] == key) & ((x < y) | (side[x] != 2))
+            found.append(np.stack([x, y, agree])[:, own])
+        x, y, agree = np.concatenate(found, axis=1)
+        best = np.argsort(-agree, kind="stable")
+        return zip(x[best].tolist(), y[best].tolist(), strict=True)
+
+    def links(rows, members):
+        labels = rows[:, 5].tolist()
+        root = {x: x for x in labels}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in candidates(rows[0, 0], rows[:, 3], rows[:, 5], rows[:, 6], rows[:, 7 : 7 + LANES].view(np.uint64), rows[:, 7 + LANES :]):
+            u, v = find(labels[x]), find(labels[y])
+            if u != v and _is_link(np.frombuffer(members[x], np.uint64), np.frombuffer(members[y], np.uint64), percent):
+                root[u] = v
+                a, b = int(rows[x, 4]), int(rows[y, 4])
+                yield min(a, b), max(a, b)
 
     def run(batches):
-        kept: list[np.ndarray] = []
-        width = 7 + LANES
-
-        def work(rows, last):
-            key = rows[:, :3]
-            cut = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            starts = np.concatenate([[0], cut])
-            ends = np.concatenate([cut, [len(rows)]])
-            out = set()
-            for s, e in zip(starts[: len(starts) if last else -1], ends, strict=False):
-                r = rows[s:e]
-                if e - s > 1 and (got := pairs(r[:, 3], r[:, 4], r[:, 5], r[:, 6], r[:, 7:].view(np.uint64))) is not None:
-                    out.update(zip(got[0].tolist(), got[1].tolist(), strict=True))
-            return out, rows[len(rows) if last else starts[-1] :]
-
-        def batch(out):
-            got = list(out)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
+        kept, sets, size = [], [], 0
+
+        def work(last):
+            nonlocal kept, sets, size
+            rows = np.concatenate(kept)
+            cuts = [0, *(np.flatnonzero(np.any(rows[1:, :3] != rows[:-1, :3], axis=1)) + 1).tolist(), len(rows)]
+            ends = cuts if last else cuts[:-1]
+            out = [x for s, e in zip(ends, ends[1:], strict=False) if e - s > 1 for x in links(np.ascontiguousarray(rows[s:e]), sets[s:e])]
+            kept, sets = [rows[ends[-1] :]], sets[ends[-1] :]
+            size = sum(map(len, sets))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            sig = b.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
-            cols = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j", "side", "node", "label", "n")]
-            kept.append(np.column_stack([*cols, sig]))
-            if sum(map(len, kept)) >= 20_000:
-                out, rest = work(np.concatenate(kept), False)
-                kept = [rest]
-                if out:
-                    yield batch(out)
-        if kept and sum(map(len, kept)):
-            out, _ = work(np.concatenate(kept).reshape(-1, width), True)
-            if out:
-                yield batch(out)
+            wide = [b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("sig", "bands")]
+            kept.append(np.column_stack([*(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j", "side", "node", "label", "n")), *wide]))
+            sets += (more := b.column("members").to_pylist())
+            size += sum(map(len, more))
+            if len(sets) >= 20_000 or size >= 2 * BLOCK_BYTES:
+                yield work(False)
+        if sets:
+            yield work(True)
 
     return run
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs between components that share a bucket. Of a bucket's blocks, each two meet in one task."""
+def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components that share a bucket. Of a bucket's blocks, each two meet in one task."""
     m = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = m.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(open_, "key").join(classes.select("node", "sig", F.col("n").alias("n")), "node")
+    m = m.join(classes.select("node", "n"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    open_ = m.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), blocks.alias("blocks")).where("l0 != l1").select("key", "blocks")
+    m = m.join(open_, "key").join(classes.select("node", "sig", "bands"), "node").join(sets, "node")
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side")),
     )
-    m = m.select("key", "node", "label", "n", "sig", F.explode(meets).alias("x")).select("key", "x.i", "x.j", "x.side", "node", "label", "n", "sig")
+    wide = ["node", "label", "n", "sig", "bands", "members"]
+    m = m.select("key", *wide, F.explode(meets).alias("x")).select("key", "x.i", "x.j", "x.side", *wide)
     return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(percent), "a bigint, b bigint").distinct()
 
 
@@ -376,9 +397,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     labels, labels_path = materialize(components(links), "labels")
     forget(spark, path)
 
-    def link(pairs: DataFrame) -> int:
+    def link(found: DataFrame) -> int:
         nonlocal labels, labels_path
-        more, path = materialize(confirmed(pairs, sets, percent), "links")
+        more, path = materialize(found, "links")
         if n := more.count():
             as_links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b")
             new, new_path = materialize(components(more.unionByName(as_links)), "labels")
@@ -388,9 +409,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         return n
 
     for seed in range(ROUNDS):
-        if link(_centre_pairs(members, labels, classes, percent, seed)) < FEW:
+        if link(confirmed(_centre_pairs(members, labels, classes, percent, seed), sets, percent)) < FEW:
             break
-    link(_cross_pairs(members, labels, classes, percent))
+    link(_cross_links(members, labels, classes, sets, percent))
     forget(spark, members_path, sets_path)
     reps = classes.select("node", "rep").join(labels, "node", "left")
     least = reps.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
