@@ -9,7 +9,7 @@
 4. A second pass reads the sets of candidate nodes; the pairs are confirmed on full sets; confirmed links are contracted
    to components.
 5. Buckets whose nodes are still in different components are gone through again, each node against the most similar
-   of some other centres, as long as that links many: near copies of one text are often nearer to some than to others.
+   of some other centres, once: near copies of one text are often nearer to some than to others.
 6. Buckets that are still open are searched for links between their components, by blocks of nodes that bring their
    sets: packed signatures choose the pairs, full sets confirm them on the spot, and of the links a forest goes out. So
    texts that are near each other without being links cost time, but no rows. Components are contracted for the last time.
@@ -260,8 +260,9 @@ def _star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return best.select(*_ordered("node", "best.centre")).distinct()
 
 
-#: Other centres of a bucket in a round, rounds at most, and links under which a round is the last.
-CENTRES, ROUNDS, FEW = 4, 6, 32
+#: Other centres of a bucket in a round, rounds at most (the search that follows is whole without them), and links under
+#: which a round is the last.
+CENTRES, ROUNDS, FEW = 4, 1, 32
 
 
 def _centre_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, seed: int) -> DataFrame:
