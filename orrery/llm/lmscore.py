@@ -1,12 +1,15 @@
 """Cross-entropy difference: documents scored by two matched n-gram models.
 
 The target model is counted over documents of a target set, the background model over all documents. Both share one
-vocabulary (words hashed to a fixed number of ids) and one form: bigrams backed by unigrams, with Witten-Bell weights,
-kept in arrays of fixed length. A document's score is the mean over its tokens of the background loss minus the target
-loss: above zero, it is more like the target.
-
-Counts cover every token of every document: each task fills arrays for its texts and hands out what isn't zero, in
-chunks; Spark adds chunks up by position. So what is gathered grows with the input, and the model doesn't.
+vocabulary (every distinct word of the corpus, A-Z folded) and one form: bigrams backed by unigrams, with Witten-Bell
+weights. A document's score is the mean over its tokens of the background loss minus the target loss: above zero, it is
+more like the target.
+
+Counts cover every token of every document and are kept by key, so the model grows with the corpus. Documents are dealt
+out over blocks of about ``BLOCK_BYTES`` by their ids; a block counts its distinct n-grams, these are dealt out over
+buckets by ranges of keys and summed there, and each block gets the sums of its own n-grams back, in its own order, and
+scores its documents whole. However common an n-gram is, a block hands it out once, so no bucket is hot. A key is a
+fingerprint of 63 bits: any two of 10^9 n-grams share one with a chance of 5 %.
 """
 
 from __future__ import annotations
@@ -17,19 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, pick, raw, tune
+from .common import docs_of, materialize, pick, raw, tune
 
-#: Word ids (the shared vocabulary) and bigram slots, as powers of two; slots of a chunk.
-WORD_BITS, PAIR_BITS, CHUNK = 18, 20, 4096
-START = 0
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Text of a block, how much of it a task gathers before it hands it out, and n-grams of a bucket.
+BLOCK_BYTES, GATHER_BYTES, BUCKET_GRAMS = 4 << 20, 32 << 20, 2 << 20
+START = np.uint64(0)
+_MULT = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
+_ONE = np.uint64(1)
 
 
 class _Ids(dict):
-    """Word to id, 1 up; 0 is the start of a text."""
+    """Word to fingerprint."""
 
     def __missing__(self, w: bytes) -> int:
-        i = 1 + xxhash.xxh3_64_intdigest(w.lower()) % ((1 << WORD_BITS) - 1)
+        i = xxhash.xxh3_64_intdigest(w.lower())
         if len(self) < 400_000 and len(w) < 64:
             self[w] = i
         return i
@@ -39,10 +43,10 @@ _IDS = _Ids()
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of all texts on end, the word before each (START at a text's begin), and the texts' lengths."""
+    """Word fingerprints of all texts on end, the word before each (START at a text's begin), and the texts' lengths."""
     lists = [t.split() for t in texts]
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((x for ws in lists for x in map(_IDS.__getitem__, ws)), np.int64, int(lens.sum()))
+    ids = np.fromiter((x for ws in lists for x in map(_IDS.__getitem__, ws)), np.uint64, int(lens.sum()))
     before = np.empty_like(ids)
     if len(ids):
         before[1:] = ids[:-1]
@@ -50,114 +54,221 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, before, lens
 
 
-def pair_slot(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    key = (before.astype(np.uint64) << np.uint64(WORD_BITS)) | ids.astype(np.uint64)
-    return ((key * _MULT) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MULT[2]
+    x = (x ^ (x >> np.uint64(27))) * _MULT[3]
+    return x ^ (x >> np.uint64(31))
 
 
-#: Tables of a model side by side: word counts, context counts, bigram counts.
-SIZES = (1 << WORD_BITS, 1 << WORD_BITS, 1 << PAIR_BITS)
-TOTAL = sum(SIZES)
+def keys(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each token's word, context and bigram. Only a word's key is odd."""
+    pair = _mix(_mix(before + _MULT[0]) * _MULT[1] + ids)
+    return ids | _ONE, _mix(before ^ _MULT[1]) & ~_ONE, pair & ~_ONE
 
 
-def _count(batches):
-    """Rows (model, chunk, counts) of a task: counts as 4-byte numbers."""
-    acc = [np.zeros(TOTAL, np.int64), np.zeros(TOTAL, np.int64)]
-    used = [False, False]
-    for b in batches:
-        texts, target = raw(b.column("text")), b.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for model in (0, 1):
-            some = [t for t, x in zip(texts, target, strict=True) if x or not model]
-            if some:
-                ids, before, _ = tokens(some)
-                used[model] = True
-                for at, x in ((0, ids), (SIZES[0], before), (SIZES[0] + SIZES[1], pair_slot(before, ids))):
-                    np.add.at(acc[model], at + x, 1)
-    rows = [(m, c) for m in (0, 1) if used[m] for c in range(TOTAL // CHUNK) if acc[m][c * CHUNK : (c + 1) * CHUNK].any()]
-    for lo in range(0, len(rows), 64):
-        part = rows[lo : lo + 64]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([m for m, _ in part], pa.int32()), pa.array([c for _, c in part], pa.int32()), pa.array([acc[m][c * CHUNK : (c + 1) * CHUNK].astype(np.uint32).tobytes() for m, c in part], pa.binary())],
-            names=["model", "chunk", "counts"],
-        )
-
-
-def _add_up(batches):
-    """Sum chunks that meet; rows come sorted by model and chunk, so one sum is open at a time."""
-    key, total = None, None
-
-    def row():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["model", "chunk", "counts"])
+# --- blocks -----------------------------------------------------------------------------------------------------
+
+
+_PACKED = "block int, ids array<bigint>, lens binary, texts binary"
+_BLOCKS = "block bigint, ids array<bigint>, target binary, lens binary, texts binary, n bigint, n_target bigint"
+
+
+def _pack(batches):
+    """Rows (block, ids, lengths, texts) of a task: texts on end, compressed."""
+    held: dict[int, list] = {}
+    size = 0
+
+    def rows():
+        for block, docs in held.items():
+            texts = [t for _, t in docs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([[i for i, _ in docs]], pa.list_(pa.int64())), pa.array([np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()], pa.binary()), pa.array([_squeeze(b"".join(texts))], pa.binary())],
+                names=["block", "ids", "lens", "texts"],
+            )
+        held.clear()
 
     for b in batches:
-        for m, c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if (m, c) != key:
-                if key is not None:
-                    yield row()
-                key, total = (m, c), np.zeros(CHUNK, np.int64)
-            total += np.frombuffer(n, np.uint32)
-    if key is not None:
-        yield row()
-
-
-class NGrams:
-    """Two matched bigram models as arrays of counts."""
-
-    def __init__(self, rows):
-        self.parts = []
-        for m in (0, 1):
-            counts = np.zeros(TOTAL, np.int64)
-            for model, chunk, data in rows:
-                if model == m:
-                    counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(data, np.int64)
-            words, contexts, pairs = np.split(counts, np.cumsum(SIZES)[:-1])
-            self.parts.append((int(words.sum()), words, contexts, pairs))
-
-    def losses(self, model: int, ids, before, lens, own: np.ndarray) -> np.ndarray:
-        """Loss of each token in nats. Texts that the model was counted on (``own``) are taken out of it first, so a
-        text's score doesn't tell whether it was in the target set."""
-        n, words, contexts, pairs = self.parts[model]
-        doc = np.repeat(np.arange(len(lens), dtype=np.int64), lens)
-        mine = np.repeat(own, lens)
-        less = lambda table, at: np.maximum(table[at] - np.where(mine, _own_counts(doc, at, len(table)), 0), 0).astype(np.float64)
-        w, c, p = less(words, ids), less(contexts, before), less(pairs, pair_slot(before, ids))
-        rest = np.repeat(np.where(own, n - lens, n), lens)
-        unigram = (w + 0.5) / (rest + 0.5 * len(words))
-        # Witten-Bell, with a context's number of followers taken as the root of its count: the same for both models.
-        keep = c / np.maximum(c + np.sqrt(c), 1.0)
-        return -np.log(keep * np.minimum(p, c) / np.maximum(c, 1.0) + (1 - keep) * unigram)
-
-
-def _own_counts(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """How often each entry occurs in its own text."""
-    _, inverse, counts = np.unique(doc * size + at, return_inverse=True, return_counts=True)
-    return counts[inverse]
+        for block, i, t in zip(b.column("block").to_pylist(), b.column("doc_id").to_pylist(), raw(b.column("text")), strict=True):
+            held.setdefault(block, []).append((i, t))
+            size += len(t)
+        if size > GATHER_BYTES:
+            yield from rows()
+            size = 0
+    yield from rows()
+
+
+def _squeeze(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _texts(lens: bytes, data: bytes) -> list[bytes]:
+    sizes = np.frombuffer(lens, np.int64)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    whole = pa.decompress(data, decompressed_size=total, codec="zstd", asbytes=True) if total else b""
+    return [whole[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def _gather(n_blocks: int):
+    """A block's documents with their marks and its numbers of tokens. One of much more than BLOCK_BYTES is cut."""
+
+    def run(packed: pa.Table, target: pa.Table) -> pa.Table:
+        wanted = set(target.column("_t").to_pylist())
+        out, ids, texts, size = [], [], [], 0
+
+        def row():
+            lens = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
+            mine = np.fromiter((i in wanted for i in ids), bool, len(ids))
+            n = np.fromiter(map(len, texts), np.int64, len(texts))
+            out.append((block + n_blocks * len(out), list(ids), mine.tobytes(), n.tobytes(), _squeeze(b"".join(texts)), int(lens.sum()), int(lens[mine].sum())))
+            ids.clear()
+            texts.clear()
+
+        for block, some, lens, data in zip(*(packed.column(c).to_pylist() for c in ("block", "ids", "lens", "texts")), strict=True):
+            for i, t in zip(some, _texts(lens, data), strict=True):
+                if ids and size + len(t) > 1.5 * BLOCK_BYTES:
+                    row()
+                    size = 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+        if ids:
+            row()
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "ids", "target", "lens", "texts", "n", "n_target"])
+
+    return run
+
+
+def blocks(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """The documents in blocks, with marks: whether a document is of the target set, ``target_ids`` (doc_id)."""
+    d = docs_of(docs, "doc_id", "text")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = 1 + size // BLOCK_BYTES
+    block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n_blocks)).cast("int").alias("block")
+    ids = target_ids.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct().select(block("_t"), "_t")
+    # Documents without an id are in no target set, so any block will do.
+    d = d.select(F.when(F.col("doc_id").isNull(), block("text")).otherwise(block("doc_id")).alias("block"), "doc_id", "text")
+    return d.mapInArrow(_pack, _PACKED).groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_gather(n_blocks), _BLOCKS)
+
+
+# --- counts and scores ------------------------------------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers, small ones in few bytes: first bytes of all, second bytes and so on, compressed."""
+    return _squeeze(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()) if len(x) else b""
 
 
-def mark(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, text, target): whether a document is of the target set, ``target_ids`` (doc_id)."""
-    # Always by a sort-merge join: a broadcast while the target is small would only hide what the join moves.
-    ids = target_ids.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct().hint("merge")
-    return docs_of(docs, "doc_id", "text").join(ids, F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().alias("target"))
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
 
 
-def fit(marked: DataFrame) -> NGrams:
-    """Count both models over (text, target)."""
-    counted = marked.select("text", "target").mapInArrow(_count, "model int, chunk int, counts binary")
-    summed = counted.repartition("model", "chunk").sortWithinPartitions("model", "chunk").mapInArrow(_add_up, "model int, chunk int, counts binary")
-    return NGrams([(r.model, r.chunk, r.counts) for r in summed.collect()])
+def _distinct(texts: list[bytes]):
+    """All distinct keys of texts, sorted; the texts' lengths; and where each token's word, context and bigram are."""
+    ids, before, lens = tokens(texts)
+    found = [np.unique(k, return_inverse=True) for k in keys(ids, before)]
+    every = np.unique(np.concatenate([u for u, _ in found]))
+    return every, lens, [np.searchsorted(every, u)[where] for u, where in found]
 
 
-def _score(model):
+def _cuts(every: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket's keys begin, and the end."""
+    first = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.append(np.searchsorted(every, first), len(every))
+
+
+def _count(bits: int):
+    """Rows (bucket, block, size, keys, counts in all documents, counts in the target set) of each block."""
+
     def run(batches):
-        m = model.value
         for b in batches:
-            ids, before, lens = tokens(raw(b.column("text")))
-            ends = np.concatenate([[0], np.cumsum(lens)])
-            mean = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[ends]) / np.maximum(lens, 1)  # noqa: E731, B023
-            own = b.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            h0, h1 = mean(m.losses(0, ids, before, lens, np.ones(len(lens), bool))), mean(m.losses(1, ids, before, lens, own))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lens), pa.array(h0), pa.array(h1), pa.array(h0 - h1)], names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
+            for block, mine, lens, data in zip(*(b.column(c).to_pylist() for c in ("block", "target", "lens", "texts")), strict=True):
+                every, sizes, at = _distinct(_texts(lens, data))
+                mine = np.repeat(np.frombuffer(mine, bool), sizes)
+                n, n_target = (sum(np.bincount(x, minlength=len(every)) for x in some) for some in (at, [x[mine] for x in at]))
+                cuts = _cuts(every, bits).tolist()
+                rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+                for i in range(0, len(rows), 64):
+                    part = rows[i : i + 64]
+                    packed = lambda x: pa.array([_planes(x[lo:hi]) for _, lo, hi in part], pa.binary())  # noqa: E731, B023
+                    steps = pa.array([_planes(np.diff(every[lo:hi], prepend=np.uint64(k << (64 - bits)))) for k, lo, hi in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k for k, _, _ in part], pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array([hi - lo for _, lo, hi in part], pa.int64()), steps, packed(n), packed(n_target)],
+                        names=["bucket", "block", "size", "keys", "n", "n_target"],
+                    )
+
+    return run
+
+
+def _sum(bits: int):
+    """A bucket's sums, handed back to each block in the order of its keys; with the first, how many words it has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, block, sizes = t.column("bucket").to_pylist(), t.column("block").to_pylist(), t.column("size").to_pylist()
+        begin = np.uint64(bucket[0] << (64 - bits))
+        key = np.concatenate([begin + np.cumsum(_unplanes(x, n).view(np.uint64)) for x, n in zip(t.column("keys").to_pylist(), sizes, strict=True)])
+        every, where = np.unique(key, return_inverse=True)
+        cuts = np.cumsum(sizes)[:-1]
+        sums = []
+        for c in ("n", "n_target"):
+            one = np.concatenate([_unplanes(x, n) for x, n in zip(t.column(c).to_pylist(), sizes, strict=True)])
+            total = np.bincount(where, weights=one).astype(np.int64)
+            sums.append(pa.array([_planes(x) for x in np.split(total[where], cuts)], pa.binary()))
+        words = [int((every & _ONE).sum()), *[0] * (len(block) - 1)]
+        return pa.table([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(sizes, pa.int64()), *sums, pa.array(words, pa.int64())], names=["bucket", "block", "size", "n", "n_target", "words"])
+
+    return run
+
+
+def sums(blocked: DataFrame, n_tokens: int) -> DataFrame:
+    """(bucket, block, size, n, n_target, words): counts of each block's n-grams in the corpus and the target set."""
+    bits = max(1, (n_tokens // BUCKET_GRAMS).bit_length())
+    each = blocked.select("block", "target", "lens", "texts").mapInArrow(_count(bits), "bucket int, block bigint, size bigint, keys binary, n binary, n_target binary")
+    return each.groupBy("bucket").applyInArrow(_sum(bits), "bucket int, block bigint, size bigint, n binary, n_target binary, words bigint")
+
+
+def _own(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """How often each entry occurs in its own text."""
+    _, inverse, n = np.unique(doc * size + at, return_inverse=True, return_counts=True)
+    return n[inverse]
+
+
+def _losses(tables, own, mine, total, vocabulary) -> np.ndarray:
+    """Loss of each token in nats. ``tables``: counts of its word, context and bigram; ``own``: those of its own text,
+    which are taken out where the model was counted on it (``mine``), so a text's score doesn't tell whether it was in
+    the target set."""
+    w, c, p = (np.maximum(t - np.where(mine, o, 0), 0).astype(np.float64) for t, o in zip(tables, own, strict=True))
+    unigram = (w + 0.5) / (total + 0.5 * vocabulary)
+    # Witten-Bell, with a context's number of followers taken as the root of its count: the same for both models.
+    keep = c / np.maximum(c + np.sqrt(c), 1.0)
+    return -np.log(keep * np.minimum(p, c) / np.maximum(c, 1.0) + (1 - keep) * unigram)
+
+
+_SCORES = "doc_id bigint, n_tokens bigint, background_loss double, target_loss double, score double"
+
+
+def _score(totals: tuple[int, int], vocabulary: int):
+    def run(blocked: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("bucket")
+        sizes = found.column("size").to_pylist()
+        tables = [np.concatenate([np.zeros(0, np.int64), *map(_unplanes, found.column(c).to_pylist(), sizes)]) for c in ("n", "n_target")]
+        (some,), (target,), (lens,), (data,) = (blocked.column(c).to_pylist() for c in ("ids", "target", "lens", "texts"))
+        every, lens, at = _distinct(_texts(lens, data))
+        if len(every) != len(tables[0]):
+            raise RuntimeError(f"{len(tables[0])} sums for a block of {len(every)} n-grams")
+        doc, target = np.repeat(np.arange(len(lens)), lens), np.frombuffer(target, bool)
+        own = [_own(doc, x, len(every)) for x in at]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        mean = []
+        for table, total, mine in zip(tables, totals, (np.ones(len(lens), bool), target), strict=True):
+            loss = _losses([table[x] for x in at], own, np.repeat(mine, lens), np.repeat(np.where(mine, total - lens, total), lens), vocabulary)
+            mean.append(np.diff(np.concatenate([[0.0], np.cumsum(loss)])[ends]) / np.maximum(lens, 1))
+        return pa.table([pa.array(some, pa.int64()), pa.array(lens), *map(pa.array, mean), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
 
     return run
 
@@ -170,9 +281,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     spark = docs.sparkSession
     tune(spark)
-    marked = mark(docs, target_ids)
-    model = spark.sparkContext.broadcast(fit(marked))
-    return marked.mapInArrow(_score(model), "doc_id bigint, n_tokens bigint, background_loss double, target_loss double, score double")
+    blocked, _ = materialize(blocks(docs, target_ids), "blocks")
+    n, n_target = blocked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    summed, _ = materialize(sums(blocked, n), "sums")
+    vocabulary = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    texts = blocked.select("block", "ids", "target", "lens", "texts")
+    return texts.groupBy("block").cogroup(summed.drop("words").groupBy("block")).applyInArrow(_score((n, n_target), vocabulary), _SCORES)
 
 
 def good_documents(labels: DataFrame) -> DataFrame:

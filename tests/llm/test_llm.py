@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -291,6 +292,32 @@ def test_cross_entropy(spark):
     assert all(got[i].score > got[30].score for i in range(20)) and got[0].n_tokens == 5
 
 
+def test_cross_entropy_exact_counts(spark):
+    """Against plain counts by word and bigram: nothing shares a count, however many n-grams there are."""
+    r = np.random.default_rng(3)
+    docs = [" ".join(f"w{x}" for x in r.zipf(1.3, 60) % 5000) for _ in range(120)] + ["The the THE end", "", None, "w1"]
+    ids = [*range(len(docs) - 2), None, 7]  # no id, and an id twice
+    df = frame(spark, docs, ids=ids)
+    target = {*range(0, 120, 3), 999}
+    got = collections.defaultdict(list)
+    for x in lmscore.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target], "doc_id bigint")).collect():
+        got[x.doc_id].append((x.n_tokens, x.background_loss, x.target_loss, x.score))
+    lists = [(t or "").lower().split() for t in docs]
+    tables = lambda some: [collections.Counter(x for ws in some for x in f(ws)) for f in (lambda ws: ws, lambda ws: ["^", *ws][:-1], lambda ws: zip(["^", *ws], ws))]
+    models = (tables(lists), tables([ws for i, ws in zip(ids, lists) if i in target]))
+    vocabulary = len(models[0][0])
+    for i, ws in zip(ids, lists, strict=True):
+        own, loss = tables([ws]), [0.0, 0.0]
+        for m, mine in ((0, True), (1, i in target)):
+            w, c, p = (lambda k, t=t, o=o: t[k] - (o[k] if mine else 0) for t, o in zip(models[m], own))  # noqa: B023
+            total = sum(models[m][0].values()) - (len(ws) if mine else 0)
+            for a, b in zip(["^", *ws], ws):
+                keep = c(a) / max(c(a) + math.sqrt(c(a)), 1.0)
+                loss[m] -= math.log(keep * p((a, b)) / max(c(a), 1) + (1 - keep) * (w(b) + 0.5) / (total + 0.5 * vocabulary)) / len(ws)
+        assert any(g[0] == len(ws) and np.allclose(g[1:], (*loss, loss[0] - loss[1])) for g in got[i]), i
+    assert sum(map(len, got.values())) == len(docs)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     v = np.round(r.normal(size=(300, 6)), 2)
