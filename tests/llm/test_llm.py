@@ -53,6 +53,17 @@ def test_quality_base(spark, texts):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_bands(spark):
+    """Each side has its own limit, a few deviations of that side off; short documents get more room."""
+    rows = [("en", 400, 0, 1.5 - 0.01 * i / 50) for i in range(101)] + [("en", 400, 0, 1.5 + 0.03 * i / 50) for i in range(101)]
+    cases = [(400, 1.5 - 0.07, False), (400, 1.5 - 0.03, True), (400, 1.5 + 0.07, True), (400, 1.5 + 0.2, False), (25, 1.5 + 0.2, True)]
+    df = spark.createDataFrame(rows + [("en", n, 0, x) for n, x, _ in cases], "lang string, n_words bigint, n_repeat_words bigint, log_ppl double")
+    rules = quality.Rules()
+    got = {(r.n_words, r.log_ppl): r.kept for r in quality.verdict(df, quality.bands(df, rules), rules).collect()}
+    assert [got[n, x] for n, x, _ in cases] == [k for _, _, k in cases]
+    assert all(got[n, x] for _, n, _, x in rows)
+
+
 def test_kneser_ney_sums_to_one(spark):
     model = quality.fit(frame(spark, ["abab abba baab", "aab bba"] * 3, ids=[0] * 6).withColumn("lang", F.lit("en")), quality.Rules(min_share=0.0))
     # Over all next characters after a context, probabilities sum to one.
