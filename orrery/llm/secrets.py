@@ -14,6 +14,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -32,6 +33,8 @@ ASSIGN_LEAST = 12
 
 #: What the automata judge: tokens of credential characters, long, with a digit or an inner capital.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_START, _END = re.compile(r"(?<=[+/_=-])[A-Za-z0-9]"), re.compile(r"(?<=[A-Za-z0-9])[/=]|(?<=[A-Za-z0-9])(?=[+/_=-]*$)")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{4}.*[a-z]")
 
 
@@ -186,6 +189,7 @@ class Formats:
     def __init__(self, credentials: dict[str, list[str]], others: list[str], threshold: float = 8.0):
         self.automata = {k: Automaton(v) for k, v in sorted(credentials.items())}
         self.threshold = threshold
+        self.longest = max((len(t) for v in credentials.values() for t in v), default=0)
         self.n: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], int] = {}
         for t in others:
@@ -203,6 +207,24 @@ class Formats:
         best = max((a.log_likelihood(token), k) for k, a in self.automata.items())
         return best[0] - self.other(token), best[1]
 
+    def spans(self, run: str) -> list[tuple[int, int]]:
+        """The best spans of a run that don't overlap. A span begins with the run or behind a separator in it, and ends
+        with the run, trimmed or not, or at '=' or '/'; the latter within twice the longest labelled credential."""
+        starts = [0, *(m.start() for m in _START.finditer(run))]
+        ends = sorted({len(run), len(run.rstrip("+/_=-")), *(m.start() for m in _END.finditer(run))})
+        last = set(ends[-2:])
+        scored = []
+        for s in starts:
+            for e in [*ends[bisect_left(ends, s + LEAST) : bisect_right(ends, s + 2 * self.longest)], *(e for e in last if e > s + 2 * self.longest)]:
+                t = run[s:e]
+                if e - s >= LEAST and _MIXED.search(t) and (x := self.score(t)[0]) >= self.threshold:
+                    scored.append((-x, s, e))
+        out: list[tuple[int, int]] = []
+        for _, s, e in sorted(scored):
+            if not any(s < f and b < e for b, f in out):
+                out.append((s, e))
+        return sorted(out)
+
 
 @lru_cache(maxsize=2)
 def default_formats() -> Formats:
@@ -223,17 +245,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def format_spans(text: str, formats: Formats, base: list[tuple[int, int, int]], seen: dict[str, bool]) -> list[tuple[int, int, int]]:
-    """Spans of candidates that a format explains and that no base span covers."""
+def _covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans (by start) cover all of a span together."""
+    for s, _, e in base:
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
+def format_spans(text: str, formats: Formats, base: list[tuple[int, int, int]], seen: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    """Spans of candidates that a format explains and that base spans don't cover whole."""
     out = []
     for m in CANDIDATE.finditer(text):
         t = m.group()
         if t not in seen:
             if len(seen) > 100_000:
                 seen.clear()
-            seen[t] = bool(_MIXED.search(t)) and formats.score(t)[0] >= formats.threshold
-        if seen[t] and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), 3, m.end()))
+            seen[t] = formats.spans(t) if _MIXED.search(t) else []
+        out += [(m.start() + s, 3, m.start() + e) for s, e in seen[t] if not _covered(m.start() + s, m.start() + e, base)]
     return out
 
 
@@ -257,7 +287,7 @@ _COLUMNS = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.
 def _scan(formats: Formats | None):
     def run(batches):
         f = formats or default_formats()
-        seen: dict[str, bool] = {}
+        seen: dict[str, list[tuple[int, int]]] = {}
         for b in batches:
             rows = []
             for t in raw(b.column("text")):
@@ -287,7 +317,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
 def _redactor(column: str, formats: Formats | None):
     def run(batches):
         f = formats or default_formats()
-        seen: dict[str, bool] = {}
+        seen: dict[str, list[tuple[int, int]]] = {}
         for b in batches:
             i = b.schema.get_field_index(column)
             out = []

@@ -293,6 +293,21 @@ def test_toxicity(spark):
     assert docs[hit.doc_id][s:e].split()[0] in ("vilest", "rottenly", "hateful")
 
 
+def test_secrets_behind_names_and_paths():
+    f = secrets.default_formats()
+    made = secrets.labelled_credentials(each=1, seed=77)
+    for kind, glue in (("github", "GITHUB_PAT={}"), ("google", "?key={}&x"), ("slack", "SLACK={}"), ("gitlab", "host/{}"), ("github", "x {}== y")):
+        t = glue.format(made[kind][0])
+        at = t.index(made[kind][0])
+        assert secrets.format_spans(t, f, secrets.base_spans(t), {}) == [(at, 3, at + len(made[kind][0]))], t
+    # A base span inside doesn't hide the rest of the credential; one that covers all of it does.
+    t = "x ghp_" + "0123456789abcdef" + "ZkQwRtYpLmNvBxCgHjKd"
+    spans = sorted(secrets.base_spans(t) + secrets.format_spans(t, f, secrets.base_spans(t), {}))
+    assert secrets.redact(t, spans) == "x <format>"
+    t = "token=" + made["github"][0]
+    assert secrets.format_spans(t, f, secrets.base_spans(t), {}) == []
+
+
 def test_cross_entropy(spark):
     a = ["red green blue red green"] * 20
     b = ["one two three one two"] * 40
