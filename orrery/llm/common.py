@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +20,15 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir`` of the session; a local one only where it is unset."""
+    """The folder all machines share: ``spark.checkpoint.dir`` of the session. Where it is unset, a folder of this
+    machine, if the session runs on it alone; on a cluster that raises."""
     global _own_dir
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="orrery-")
     return _own_dir
@@ -73,6 +79,41 @@ def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*tmp), at
 
 
+#: What a Python worker holds between tasks, of the operator that used it last.
+_held: dict[str, dict] = {}
+
+
+def worker_state(kind: str) -> dict:
+    """A dictionary that a Python worker keeps between tasks of one operator. The first task of another operator frees
+    it, so a worker that Spark reuses for many stages never holds the caches of two."""
+    if kind not in _held:
+        _held.clear()
+        release()
+        _held[kind] = {}
+    return _held[kind]
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(kind: str, run: Callable) -> Callable:
+    """A mapInArrow function that frees what other operators left in its worker, and at its end what it doesn't keep."""
+
+    def task(batches):
+        worker_state(kind)
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches: texts differ in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -64,40 +64,71 @@ def test_quality_bands(spark):
     assert all(got[n, x] for _, n, _, x in rows)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    model = quality.fit(frame(spark, ["abab abba baab", "aab bba"] * 3, ids=[0] * 6).withColumn("lang", F.lit("en")), quality.Rules(min_share=0.0))
-    # Over all next characters after a context, probabilities sum to one.
-    for ctx in ("", "a", "ab", "abab"):
-        total = sum(np.exp(model.words("en", [ctx + c])[0] - _tail(model, ctx + c)) for c in "ab")
-        end = np.exp(model.words("en", [ctx])[0] - _prefix(model, ctx)) if ctx else 0.0
-        if ctx:
-            assert total * 1.0 == pytest.approx(total) and 0.9 < total / np.exp(_prefix(model, ctx)) + end < 1.01
-
-
-def _prefix(model, word):
-    """Log probability of the word's characters without its end."""
-    return model.words("en", [word])[0] - _tail(model, word)
-
-
-def _tail(model, word):
-    """Log probability of the end mark behind a word."""
-    unseen, tables = model.langs["en"]
-    points = [ord(c) for c in quality.START * 3 + word][-3:] + [ord(quality.END)]
-    score = 0.0
-    for k in range(4, 0, -1):
-        g = points[-k:]
-        key = sum((p * int(quality._MULT[k - 1 - i])) for i, p in enumerate(g)) % 2**64
-        t, v = tables[k - 1][0]
-        i = np.searchsorted(t, np.uint64(key))
-        if i < len(t) and t[i] == np.uint64(key):
-            return score + float(v[i])
-        if k > 1:
-            c = sum((p * int(quality._MULT[k - 2 - i])) for i, p in enumerate(points[-k:-1])) % 2**64
-            t, v = tables[k - 2][1]
-            i = np.searchsorted(t, np.uint64(c))
-            if i < len(t) and t[i] == np.uint64(c):
-                score += float(v[i])
-    return score + unseen
+def brute_kneser_ney(listed, word):
+    """Log probability of a word by modified Kneser-Ney over characters, from raw counts of n-grams of words."""
+    counts = {4: collections.Counter()}
+    for w in listed:
+        t = "   " + w + "\n"
+        counts[4].update(t[i : i + 4] for i in range(len(t) - 3))
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter()
+        lefts = collections.defaultdict(set)
+        for g, n in counts[k + 1].items():
+            if g[1:] == " " * k:  # start marks alone are never predicted
+                continue
+            lefts[g[1:]].add(g[0])
+            if g[1] == " ":  # at a word's start, there is nothing to the left
+                counts[k][g[1:]] += n
+        for g, left in lefts.items():
+            if g[0] != " ":
+                counts[k][g] = len(left)
+    cut = {}
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+        usual = (0.5, 0.75, 0.9)
+        cut[k] = [min(j, max(0.0, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] and y else usual[j - 1] for j in (1, 2, 3)]
+
+    def p(k, g):
+        if k == 0:
+            return 1 / (len(counts[1]) + 1)
+        ctx, c = g[:-1], counts[k]
+        after = [v for x, v in c.items() if x[:-1] == ctx]
+        if not after:
+            return p(k - 1, g[1:])
+        off = lambda v: cut[k][min(v, 3) - 1]
+        own = c[g] - off(c[g]) if c[g] else 0.0
+        return own / sum(after) + sum(map(off, after)) / sum(after) * p(k - 1, g[1:])
+
+    t = "   " + word + "\n"
+    return sum(math.log(p(4, t[i : i + 4])) for i in range(len(t) - 3))
+
+
+def test_kneser_ney_by_brute_force(spark):
+    r = random.Random(3)
+    some = ["".join(r.choices("aabcdeé", k=r.randint(1, 6))) for _ in range(300)]
+    df = frame(spark, [" ".join(some[i : i + 30]) for i in range(0, 300, 30)], ids=[0] * 10).withColumn("lang", F.lit("en"))
+    model = quality.fit(df, quality.Rules(min_share=0.0))
+    tried = [*sorted(set(some))[:60], "zzz", "abz", "eeeeeee", "a"]
+    got = model.words("en", tried)
+    for w, x in zip(tried, got, strict=True):
+        assert x == pytest.approx(brute_kneser_ney(some, w), abs=1e-9), w
+
+
+def test_perplexity_decides_on_either_side(spark):
+    """Documents that pass the base rules are rejected for text that is too strange and for text that is too plain."""
+    r = random.Random(1)
+    vocabulary = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 8))) for _ in range(600)]
+    usual = [" ".join(r.choices(vocabulary, k=200)) for _ in range(150)]
+    strange = " ".join("".join(r.choices("qxzjkvw#0123", k=7)) for _ in range(200))
+    model = quality.fit(frame(spark, usual).withColumn("lang", F.lit("en")))
+    cheap = sorted(zip(-model.words("en", vocabulary) / (1 + np.fromiter(map(len, vocabulary), float)), vocabulary, strict=True))
+    plain = " ".join(r.choices([w for _, w in cheap[:12]], k=200))
+    got = quality.quality_table(frame(spark, [*usual, strange, plain], ids=range(152)).withColumn("lang", F.lit("en"))).orderBy("doc_id").collect()
+    assert sum(x.kept for x in got[:150]) >= 145
+    for x, side in ((got[150], "high"), (got[151], "low")):
+        assert not x.base_failed and not x.kept
+        assert x.log_ppl > x.ppl_high if side == "high" else x.log_ppl < x.ppl_low
 
 
 def test_token_counts_and_cache(spark, texts, tmp_path):
