@@ -70,13 +70,19 @@ def docs_of(df: DataFrame, *names: str) -> DataFrame:
     return pick(df, *names, types={n: kinds[n] for n in names if n in kinds})
 
 
-def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """All columns under unique names, and where each (first of its name) went; undo with ``toDF(*df.columns)``."""
+def masked(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """All columns under unique names, ``_c0`` on, and where each (first of its name) went; undo by selecting those
+    and ``toDF(*df.columns)``. Of ``names``, missing ones are there as nulls behind the others."""
     tmp = [f"_c{i}" for i in range(len(df.columns))]
     at: dict[str, str] = {}
     for i, c in enumerate(df.columns):
         at.setdefault(c, tmp[i])
-    return df.toDF(*tmp), at
+    d = df.toDF(*tmp)
+    for n in names:
+        if n not in at:
+            at[n] = f"_n{n}"
+            d = d.withColumn(at[n], F.lit(None).cast("bigint" if n == "doc_id" else "string"))
+    return d, at
 
 
 #: What a Python worker holds between tasks, of the operator that used it last.
@@ -117,7 +123,7 @@ def lean(kind: str, run: Callable) -> Callable:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches: texts differ in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

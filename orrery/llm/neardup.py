@@ -27,15 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, forget, masked, materialize, raw, tune
+from .common import WORD, docs_of, forget, lean, masked, materialize, raw, tune, worker_state
 
 ROWS, BANDS, BITS = 6, 32, 2
 K = ROWS * BANDS
 LANES = K * BITS // 64
 #: Nodes of a bucket, and bytes of their sets, that are held against as many others at a time.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
-#: Bits of the filter that spares the second pass most texts; of fixed size, and only ever lets too much through.
+#: Bits of the filter that spares the second pass most texts, 8 MB. It is used where it has 16 bits a candidate or more;
+#: of more candidates, texts are found by a semi-join instead.
 FILTER_BITS = 1 << 26
+#: Words whose hashes a worker remembers.
+WORDS = 100_000
 
 _rng = np.random.default_rng(20240)
 _A = (_rng.integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -53,19 +56,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < 400_000 and len(w) < 64:
+        if len(self) < WORDS and len(w) < 64:
             self[w] = h
         return h
 
 
-_WORDS = _Words()
-
-
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles; of fewer words, of the whole sequence; else empty."""
     lists = [t.lower().split() for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    h = np.fromiter((x for ws in lists for x in map(_WORDS.__getitem__, ws)), np.uint64, int(sizes.sum()))
+    known = worker_state("neardup").setdefault("words", _Words())
+    h = np.fromiter((x for ws in lists for x in map(known.__getitem__, ws)), np.uint64, int(sizes.sum()))
     n = max(0, len(h) - width + 1)
     roll = np.zeros(n, np.uint64)
     for j in range(width):
@@ -140,12 +141,13 @@ def _sketches(width: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("tag"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     _list(np.array([packed(m) for m in mins], np.int64).reshape(-1, LANES)),
                     _list(np.array([bands_of(m) for m in mins], np.int64).reshape(-1, BANDS)),
                 ],
-                names=["doc_id", "n_shingles", "node", "sig", "bands"],
+                names=["doc_id", "tag", "n_shingles", "node", "sig", "bands"],
             )
 
     return run
@@ -164,20 +166,19 @@ def _filter_slots(batches):
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bitmap of hashed ids, FILTER_BITS / 8 bytes at most, made by the executors in chunks of 4 KB."""
-    rows = ids.mapInArrow(_filter_slots, "chunk bigint, bit bigint").groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    rows = ids.mapInArrow(lean("neardup", _filter_slots), "chunk bigint, bit bigint").groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
         out[r.chunk * 4096 : (r.chunk + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
-def _read_sets(width: int, bitmap):
+def _read_sets(width: int, bitmap=None):
     def run(batches):
-        bits = bitmap.value
         for b in batches:
-            b = b.filter(b.column("doc_id").is_valid())
-            slot = _slot(b.column("doc_id").to_numpy(zero_copy_only=False))
-            b = b.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            if bitmap:
+                slot = _slot(b.column("doc_id").to_numpy(zero_copy_only=False))
+                b = b.filter(pa.array((bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             sets = [s for s in shingle_sets(raw(b.column("text")), width) if len(s)]
             for lo in range(0, len(sets), 200):
                 part = sets[lo : lo + 200]
@@ -186,6 +187,18 @@ def _read_sets(width: int, bitmap):
     return run
 
 
+def sets_of(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(node, members) of the documents (doc_id, text) whose ids are in ``reps`` (rep): a row a node, however many rows
+    are alike. Some nodes that aren't asked for may be among them. ``reps`` must be cheap to read: it is read twice."""
+    d = docs.where("doc_id is not null")
+    if 16 * reps.count() <= FILTER_BITS:
+        run = _read_sets(width, docs.sparkSession.sparkContext.broadcast(id_filter(reps)))
+    else:
+        run, d = _read_sets(width), d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    found = d.select("doc_id", "text").mapInArrow(lean("neardup", run), "node bigint, members binary")
+    return found.groupBy("node").agg(F.first("members").alias("members"))
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
@@ -204,7 +217,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_confirm(percent), "a bigint, b bigint").distinct()
+    return both.mapInArrow(lean("neardup", _confirm(percent)), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -373,7 +386,7 @@ def _cross_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets
     )
     wide = ["node", "label", "n", "sig", "bands", "members"]
     m = m.select("key", *wide, F.explode(meets).alias("x")).select("key", "x.i", "x.j", "x.side", *wide)
-    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cross(percent), "a bigint, b bigint").distinct()
+    return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean("neardup", _cross(percent)), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -383,17 +396,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     doc_id take no links. Repeated rows are alike. Only doc_id and text are read; an empty table gives no rows.
     ``percent`` is the least similarity that links, in percent.
     """
+    return _grouped(docs, percent, width).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """What :func:`near_duplicates` gives, with each row's group, a node of its component (null: no shingles), and tag, a hash of its text."""
     spark = docs.sparkSession
     tune(spark)
     d = docs_of(docs, "doc_id", "text")
-    sketch, _ = materialize(d.mapInArrow(_sketches(width), "doc_id bigint, n_shingles bigint, node bigint, sig array<bigint>, bands array<bigint>"), "sketches")
+    tagged = d.withColumn("tag", F.xxhash64("text"))
+    sketch, _ = materialize(tagged.mapInArrow(lean("neardup", _sketches(width)), "doc_id bigint, tag bigint, n_shingles bigint, node bigint, sig array<bigint>, bands array<bigint>"), "sketches")
     whole = sketch.where("node is not null and doc_id is not null")
     classes, _ = materialize(whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi")
     members, members_path = materialize(keyed.join(buckets, "key"), "members")
-    bitmap = spark.sparkContext.broadcast(id_filter(classes.join(members.select("node").distinct(), "node", "left_semi").select("rep")))
-    sets, sets_path = materialize(d.mapInArrow(_read_sets(width, bitmap), "node bigint, members binary"), "sets")
+    reps, reps_path = materialize(classes.join(members.select("node").distinct(), "node", "left_semi").select("rep"), "representatives")
+    sets, sets_path = materialize(sets_of(d, reps, width), "sets")
     links, path = materialize(confirmed(_star_pairs(members, classes, percent), sets, percent), "links")
     labels, labels_path = materialize(components(links), "labels")
     forget(spark, path)
@@ -413,26 +432,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         if link(confirmed(_centre_pairs(members, labels, classes, percent, seed), sets, percent)) < FEW:
             break
     link(_cross_links(members, labels, classes, sets, percent))
-    forget(spark, members_path, sets_path)
+    forget(spark, members_path, sets_path, reps_path)
     reps = classes.select("node", "rep").join(labels, "node", "left")
     least = reps.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    ids = reps.join(least, "label", "left").select("node", F.coalesce("least", "rep").alias("least"))
-    out = sketch.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    ids = reps.join(least, "label", "left").select("node", F.coalesce("label", "node").alias("group"), F.coalesce("least", "rep").alias("least"))
+    out = sketch.select("doc_id", "tag", "n_shingles", "node").join(ids, "node", "left")
     component = F.when(F.col("doc_id").isNull() | F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group", "tag")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
-    """One document of each group of near-duplicates, with all its columns; of equal ids and texts, one row.
+    """One document of each group of near-duplicates, with all its columns; of rows with one id in one group,
+    one row. Rows with one id and texts that aren't linked all stay.
 
-    Documents without words, or with a null id, stay.
+    Documents without words, or with a null id, stay, repeated rows of theirs too. Columns of any names pass through;
+    a missing text or doc_id counts as null. An empty table gives no rows.
     """
-    found, _ = materialize(near_duplicates(docs, percent, width), "kept")
-    d, at = masked(docs)
-    key = at["doc_id"]
-    unlinked = F.col("_n").isNull() | (F.col("_n") == 0)
-    kept = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("_n"))
-    out = d.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_id"))
-    linked = out.where(~unlinked).dropDuplicates([key])
-    rest = out.where(unlinked).select(*d.columns).unionByName(d.where(F.col(key).isNull()))
-    return linked.select(*d.columns).unionByName(rest).toDF(*docs.columns)
+    found, _ = materialize(_grouped(docs, percent, width), "kept")
+    d, at = masked(docs, "doc_id", "text")
+    d = d.withColumn("_tag", F.xxhash64(F.col(at["text"]).cast("string"))).withColumn("_id", F.col(at["doc_id"]).cast("bigint"))
+    # Equal sets may stand for texts that differ in case or white space: of those, one tag.
+    one = found.where("kept and doc_id is not null and group is not null").groupBy("doc_id", "group").agg(F.min("tag").alias("_tag"))
+    one = one.select(F.col("doc_id").alias("_id"), "_tag").distinct()
+    linked = d.join(one, ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"])
+    bare = F.coalesce(F.regexp_count(F.col(at["text"]).cast("string"), F.lit(WORD)), F.lit(0)) == 0
+    rest = d.where(F.col("_id").isNull() | bare)
+    cols = [f"_c{i}" for i in range(len(docs.columns))]
+    return linked.select(*cols).unionByName(rest.select(*cols)).toDF(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialize, raw, tune
+from .common import docs_of, lean, materialize, raw, tune
 from .tokens import _encode, load_tokenizer, worker_cache
 
 #: Buckets a length is dealt to.
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     tune(docs.sparkSession)
     d = docs_of(docs, "doc_id", "text")
     fold = _encode(load_tokenizer(tokenizer_path), ["AbC DeF"]) == _encode(load_tokenizer(tokenizer_path), ["abc def"])
-    return d.mapInArrow(_pieces(tokenizer_path, end_id, capacity, fold), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return d.mapInArrow(lean("tokens-ids", _pieces(tokenizer_path, end_id, capacity, fold)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def assign(cut: DataFrame, capacity: int = 4096) -> DataFrame:

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialize, pick, raw, tune
+from .common import docs_of, lean, materialize, pick, raw, shared_dir, tune, worker_state
 
 #: White space before a word goes with it: byte-level BPE joins a space and the word after it.
 _UNITS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space beyond ASCII, and separators that libraries treat differently: such a text is encoded in one piece.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces and cores a worker remembers, and the longest of them in bytes.
-REMEMBER, REMEMBER_CORES, LONGEST = 800_000, 800_000, 48
+#: Pieces and cores a worker remembers, and the longest of them in bytes: some 40 MB of each at most.
+REMEMBER, REMEMBER_CORES, LONGEST = 200_000, 200_000, 48
 #: Marks that may follow a word. Tokenizers cut between a letter or digit and such a mark, so a word and the marks
 #: behind it are encoded apart. Not among them: the apostrophe (contractions) and what special tokens are made of.
 _MARKS = b".,;:!?\")]}*#$%&=+-_~^@/\\"
@@ -115,14 +115,12 @@ def _core(piece: bytes) -> bytes:
     return core if core and core[-1] in _WORD_END else piece
 
 
-_WORKER: dict[tuple, PieceCache] = {}
-
-
 def worker_cache(path: str, kind: str, make) -> PieceCache:
-    """A cache that lives as long as its Python worker."""
-    if (path, kind) not in _WORKER:
-        _WORKER[path, kind] = PieceCache(load_tokenizer(path), make)
-    return _WORKER[path, kind]
+    """A cache that its Python worker keeps till another operator uses the worker."""
+    state = worker_state(f"tokens-{kind}")
+    if path not in state:
+        state[path] = PieceCache(load_tokenizer(path), make)
+    return state[path]
 
 
 def count_tokens(path: str, texts: list[bytes]) -> list[int]:
@@ -176,7 +174,7 @@ def cached_counts(docs: DataFrame, tokenizer_path: str, cache: DataFrame | None
         known = pick(cache, "tokenizer", "digest", "n_tokens").where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
     distinct = d.dropDuplicates(["digest"])
     missing = distinct.join(known, "digest", "left_anti") if cache is not None else distinct
-    new, _ = materialize(missing.select("digest", "text").mapInArrow(_count_rows(tokenizer_path), "digest binary, n_tokens bigint"), "tokens")
+    new, _ = materialize(missing.select("digest", "text").mapInArrow(lean("tokens-count", _count_rows(tokenizer_path)), "digest binary, n_tokens bigint"), "tokens")
     new = new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
     return new.select("digest", "n_tokens").unionByName(known), new
 
