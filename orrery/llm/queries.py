@@ -28,9 +28,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .tokens import token_counts
+    from .tokens import shared_cache, token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_path=shared_cache(spark))
 
 
 @_add

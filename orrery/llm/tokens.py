@@ -163,32 +163,39 @@ def _count_rows(path: str):
 def cached_counts(docs: DataFrame, tokenizer_path: str, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts of all distinct contents of ``docs``, the part of them that was missing in ``cache``).
 
-    The second is what to append to the cache; it is already written to the shared folder.
+    The second is what to append to the cache; it is already written to the shared folder. A digest that the cache
+    holds twice, as after two runs at once, counts once.
     """
     spark = docs.sparkSession
     tune(spark)
     version = tokenizer_digest(tokenizer_path)
     d = docs_of(docs, "text").select(F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", content_digest(F.col("text")))
-    known = spark.createDataFrame([], "digest binary, n_tokens bigint")
+    distinct = d.dropDuplicates(["digest"])
+    known = None
     if cache is not None:
         known = pick(cache, "tokenizer", "digest", "n_tokens").where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    distinct = d.dropDuplicates(["digest"])
-    missing = distinct.join(known, "digest", "left_anti") if cache is not None else distinct
-    new, _ = materialize(missing.select("digest", "text").mapInArrow(lean("tokens-count", _count_rows(tokenizer_path)), "digest binary, n_tokens bigint"), "tokens")
-    new = new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
-    return new.select("digest", "n_tokens").unionByName(known), new
+        distinct = distinct.join(known, "digest", "left_anti")
+    new, _ = materialize(distinct.select("digest", "text").mapInArrow(lean("tokens-count", _count_rows(tokenizer_path)), "digest binary, n_tokens bigint"), "tokens")
+    counts = new if known is None else new.unionByName(known)
+    return counts, new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
+
+
+def shared_cache(spark: SparkSession) -> str:
+    """Where queries keep their cache: a table in the folder that all machines share."""
+    return f"{shared_dir(spark)}/orrery-token-cache"
 
 
 def append_cache(cache_path: str, new: DataFrame) -> None:
-    """Append new counts to a cache table."""
-    new.write.mode("append").parquet(cache_path)
+    """Append new counts to a cache table, a folder a tokenizer version; nothing new writes nothing."""
+    if not new.isEmpty():
+        new.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
 
-def read_cache(spark: SparkSession, cache_path: str) -> DataFrame:
-    """A cache table; empty where nothing was written yet."""
+def read_cache(spark: SparkSession, cache_path: str) -> DataFrame | None:
+    """A cache table as it is now; None where nothing was written yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], CACHE_SCHEMA)
+        return None
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
 
 
