@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import docs_of, masked, raw, tune
+from .common import docs_of, lean, masked, raw, tune
 
 #: Fixed patterns of the base kinds, in their listed order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -31,11 +31,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN_LEAST = 12
 
-#: What the automata judge: tokens of credential characters, long, with a digit or an inner capital.
+#: What the automata judge: tokens of credential characters, long enough for a credential.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST = 16
 _START, _END = re.compile(r"(?<=[+/_=-])[A-Za-z0-9]"), re.compile(r"(?<=[A-Za-z0-9])[/=]|(?<=[A-Za-z0-9])(?=[+/_=-]*$)")
-_MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{4}.*[a-z]")
 
 
 # --- automata ---------------------------------------------------------------------------------------------------
@@ -43,60 +42,97 @@ _MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{4}.*[a-z]")
 
 @dataclass
 class _Node:
+    """A state: how many tokens came by, how many by each symbol, and how many symbols were left to each one's end."""
+
     n: int = 0
-    end: int = 0
     next: dict[str, int] = field(default_factory=dict)
     hits: dict[str, int] = field(default_factory=dict)
+    left: dict[int, int] = field(default_factory=dict)
 
 
-def _classes(token: str) -> str:
-    """Letters that a format fixes stay; the rest of the alphabet by class: a lower, A upper, 0 digit, others as are."""
-    return "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in token)
+_CLASS = str.maketrans(string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
 
 
-def _symbols(token: str) -> list[str]:
-    """The first four characters as they are (formats begin with fixed marks), the rest by class."""
-    return [*token[:4], *_classes(token[4:])]
+def _classes(token: str) -> str:
+    """A token by classes: a lower, A upper, 0 digit, others as they are."""
+    return token.translate(_CLASS)
 
 
 class Automaton:
-    """A probabilistic automaton inferred from labelled tokens of one format."""
+    """A probabilistic automaton inferred from labelled tokens of one format.
+
+    Symbols are character classes, but for characters that the format fixes: those that ``fixed`` of the tokens have
+    at that place. States of the prefix tree are merged if what follows them is compatible: how often each symbol
+    comes next (Hoeffding bounds), how many symbols are left to the end (Kolmogorov and Smirnov's test), and so on
+    behind each symbol. So lengths that a format fixes survive the merging. Of compatible states, a state joins the one
+    whose symbols left are most alike.
+    """
 
-    def __init__(self, tokens: list[str], alpha: float = 0.001):
+    def __init__(self, tokens: list[str], alpha: float = 0.05, fixed: float = 0.2):
+        at: dict[tuple[int, str], int] = {}
+        for t in tokens:
+            for i, c in enumerate(t):
+                at[i, c] = at.get((i, c), 0) + 1
+        self.fixed = {k for k, n in at.items() if k[1].isalnum() and n >= fixed * len(tokens)}
+        self.reach = 1 + max((i for i, _ in self.fixed), default=-1)
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self.nodes = [_Node()]
         for t in sorted(tokens):
-            at = 0
-            for s in _symbols(t):
-                node = self.nodes[at]
-                node.n += 1
+            at_ = 0
+            symbols = self.symbols(t)
+            for i, s in enumerate(symbols):
+                self._visit(at_, len(symbols) - i)
+                node = self.nodes[at_]
                 node.hits[s] = node.hits.get(s, 0) + 1
                 if s not in node.next:
                     node.next[s] = len(self.nodes)
                     self.nodes.append(_Node())
-                at = node.next[s]
-            self.nodes[at].n += 1
-            self.nodes[at].end += 1
-        self.root = self._merge(alpha)
+                at_ = node.next[s]
+            self._visit(at_, 0)
+        self._merge()
+        self.states = sorted(self._reached())
+        self.kinds = {s for x in self.states for s in self.nodes[x].hits}
 
-    def _differ(self, f1: int, n1: int, f2: int, n2: int, alpha: float) -> bool:
-        if not n1 or not n2:
+    def _visit(self, at: int, left: int) -> None:
+        node = self.nodes[at]
+        node.n += 1
+        node.left[left] = node.left.get(left, 0) + 1
+
+    def symbols(self, token: str) -> str:
+        """A token's classes, and the characters that the format fixes."""
+        rest = _classes(token)
+        if not self.reach:
+            return rest
+        # A fixed letter or digit is told apart from a class mark by a shift.
+        head = [chr(ord(c) + 0x100) if (i, c) in self.fixed else rest[i] for i, c in enumerate(token[: self.reach])]
+        return "".join(head) + rest[self.reach :]
+
+    def _differ(self, a: _Node, b: _Node) -> bool:
+        if not a.n or not b.n:
             return False
-        return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
-    def _compatible(self, a: int, b: int, alpha: float) -> bool:
-        todo = [(a, b)]
+        bound = self.bound * (1 / math.sqrt(a.n) + 1 / math.sqrt(b.n))
+        return self._apart(a, b) > bound or any(abs(a.hits.get(s, 0) / a.n - b.hits.get(s, 0) / b.n) > bound for s in a.hits.keys() | b.hits.keys())
+
+    @staticmethod
+    def _apart(a: _Node, b: _Node) -> float:
+        """Largest difference of the distributions of symbols left."""
+        most = x = y = 0.0
+        for k in sorted(a.left.keys() | b.left.keys()):
+            x, y = x + a.left.get(k, 0) / a.n, y + b.left.get(k, 0) / b.n
+            most = max(most, abs(x - y))
+        return most
+
+    def _compatible(self, a: int, b: int) -> bool:
+        todo, met = [(a, b)], set()
         while todo:
             x, y = todo.pop()
+            if (x, y) in met or x == y:
+                continue
+            met.add((x, y))
             p, q = self.nodes[x], self.nodes[y]
-            if self._differ(p.end, p.n, q.end, q.n, alpha):
-                return False
-            for s in p.next.keys() | q.next.keys():
-                if self._differ(p.hits.get(s, 0), p.n, q.hits.get(s, 0), q.n, alpha):
-                    return False
-                if s in p.next and s in q.next and p.next[s] != q.next[s]:
-                    todo.append((p.next[s], q.next[s]))
-            if len(todo) > 4000:
+            if self._differ(p, q):
                 return False
+            todo += [(p.next[s], q.next[s]) for s in p.next.keys() & q.next.keys()]
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -107,43 +143,59 @@ class Automaton:
             if x == y:
                 continue
             p, q = self.nodes[x], self.nodes[y]
-            p.n, p.end = p.n + q.n, p.end + q.end
-            for s, k in q.hits.items():
-                p.hits[s] = p.hits.get(s, 0) + k
+            p.n += q.n
+            for mine, its in ((p.hits, q.hits), (p.left, q.left)):
+                for s, k in its.items():
+                    mine[s] = mine.get(s, 0) + k
+            for s, y2 in q.next.items():
                 if s in p.next:
-                    todo.append((p.next[s], q.next[s]))
+                    todo.append((p.next[s], y2))
                 else:
-                    p.next[s] = q.next[s]
+                    p.next[s] = y2
 
-    def _merge(self, alpha: float) -> int:
+    def _merge(self) -> None:
         red, blue = [0], [(0, s) for s in sorted(self.nodes[0].next)]
         while blue:
-            parent, s = blue.pop(0)
+            # The state that most tokens reach comes first: its statistics say most.
+            parent, s = max(blue, key=lambda x: (self.nodes[self.nodes[x[0]].next[x[1]]].n, x))
             child = self.nodes[parent].next[s]
-            if child in red:
-                continue
-            for r in red:
-                if self._compatible(r, child, alpha):
+            near = sorted((self._apart(self.nodes[r], self.nodes[child]), r) for r in red)
+            for _, r in near:
+                if self._compatible(r, child):
                     self.nodes[parent].next[s] = r
                     self._fold(r, child)
                     break
             else:
                 red.append(child)
-            blue = [(r, x) for r in red for x in sorted(self.nodes[r].next) if self.nodes[r].next[x] not in red]
-        return 0
-
-    def log_likelihood(self, token: str) -> float:
-        """Natural log of the probability of the token's classes; what was never seen gets a small share."""
-        at, out = self.root, 0.0
-        for s in _symbols(token):
-            node = self.nodes[at]
+            inside = set(red)
+            blue = [(r, x) for r in red for x in sorted(self.nodes[r].next) if self.nodes[r].next[x] not in inside]
+
+    def _reached(self) -> set[int]:
+        todo, met = [0], set()
+        while todo:
+            x = todo.pop()
+            if x not in met:
+                met.add(x)
+                todo += self.nodes[x].next.values()
+        return met
+
+    def log_likelihoods(self, token: str) -> list[float]:
+        """Of each beginning of a token, the empty one first, the natural log of its probability as a whole token.
+
+        What a state never saw, ends too, gets a small share: a symbol of the format goes where most go from there;
+        with any other symbol, the token isn't of the format.
+        """
+        node, path, out = self.nodes[0], 0.0, []
+        for s in self.symbols(token):
+            out.append(path + math.log((node.left.get(0, 0) + 0.01) / (node.n + 1.0)))
             hits = node.hits.get(s, 0)
-            out += math.log((hits + 0.01) / (node.n + 1.0))
+            path += math.log((hits + 0.01) / (node.n + 1.0))
             if not hits:
-                return out - 4.0 * len(token)
-            at = node.next[s]
-        node = self.nodes[at]
-        return out + math.log((node.end + 0.01) / (node.n + 1.0))
+                if s not in self.kinds or not node.next:
+                    return out + [-math.inf] * (len(token) + 1 - len(out))
+                s = max(node.next, key=lambda x, h=node.hits: (h[x], x))
+            node = self.nodes[node.next[s]]
+        return [*out, path + math.log((node.left.get(0, 0) + 0.01) / (node.n + 1.0))]
 
 
 # --- labelled tokens --------------------------------------------------------------------------------------------
@@ -198,32 +250,48 @@ class Formats:
                 self.n[a] = self.n.get(a, 0) + 1
                 self.pairs[a, b] = self.pairs.get((a, b), 0) + 1
 
-    def other(self, token: str) -> float:
-        c = "^" + _classes(token) + "$"
-        return sum(math.log((self.pairs.get((a, b), 0) + 0.5) / (self.n.get(a, 0) + 4)) for a, b in zip(c, c[1:], strict=False))
+    def _pair(self, a: str, b: str) -> float:
+        return math.log((self.pairs.get((a, b), 0) + 0.5) / (self.n.get(a, 0) + 4))
+
+    def others(self, token: str) -> list[float]:
+        """Log likelihood of each beginning of a token under the model of other tokens."""
+        path, last, out = 0.0, "^", []
+        for c in _classes(token):
+            out.append(path + self._pair(last, "$"))
+            path, last = path + self._pair(last, c), c
+        return [*out, path + self._pair(last, "$")]
+
+    def scores(self, token: str) -> list[float]:
+        """Of each beginning of a token, the log likelihood ratio of the best format against other tokens."""
+        best = [max(x) for x in zip(*(a.log_likelihoods(token) for a in self.automata.values()), strict=True)]
+        return [x - y for x, y in zip(best, self.others(token), strict=True)]
 
     def score(self, token: str) -> tuple[float, str]:
         """Log likelihood ratio of the best format against other tokens, and that format."""
-        best = max((a.log_likelihood(token), k) for k, a in self.automata.items())
-        return best[0] - self.other(token), best[1]
+        best = max((a.log_likelihoods(token)[-1], k) for k, a in self.automata.items())
+        return best[0] - self.others(token)[-1], best[1]
 
     def spans(self, run: str) -> list[tuple[int, int]]:
-        """The best spans of a run that don't overlap. A span begins with the run or behind a separator in it, and ends
-        with the run, trimmed or not, or at '=' or '/'; the latter within twice the longest labelled credential."""
+        """The best spans of a run that don't overlap. The whole run is judged, trimmed of separators behind it or not;
+        and what begins with it or behind a separator in it and ends with it, trimmed or not, or at '=' or '/', within
+        twice the longest labelled credential."""
         starts = [0, *(m.start() for m in _START.finditer(run))]
-        ends = sorted({len(run), len(run.rstrip("+/_=-")), *(m.start() for m in _END.finditer(run))})
-        last = set(ends[-2:])
+        last = {len(run), len(run.rstrip("+/_=-"))}
+        ends = sorted(last | {m.start() for m in _END.finditer(run)})
         scored = []
         for s in starts:
-            for e in [*ends[bisect_left(ends, s + LEAST) : bisect_right(ends, s + 2 * self.longest)], *(e for e in last if e > s + 2 * self.longest)]:
-                t = run[s:e]
-                if e - s >= LEAST and _MIXED.search(t) and (x := self.score(t)[0]) >= self.threshold:
-                    scored.append((-x, s, e))
+            reach = s + 2 * self.longest
+            at = ends[bisect_left(ends, s + LEAST) : bisect_right(ends, reach)]
+            at += [e for e in last if not s and e > reach]
+            if at:
+                x = self.scores(run[s : max(at)])
+                scored += [(-x[e - s], s, e) for e in at if x[e - s] >= self.threshold]
         out: list[tuple[int, int]] = []
         for _, s, e in sorted(scored):
-            if not any(s < f and b < e for b, f in out):
-                out.append((s, e))
-        return sorted(out)
+            i = bisect_left(out, (s, e))
+            if (not i or out[i - 1][1] <= s) and (i == len(out) or e <= out[i][0]):
+                out.insert(i, (s, e))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -260,9 +328,9 @@ def format_spans(text: str, formats: Formats, base: list[tuple[int, int, int]],
     for m in CANDIDATE.finditer(text):
         t = m.group()
         if t not in seen:
-            if len(seen) > 100_000:
+            if len(seen) > 20_000:
                 seen.clear()
-            seen[t] = formats.spans(t) if _MIXED.search(t) else []
+            seen[t] = formats.spans(t)
         out += [(m.start() + s, 3, m.start() + e) for s, e in seen[t] if not _covered(m.start() + s, m.start() + e, base)]
     return out
 
@@ -311,7 +379,7 @@ def secret_spans(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     """
     tune(docs.sparkSession)
     d = docs_of(docs, "doc_id", "text")
-    return d.mapInArrow(_scan(formats), T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(k, t) for k, t in _COLUMNS]]))
+    return d.mapInArrow(lean("secrets", _scan(formats)), T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(k, t) for k, t in _COLUMNS]]))
 
 
 def _redactor(column: str, formats: Formats | None):
@@ -332,7 +400,10 @@ def _redactor(column: str, formats: Formats | None):
 
 
 def redact_secrets(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
-    """The documents with their secrets replaced by marks; all columns and rows stay, null text stays null."""
+    """The documents with their secrets replaced by marks; all columns and rows stay, repeated ones too, null text stays
+    null. Columns of any names pass through; without a text column nothing changes. An empty table gives no rows."""
     tune(docs.sparkSession)
     d, at = masked(docs)
-    return d.mapInArrow(_redactor(at["text"], formats), d.schema).toDF(*docs.columns)
+    if "text" not in at:
+        return docs
+    return d.mapInArrow(lean("secrets", _redactor(at["text"], formats)), d.schema).toDF(*docs.columns)
