@@ -7,7 +7,8 @@ tags words that it never saw but that are built alike. Forward-backward marginal
 give spans (tokens more likely toxic than not) and a document's score: a logistic function of the expected number of
 toxic tokens, their share and the largest marginal, fitted on the training sample.
 
-The sample is bounded by ``Training.sample`` documents a label, drawn by a hash; all documents are scored whole.
+The sample is bounded by ``Training.sample`` documents and ``Training.sample_bytes`` a label, drawn by a hash; all
+documents are scored whole.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialize, pick, raw, tune
+from .common import docs_of, forget, lean, materialize, pick, raw, tune
 
 SLOTS = 1 << 17
 #: Tokens in a chunk of the batched recursion.
@@ -30,11 +32,11 @@ STRIP = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 
 @dataclass(frozen=True)
 class Training:
-    """``sample``: documents of each label to train on, at most; ``words``: of each, so many tokens at most are used
-    (training only; scores read whole texts)."""
+    """``sample``, ``sample_bytes``: documents of each label to train on, at most, and bytes of text after which no more
+    are taken; those taken are used whole. Scores read all texts whole."""
 
     sample: int = 2000
-    words: int = 1500
+    sample_bytes: int = 8 << 20
     ratio: float = 20.0
     least_docs: int = 4
     epochs: int = 6
@@ -55,7 +57,7 @@ def features(word: bytes) -> list[int]:
     """Slots of a normalised word's features: itself, beginnings, ends and inner character n-grams."""
     w = word.decode("utf-8", "replace").lower()
     names = [f"w={w}", *[f"p{k}={w[:k]}" for k in (3, 4, 5) if len(w) > k], *[f"s{k}={w[-k:]}" for k in (3, 4) if len(w) > k]]
-    names += [f"g={w[i : i + 5]}" for i in range(min(len(w), 40) - 4)]
+    names += [f"g={w[i : i + 5]}" for i in range(len(w) - 4)]
     return sorted({xxhash.xxh32_intdigest(n) % SLOTS for n in names}) if w else []
 
 
@@ -81,18 +83,35 @@ class Field:
 
     @staticmethod
     def inputs(expected, largest, n) -> np.ndarray:
-        return np.column_stack([np.ones(len(n)), np.log1p(np.minimum(expected, 20)), np.sqrt(expected / np.maximum(n, 1)), largest])
+        return np.column_stack([np.ones(len(n)), np.log1p(expected), np.sqrt(expected / np.maximum(n, 1)), largest])
 
 
 def marginals(emission: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probability of the toxic state of each token; texts' tokens follow each other, ``lens`` a text.
+    """Probability of the toxic state of each token; texts' tokens follow each other, ``lens`` a text."""
+    fwd, back = forward_backward(emission, lens, trans)
+    both = fwd * back
+    return both[1] / both.sum(axis=0)
 
-    Exact forward-backward, batched: texts are cut into chunks; all chunks' transfer matrices are multiplied up at once,
+
+def expected_transitions(emission: np.ndarray, lens: np.ndarray, trans: np.ndarray, fwd: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Expected number of neighbours in states (i, j), from their pairwise marginals."""
+    inner = np.ones(len(emission), bool)
+    inner[np.cumsum(lens[lens > 0]) - 1] = False
+    a = np.flatnonzero(inner)
+    e1 = np.exp(np.clip(emission[a + 1], -30, 30))
+    out = np.stack([[fwd[i, a] * np.exp(trans[i, j]) * (e1 if j else 1.0) * back[j, a + 1] for j in (0, 1)] for i in (0, 1)])
+    return (out / out.sum(axis=(0, 1))).sum(axis=2)
+
+
+def forward_backward(emission: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vectors (own emission in) and backward vectors (own emission out) of each token, each up to a factor.
+
+    Exact, batched: texts are cut into chunks; all chunks' transfer matrices are multiplied up at once,
     chunk by chunk vectors follow from them, and all chunks' inner vectors are computed at once again.
     """
     total = int(lens.sum())
     if not total:
-        return np.zeros(0)
+        return np.zeros((2, 0)), np.zeros((2, 0))
     t = np.exp(trans)
     per = -(-lens // CHUNK)
     n_chunks = int(per.sum())
@@ -112,6 +131,8 @@ def marginals(emission: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> np.n
         a, b, p, q = m
         e = e1[:, c]
         new = np.array([a * t[0, 0] + b * t[1, 0], (a * t[0, 1] + b * t[1, 1]) * e, p * t[0, 0] + q * t[1, 0], (p * t[0, 1] + q * t[1, 1]) * e])
+        if not c:  # no transition leads into a text
+            new = np.where(nth == 0, np.array([a, b * e, p, q * e]), new)
         new /= new.max(axis=0)
         m = np.where(ok, new, m)
     m = m.reshape(2, 2, n_chunks)
@@ -130,20 +151,21 @@ def marginals(emission: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> np.n
     for c in range(CHUNK):
         ok = inside[:, c]
         nx, ny = x * t[0, 0] + y * t[1, 0], (x * t[0, 1] + y * t[1, 1]) * e1[:, c]
+        if not c:
+            nx, ny = np.where(nth == 0, x, nx), np.where(nth == 0, y * e1[:, c], ny)
         s = np.maximum(nx, ny)
         x, y = np.where(ok, nx / s, x), np.where(ok, ny / s, y)
         fwd[0, :, c], fwd[1, :, c] = x, y
-    out = np.empty((n_chunks, CHUNK))
+    behind = np.empty((2, n_chunks, CHUNK))
     x, y = tail
     for c in range(CHUNK - 1, -1, -1):
         ok = inside[:, c]
-        p, q = fwd[0, :, c] * x, fwd[1, :, c] * y
-        out[:, c] = q / (p + q)
+        behind[0, :, c], behind[1, :, c] = x, y
         e = e1[:, c]
         nx, ny = t[0, 0] * x + t[0, 1] * e * y, t[1, 0] * x + t[1, 1] * e * y
         s = np.maximum(nx, ny)
         x, y = np.where(ok, nx / s, x), np.where(ok, ny / s, y)
-    return out[inside]
+    return fwd[:, inside], behind[:, inside]
 
 
 def label_tokens(lists: list[list[bytes]], toxic: np.ndarray, training: Training) -> list[np.ndarray]:
@@ -167,11 +189,22 @@ def label_tokens(lists: list[list[bytes]], toxic: np.ndarray, training: Training
     return [np.fromiter((x and judged[w] for w in ws), bool, len(ws)).astype(np.int8) for ws, x in zip(lists, toxic, strict=True)]
 
 
+def gradient(emission: np.ndarray, tags: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of the log likelihood of the tags: by each token's emission, their sum, and by the transitions."""
+    fwd, back = forward_backward(emission, lens, trans)
+    both = fwd * back
+    g = tags - both[1] / both.sum(axis=0)
+    inner = np.ones(len(tags), bool)
+    inner[np.cumsum(lens[lens > 0]) - 1] = False
+    a = np.flatnonzero(inner)
+    seen = np.bincount(2 * tags[a] + tags[a + 1], minlength=4).reshape(2, 2)
+    return g, float(g.sum()), seen - expected_transitions(emission, lens, trans, fwd, back)
+
+
 def train(texts: list[bytes], toxic: np.ndarray, training: Training = Training()) -> Field:
     """A field from labelled texts, on the driver: the sample is bounded."""
     f = Field()
-    full = [[normal(w) for w in t.split()] for t in texts]
-    lists = [ws[: training.words] for ws in full]
+    lists = [[normal(w) for w in t.split()] for t in texts]
     tags = label_tokens(lists, toxic, training)
     vocab: dict[bytes, int] = {}
     ids = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in ws), np.int64, len(ws)) for ws in lists]
@@ -193,27 +226,18 @@ def train(texts: list[bytes], toxic: np.ndarray, training: Training = Training()
             e = emit()
             tok, tag = np.concatenate([ids[i] for i in some]), np.concatenate([tags[i] for i in some])
             lens = np.array([len(ids[i]) for i in some])
-            p = marginals(e[tok], lens, f.trans)
-            err = np.bincount(tok, weights=tag - p, minlength=len(feats)) * scale
+            gw, gb, gt = gradient(e[tok], tag, lens, f.trans)
+            err = np.bincount(tok, weights=gw, minlength=len(feats)) * scale
             g = np.bincount(flat, weights=err[row], minlength=SLOTS) / len(some) - training.decay * f.w
             g2 += g * g
             f.w += training.rate * g / np.sqrt(g2)
-            gb = float((tag - p).sum()) / len(some)
+            gb /= len(some)
             b2 += gb * gb
             f.bias += 0.3 * gb / np.sqrt(b2)
-            # Transitions: observed pairs against pairs expected if neighbours are independent given their marginals.
-            inner = np.ones(len(tok), bool)
-            inner[np.cumsum(lens) - 1] = False
-            a = np.flatnonzero(inner)
-            gt = np.empty((2, 2))
-            for i in (0, 1):
-                for j in (0, 1):
-                    pi, pj = (p[a], p[a + 1])
-                    gt[i, j] = ((tag[a] == i) & (tag[a + 1] == j)).sum() - ((pi if i else 1 - pi) * (pj if j else 1 - pj)).sum()
             gt = gt / len(some) - 0.01 * f.trans
             t2 += gt * gt
             f.trans += 0.1 * gt / np.sqrt(t2)
-    _fit_score(f, full, toxic)
+    _fit_score(f, lists, toxic)
     return f
 
 
@@ -250,13 +274,20 @@ def _summary(p: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Field:
-    """Train on labelled rows that aren't held out: at most ``training.sample`` a label, by a hash of the id."""
+    """Train on labelled rows that aren't held out: at most ``training.sample`` a label, by a hash of the id, till they
+    have ``training.sample_bytes``. Of several texts under one id, the least by its bytes is taken."""
+    spark = docs.sparkSession
     d = docs_of(docs, "doc_id", "text")
     y = pick(labels, "doc_id", "toxic", types={"doc_id": "bigint", "toxic": "int"}).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [y.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.sample) for x in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1])
-    rows = d.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").toArrow()
+    found, path = materialize(d.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    before = F.sum("size").over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    sizes = found.select("doc_id", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    taken = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < training.sample_bytes)
+    rows = found.join(F.broadcast(taken.select("doc_id")), "doc_id").orderBy("doc_id").select("text", "toxic").toArrow()
+    forget(spark, path)
     if not rows.num_rows:
         return Field()
     return train(raw(rows.column("text").combine_chunks()), rows.column("toxic").to_numpy().astype(np.float64), training)
@@ -332,5 +363,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: Training = Training()
     tune(spark)
     field = spark.sparkContext.broadcast(fit(docs, labels, training))
     d = docs_of(docs, "doc_id", "text")
-    out = d.mapInArrow(_score(field), "doc_id bigint, score double, predicted int, expected_tokens double, spans array<string>")
+    out = d.mapInArrow(lean("toxicity", _score(field)), "doc_id bigint, score double, predicted int, expected_tokens double, spans array<string>")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "expected_tokens", "spans")

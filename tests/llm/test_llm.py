@@ -289,7 +289,7 @@ def test_marginals_exact():
             f, b, t = np.zeros((n, 2)), np.ones((n, 2)), np.exp(trans)
             v = np.ones(2)
             for i in range(n):
-                v = (v @ t) * [1, np.exp(x[i])]
+                v = (v @ t if i else v) * [1, np.exp(x[i])]
                 v /= v.max()
                 f[i] = v
             for i in range(n - 2, -1, -1):
@@ -300,6 +300,40 @@ def test_marginals_exact():
         at += n
 
 
+def test_field_gradient_by_finite_differences():
+    """The gradient is that of the log likelihood of the tags, over all tag sequences."""
+    r = np.random.default_rng(4)
+    lens = np.array([5, 1, 8])
+    e, trans, tags = r.normal(size=14), r.normal(size=(2, 2)), r.integers(0, 2, 14).astype(np.int8)
+
+    def log_likelihood(e, trans):
+        out, at = 0.0, 0
+        for n in lens:
+            x, y = e[at : at + n], tags[at : at + n]
+            path = lambda s: sum(x[i] * s[i] for i in range(n)) + sum(trans[s[i], s[i + 1]] for i in range(n - 1))  # noqa: E731, B023
+            out += path(y) - np.logaddexp.reduce([path([k >> i & 1 for i in range(n)]) for k in range(2**n)])
+            at += n
+        return out
+
+    ge, gb, gt = toxicity.gradient(e, tags, lens, trans)
+    step = lambda a, i, h: a + h * np.eye(a.size)[i].reshape(a.shape)
+    slope = lambda f, a, i: (f(step(a, i, 1e-5)) - f(step(a, i, -1e-5))) / 2e-5
+    assert np.allclose(ge, [slope(lambda x: log_likelihood(x, trans), e, i) for i in range(14)], atol=1e-7)
+    assert np.allclose(gt.ravel(), [slope(lambda x: log_likelihood(e, x), trans, i) for i in range(4)], atol=1e-7)
+    assert gb == pytest.approx(ge.sum())
+
+
+def test_toxic_words_behind_long_texts(spark):
+    """What is learned and found doesn't depend on how far into a text or a word it stands."""
+    r = random.Random(2)
+    usual = lambda n: " ".join(r.choices([f"ok{i}" for i in range(300)], k=n))
+    rows = [(i, usual(2500) + (" vilest rottenly vilest" if i % 2 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = toxicity.toxicity(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")).collect()
+    assert np.mean([x.predicted == x.doc_id % 2 for x in got]) > 0.95
+    assert len(set(toxicity.features(b"x" * 60 + b"abcde")) ^ set(toxicity.features(b"x" * 60 + b"abcdf"))) > 2
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     w = [f"ok{i}" for i in range(300)]
