@@ -62,7 +62,8 @@ def _order_hash(doc_id: Column) -> Column:
 
 
 def demand(sized: DataFrame, carry: list[str], weights=(5, 2, 1), most: int = 3) -> DataFrame:
-    """Append to (doc_id, source, size, *carry): source_size, target, taken, and the words its source supplies before it.
+    """Append to (doc_id, source, size, *carry): source_size, target, full_copies, taken, the words its source supplies
+    before it, and the positions of its copies.
 
     ``sized`` must be cheap to read: it is read twice. The per-source sums, one row a source, come to the driver.
     """
@@ -88,39 +89,44 @@ def demand(sized: DataFrame, carry: list[str], weights=(5, 2, 1), most: int = 3)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.expr("cast(round(target) as bigint) div nullif(source_size, 0)"))).otherwise(F.lit(0)).cast("bigint")
     rest = F.round("target").cast("bigint") - whole * F.col("source_size")
     part_taken = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("words_before")))
+    copies = F.col("full_copies") + (F.col("taken") > F.col("full_copies") * F.col("size")).cast("bigint")
+    supplied = lambda c: (F.col("words_before") + (c - 1) * F.col("source_size")) / F.greatest(F.col("target"), F.lit(1.0))
+    at = lambda c: due(F.least(F.lit(1.0), supplied(c)), F.col("_start"), F.col("_end"))
     return (
         run.withColumn("full_copies", whole)
         .withColumn("taken", F.when(whole >= most, whole * F.col("size")).otherwise(whole * F.col("size") + part_taken).cast("bigint"))
-        .withColumn("position", F.when(F.col("taken") > 0, due(F.least(F.lit(1.0), F.col("words_before") / F.greatest(F.col("target"), F.lit(1.0))), F.col("_start"), F.col("_end"))))
+        .withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(1), copies)), at)))
         .drop("_start", "_end")
     )
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken and position of every document, sorted by position over ranges.
+    """doc_id, size, source_size, target, taken, position and positions of every document, sorted by position over ranges.
 
-    Null text: size 0, nothing taken. Null source: a source of its own, last. Repeated rows count each. The order
-    within a source is a hash of doc_id, so reruns agree. Only doc_id, text and source are read.
+    ``positions`` are those of its copies, a last one in part included; ``position`` is the first; null where nothing is
+    taken. Null text: size 0, nothing taken. Null source: a source of its own, last. Repeated rows count each. The order
+    within a source is a hash of doc_id, then doc_id and size, so reruns agree; null ids come first of equal hashes. Only
+    doc_id, text and source are read. An empty table gives no rows.
     """
     d = docs_of(docs, "doc_id", "source", "text")
     sized, _ = materialize(d.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    out = demand(sized, [], weights, most).select("doc_id", "size", "source_size", "target", "taken", "position")
+    out = demand(sized, [], weights, most).withColumn("position", F.col("positions")[0])
+    out = out.select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size")
 
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), most: int = 3) -> DataFrame:
     """The documents themselves in training order, a row for each copy, all their columns as they came.
 
-    A last copy of which less than half would be taken is left out.
+    A last copy of which less than half would be taken is left out. Nulls and repeated rows count as in :func:`mix`, so
+    documents without words have no copy. Columns of any names pass through; a missing doc_id, text or source counts as
+    null. Of copies due at once, smaller ids come first. An empty table gives no rows.
     """
-    d, at = masked(docs)
-    sized = d.select(
-        F.col(at["doc_id"]).cast("bigint").alias("doc_id") if "doc_id" in at else F.lit(None).cast("bigint").alias("doc_id"),
-        F.col(at["source"]).cast("string").alias("source"), n_words(F.col(at["text"])).alias("size"), *d.columns,
-    )
-    got = demand(sized, d.columns, weights, most)
+    d, at = masked(docs, "doc_id", "text", "source")
+    cols = [f"_c{i}" for i in range(len(docs.columns))]
+    sized = d.select(F.col(at["doc_id"]).cast("bigint").alias("doc_id"), F.col(at["source"]).cast("string").alias("source"), n_words(F.col(at["text"])).alias("size"), *cols)
+    got = demand(sized, cols, weights, most)
     part = F.col("taken") - F.col("full_copies") * F.col("size")
     copies = (F.col("full_copies") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int")
-    share = 1.0 / F.greatest(F.lit(1.0), F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    each = got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(copies > 0, copies)))).withColumn("_due", F.col("position") + (F.col("_copy") - 1) * share)
-    return each.orderBy("_due", "doc_id", "_copy").select(*d.columns).toDF(*docs.columns)
+    each = got.where(copies > 0).select(*cols, "doc_id", F.posexplode(F.slice("positions", F.lit(1), copies)).alias("_copy", "_due"))
+    return each.orderBy("_due", "doc_id", "_copy").select(*cols).toDF(*docs.columns)
