@@ -72,10 +72,12 @@ def match_table(pages: DataFrame, rules: DataFrame) -> DataFrame:
     r = r.withColumn("_path", F.expr("substring(rule, length(_host) + 1)"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    keyed = pages.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", F.explode(suffixes))
-    hit = keyed.join(r, "_host").where(F.startswith("path", "_path"))
-    best = hit.groupBy("_row").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
-    return pages.withColumn("_row", F.monotonically_increasing_id()).join(best, "_row", "left").select(*pages.columns, "best.rule", "best.verdict")
+    # Hosts and paths are distinct before they meet the rules: a common host meets them once.
+    urls = pages.select("host", "path").distinct()
+    hit = urls.withColumn("_host", F.explode(suffixes)).join(r, "_host").where(F.startswith("path", "_path"))
+    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
+    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "best")
+    return pages.join(best, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left").select(*pages.columns, "best.rule", "best.verdict")
 
 
 # --- the model --------------------------------------------------------------------------------------------------
