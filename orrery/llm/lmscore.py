@@ -1,8 +1,8 @@
 """Cross-entropy difference: documents scored by two matched n-gram models.
 
 The target model is counted over documents of a target set, the background model over all documents. Both share one
-vocabulary (every distinct word of the corpus, A-Z folded) and one form: bigrams backed by unigrams, with Witten-Bell
-weights. A document's score is the mean over its tokens of the background loss minus the target loss: above zero, it is
+vocabulary (every distinct word of the corpus, A-Z folded) and one form: bigrams backed by unigrams, interpolated by
+the count of the context. A document's score is the mean over its tokens of the background loss minus the target loss: above zero, it is
 more like the target.
 
 Counts cover every token of every document and are kept by key, so the model grows with the corpus. Documents are dealt
@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, materialize, pick, raw, tune
+from .common import docs_of, lean, materialize, pick, raw, tune, worker_state
 
 #: Text of a block, how much of it a task gathers before it hands it out, and n-grams of a bucket.
 BLOCK_BYTES, GATHER_BYTES, BUCKET_GRAMS = 4 << 20, 32 << 20, 2 << 20
+#: Words whose fingerprints a worker remembers.
+WORDS = 100_000
 START = np.uint64(0)
 _MULT = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 _ONE = np.uint64(1)
@@ -34,19 +36,17 @@ class _Ids(dict):
 
     def __missing__(self, w: bytes) -> int:
         i = xxhash.xxh3_64_intdigest(w.lower())
-        if len(self) < 400_000 and len(w) < 64:
+        if len(self) < WORDS and len(w) < 64:
             self[w] = i
         return i
 
 
-_IDS = _Ids()
-
-
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word fingerprints of all texts on end, the word before each (START at a text's begin), and the texts' lengths."""
     lists = [t.split() for t in texts]
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((x for ws in lists for x in map(_IDS.__getitem__, ws)), np.uint64, int(lens.sum()))
+    known = worker_state("lmscore").setdefault("words", _Ids())
+    ids = np.fromiter((x for ws in lists for x in map(known.__getitem__, ws)), np.uint64, int(lens.sum()))
     before = np.empty_like(ids)
     if len(ids):
         before[1:] = ids[:-1]
@@ -150,7 +150,7 @@ def blocks(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     ids = target_ids.select(F.col("doc_id").alias("_t")).where("_t is not null").distinct().select(block("_t"), "_t")
     # Documents without an id are in no target set, so any block will do.
     d = d.select(F.when(F.col("doc_id").isNull(), block("text")).otherwise(block("doc_id")).alias("block"), "doc_id", "text")
-    return d.mapInArrow(_pack, _PACKED).groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_gather(n_blocks), _BLOCKS)
+    return d.mapInArrow(lean("lmscore", _pack), _PACKED).groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_gather(n_blocks), _BLOCKS)
 
 
 # --- counts and scores ------------------------------------------------------------------------------------------
@@ -228,7 +228,7 @@ def _sum(bits: int):
 def sums(blocked: DataFrame, n_tokens: int) -> DataFrame:
     """(bucket, block, size, n, n_target, words): counts of each block's n-grams in the corpus and the target set."""
     bits = max(1, (n_tokens // BUCKET_GRAMS).bit_length())
-    each = blocked.select("block", "target", "lens", "texts").mapInArrow(_count(bits), "bucket int, block bigint, size bigint, keys binary, n binary, n_target binary")
+    each = blocked.select("block", "target", "lens", "texts").mapInArrow(lean("lmscore", _count(bits)), "bucket int, block bigint, size bigint, keys binary, n binary, n_target binary")
     return each.groupBy("bucket").applyInArrow(_sum(bits), "bucket int, block bigint, size bigint, n binary, n_target binary, words bigint")
 
 
@@ -244,7 +244,7 @@ def _losses(tables, own, mine, total, vocabulary) -> np.ndarray:
     the target set."""
     w, c, p = (np.maximum(t - np.where(mine, o, 0), 0).astype(np.float64) for t, o in zip(tables, own, strict=True))
     unigram = (w + 0.5) / (total + 0.5 * vocabulary)
-    # Witten-Bell, with a context's number of followers taken as the root of its count: the same for both models.
+    # The share of the bigram grows with the context's count, by the same rule in both models.
     keep = c / np.maximum(c + np.sqrt(c), 1.0)
     return -np.log(keep * np.minimum(p, c) / np.maximum(c, 1.0) + (1 - keep) * unigram)
 
@@ -263,11 +263,14 @@ def _score(totals: tuple[int, int], vocabulary: int):
             raise RuntimeError(f"{len(tables[0])} sums for a block of {len(every)} n-grams")
         doc, target = np.repeat(np.arange(len(lens)), lens), np.frombuffer(target, bool)
         own = [_own(doc, x, len(every)) for x in at]
-        ends = np.concatenate([[0], np.cumsum(lens)])
+        some_tokens = lens > 0
+        begin = (np.cumsum(lens) - lens)[some_tokens]
         mean = []
         for table, total, mine in zip(tables, totals, (np.ones(len(lens), bool), target), strict=True):
             loss = _losses([table[x] for x in at], own, np.repeat(mine, lens), np.repeat(np.where(mine, total - lens, total), lens), vocabulary)
-            mean.append(np.diff(np.concatenate([[0.0], np.cumsum(loss)])[ends]) / np.maximum(lens, 1))
+            mean.append(np.zeros(len(lens)))
+            if len(begin):
+                mean[-1][some_tokens] = np.add.reduceat(loss, begin) / lens[some_tokens]
         return pa.table([pa.array(some, pa.int64()), pa.array(lens), *map(pa.array, mean), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
 
     return run
