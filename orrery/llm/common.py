@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def forget(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def pick(df: DataFrame, *names: str, types: dict[str, str] | None = None) -> DataFrame:
     """Exactly these columns by exact name; other columns may have any names, even clashing ones. Missing: null."""
     tmp = [f"_c{i}" for i in range(len(df.columns))]
@@ -109,6 +117,33 @@ def release() -> None:
         pass
 
 
+class Recent(dict):
+    """What was made for keys, of two generations: when the younger one has ``most`` keys, it becomes the older one, and
+    what is asked for again is taken over from there. So what is common stays, in bounded memory."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def age(self) -> None:
+        """Begin a new generation if this one is full."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def lacking(self, keys: Iterable) -> list:
+        """Keys of which neither generation knows anything; the others are in the younger one from now on."""
+        out, old = [], self.old
+        for k in keys:
+            if k not in self:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
+
+
 def lean(kind: str, run: Callable) -> Callable:
     """A mapInArrow function that frees what other operators left in its worker, and at its end what it doesn't keep."""
 
@@ -132,6 +167,31 @@ def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([x[:1] == x[:1], x[1:] != x[:-1]])]
+
+
+def words_of(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a text column, which of them each word of each text is, and how many words each text has.
+
+    Words are those of WORD; with ``lower``, A-Z are lower-cased first. Only distinct words become Python objects.
+    """
+    texts = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lens = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    every = split.flatten()
+    # White space at an end of a text leaves an empty part there.
+    full = pc.binary_length(every).to_numpy(zero_copy_only=False) > 0
+    if not full.all():
+        text_of = np.repeat(np.arange(len(lens)), lens)
+        lens = np.bincount(text_of[full], minlength=len(lens))
+        every = every.filter(pa.array(full))
+    coded = every.dictionary_encode()
+    return raw(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False), lens
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

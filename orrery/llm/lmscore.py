@@ -20,50 +20,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, lean, materialize, pick, raw, tune, worker_state
+from .common import docs_of, lean, materialize, pick, raw, tune, words_of
 
 #: Text of a block, how much of it a task gathers before it hands it out, and n-grams of a bucket.
 BLOCK_BYTES, GATHER_BYTES, BUCKET_GRAMS = 4 << 20, 32 << 20, 2 << 20
-#: Words whose fingerprints a worker remembers.
-WORDS = 100_000
 START = np.uint64(0)
 _MULT = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 _ONE = np.uint64(1)
 
 
-class _Ids(dict):
-    """Word to fingerprint."""
-
-    def __missing__(self, w: bytes) -> int:
-        i = xxhash.xxh3_64_intdigest(w.lower())
-        if len(self) < WORDS and len(w) < 64:
-            self[w] = i
-        return i
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word fingerprints of all texts on end, the word before each (START at a text's begin), and the texts' lengths."""
-    lists = [t.split() for t in texts]
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    known = worker_state("lmscore").setdefault("words", _Ids())
-    ids = np.fromiter((x for ws in lists for x in map(known.__getitem__, ws)), np.uint64, int(lens.sum()))
-    before = np.empty_like(ids)
-    if len(ids):
-        before[1:] = ids[:-1]
-        before[(np.cumsum(lens) - lens)[lens > 0]] = START
-    return ids, before, lens
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MULT[2]
     x = (x ^ (x >> np.uint64(27))) * _MULT[3]
     return x ^ (x >> np.uint64(31))
 
 
-def keys(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each token's word, context and bigram. Only a word's key is odd."""
-    pair = _mix(_mix(before + _MULT[0]) * _MULT[1] + ids)
-    return ids | _ONE, _mix(before ^ _MULT[1]) & ~_ONE, pair & ~_ONE
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of words by their fingerprints. Only a word's key is odd."""
+    return words | _ONE
+
+
+def context_keys(words: np.ndarray) -> np.ndarray:
+    return _mix(words ^ _MULT[1]) & ~_ONE
+
+
+def bigram_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _mix(_mix(before + _MULT[0]) * _MULT[1] + words) & ~_ONE
 
 
 # --- blocks -----------------------------------------------------------------------------------------------------
@@ -169,11 +151,25 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
 
 
 def _distinct(texts: list[bytes]):
-    """All distinct keys of texts, sorted; the texts' lengths; and where each token's word, context and bigram are."""
-    ids, before, lens = tokens(texts)
-    found = [np.unique(k, return_inverse=True) for k in keys(ids, before)]
-    every = np.unique(np.concatenate([u for u, _ in found]))
-    return every, lens, [np.searchsorted(every, u)[where] for u, where in found]
+    """All distinct keys of texts, sorted; the texts' lengths; and where each token's word, context and bigram are.
+
+    Fingerprints are made of distinct words, and keys of distinct words and pairs of words.
+    """
+    words, codes, lens = words_of(pa.array(texts, pa.binary()).cast(pa.string(), safe=False), lower=True)
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ids = np.append(ids, START)  # what comes before a text's first word
+    codes = codes.astype(np.int64)
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[(np.cumsum(lens) - lens)[lens > 0]] = len(words)
+    pairs = before * len(ids) + codes
+    some, pair = np.unique(pairs, return_inverse=True)
+    found = [(word_keys(ids[:-1]), codes), (context_keys(ids), before), (bigram_keys(ids[some // len(ids)], ids[some % len(ids)]), pair)]
+    # START is no context of texts without words.
+    used = [k if len(codes) else k[:0] for k, _ in found]
+    every, at = np.unique(np.concatenate(used), return_inverse=True)
+    parts = np.split(at, np.cumsum(list(map(len, used)))[:-1])
+    return every, lens, [x[where] for x, (_, where) in zip(parts, found, strict=True)]
 
 
 def _cuts(every: np.ndarray, bits: int) -> np.ndarray:
