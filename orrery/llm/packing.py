@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import docs_of, lean, materialize, raw, tune
+from .common import docs_of, lean, materialize, tune, words_of
 from .tokens import _encode, load_tokenizer, worker_cache
 
 #: Buckets a length is dealt to.
@@ -73,25 +74,43 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def _ids(ids: np.ndarray) -> bytes:
-    return ids.astype("<u4").tobytes()
+def _ids(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Ids between ends as bytes."""
+    data, cuts = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+def _encoded(cache, texts: pa.Array, lower: bool) -> list[np.ndarray]:
+    """Ids of each text: those of its words, which are encoded once."""
+    words, codes, lens = words_of(texts, lower)
+    cache.learn(words)
+    values = [cache[w] for w in words]
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    known = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(values), "<u4")))
+    ids = known.take(pa.array(codes)).flatten().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(size[codes])])[np.cumsum(lens)]
+    return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 def _pieces(path: str, end_id: int, capacity: int, fold: bool):
-    end = _ids(np.array([end_id]))
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         cache = worker_cache(path, "ids", _ids)
         for b in batches:
+            texts = pc.fill_null(b.column("text"), "")
             # Where the tokenizer folds case itself; special tokens are told apart by it.
-            lists = [(t.lower() if fold and b"<|" not in t else t).split() for t in raw(b.column("text"))]
-            cache.learn(set().union(*lists))
+            marked = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) | (not fold)
+            ids: list = [None] * b.num_rows
+            for some, lower in ((np.flatnonzero(~marked), True), (np.flatnonzero(marked), False)):
+                for i, x in zip(some.tolist(), _encoded(cache, texts.take(pa.array(some)), lower), strict=True):
+                    ids[i] = x
             out: list[tuple] = []
-            for doc, words in zip(b.column("doc_id").to_pylist(), lists, strict=True):
-                ids = b"".join(map(cache.__getitem__, words)) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, x in zip(b.column("doc_id").to_pylist(), ids, strict=True):
+                x = np.concatenate([x, end])
+                for k, at in enumerate(range(0, len(x), capacity)):
+                    part = x[at : at + capacity]
+                    out.append((doc, k, at, len(part), zlib.crc32(part)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],

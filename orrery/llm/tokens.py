@@ -13,20 +13,21 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, lean, materialize, pick, raw, shared_dir, tune, worker_state
+from .common import Recent, docs_of, lean, materialize, pick, raw, shared_dir, tune, worker_state
 
 #: White space before a word goes with it: byte-level BPE joins a space and the word after it.
 _UNITS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space beyond ASCII, and separators that libraries treat differently: such a text is encoded in one piece.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces and cores a worker remembers, and the longest of them in bytes: some 40 MB of each at most.
-REMEMBER, REMEMBER_CORES, LONGEST = 200_000, 200_000, 48
+#: Pieces a worker remembers in a generation, and the longest of them in bytes: some 90 MB in two generations.
+REMEMBER, LONGEST = 300_000, 48
 #: Marks that may follow a word. Tokenizers cut between a letter or digit and such a mark, so a word and the marks
 #: behind it are encoded apart. Not among them: the apostrophe (contractions) and what special tokens are made of.
 _MARKS = b".,;:!?\")]}*#$%&=+-_~^@/\\"
@@ -55,66 +56,58 @@ def _text(b: bytes) -> str:
     return b.decode("utf-8", "replace")
 
 
-class PieceCache(dict):
-    """Pieces of text to what ``make`` gives for their ids, such that values of parts add up; forgets all when full.
+class PieceCache(Recent):
+    """Pieces of text to what ``make`` gives for their ids, such that values of parts add up. ``make`` gets the ids of
+    many pieces on end, and where each one's end.
 
     Pieces that are new are taken apart into a word and the marks behind it; only new ones of those are encoded, many
     in one call, with a special token between them.
     """
 
     def __init__(self, tok, make):
-        super().__init__()
-        self.tok, self.make, self.once, self.cores = tok, make, {}, {}
+        super().__init__(REMEMBER)
+        self.tok, self.make, self.once = tok, make, {}
         self.between = next((t for t in ("<|endoftext|>",) if hasattr(tok, "token_to_id") and tok.token_to_id(t) is not None), None)
         self.mark = tok.token_to_id(self.between) if self.between else None
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: Iterable[bytes]) -> None:
         """Encode the pieces that aren't known, together. Long ones are kept only until the next call."""
         self.once.clear()
-        if len(self) > REMEMBER:
-            self.clear()
-        cores = self.cores
-        if len(cores) > REMEMBER_CORES:
-            cores.clear()
-        miss = [p for p in pieces if p not in self]
-        parts = [_core(p) for p in miss]
-        new = {x for x in parts if x not in cores}
-        new.update({p[len(c) :] for p, c in zip(miss, parts, strict=True)} - cores.keys() - {b""})
-        self._encode(list(new))
-        for p, c in zip(miss, parts, strict=True):
-            v = cores[c] if len(c) == len(p) else cores[c] + cores[p[len(c) :]]
-            (self if len(p) <= LONGEST else self.once)[p] = v
-        for k in [k for k in new if len(k) > LONGEST]:
-            del cores[k]
+        self.age()
+        parts, new = [], []
+        for p in self.lacking(pieces):
+            c = p.rstrip(_MARKS)
+            if len(c) == len(p) or not c or c[-1] not in _WORD_END:
+                new.append(p)
+            else:
+                parts.append((p, c, p[len(c) :]))
+        self._encode(list({*new, *self.lacking({x for _, *two in parts for x in two})}))
+        for p, c, marks in parts:
+            (self if len(p) <= LONGEST else self.once)[p] = self[c] + self[marks]
 
     def _encode(self, texts: list[bytes]) -> None:
-        """What ``make`` gives for each text, into ``cores``."""
-        cores, make = self.cores, self.make
-        rest = [t for t in texts if not self.between or b"<|" in t]
+        """What ``make`` gives for each text; it is kept."""
         plain = [t for t in texts if b"<|" not in t] if self.between else []
         for lo in range(0, len(plain), 4000):
             part = plain[lo : lo + 4000]
             ids = np.array(_encode(self.tok, [self.between.join(map(_text, part))])[0], np.uint32)
-            cut = np.flatnonzero(ids == self.mark)
-            ends = np.append(cut, len(ids)).tolist()
-            at = 0
-            for t, end in zip(part, ends, strict=True):
-                cores[t] = make(ids[at:end])
-                at = end + 1
+            marks = ids == self.mark
+            self._keep(part, ids[~marks], np.append(np.flatnonzero(marks) - np.arange(len(part) - 1), len(ids) - len(part) + 1))
+        rest = [t for t in texts if b"<|" in t] if self.between else texts
         for lo in range(0, len(rest), 2000):
             part = rest[lo : lo + 2000]
-            cores.update((t, make(np.array(ids, np.uint32))) for t, ids in zip(part, _encode(self.tok, [_text(t) for t in part]), strict=True))
+            lists = _encode(self.tok, [_text(t) for t in part])
+            self._keep(part, np.array([i for x in lists for i in x], np.uint32), np.cumsum(list(map(len, lists))))
+
+    def _keep(self, texts: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.update(zip(texts, self.make(ids, ends), strict=True))
+        for t in [t for t in texts if len(t) > LONGEST]:
+            self.once[t] = self.pop(t)
 
     def __missing__(self, piece: bytes):
         return self.once[piece]
 
 
-def _core(piece: bytes) -> bytes:
-    """The piece without the marks behind it, if a letter or digit comes before them."""
-    core = piece.rstrip(_MARKS)
-    return core if core and core[-1] in _WORD_END else piece
-
-
 def worker_cache(path: str, kind: str, make) -> PieceCache:
     """A cache that its Python worker keeps till another operator uses the worker."""
     state = worker_state(f"tokens-{kind}")
@@ -125,7 +118,7 @@ def worker_cache(path: str, kind: str, make) -> PieceCache:
 
 def count_tokens(path: str, texts: list[bytes]) -> list[int]:
     """Number of tokens of each text."""
-    cache = worker_cache(path, "count", len)
+    cache = worker_cache(path, "count", lambda ids, ends: np.diff(ends, prepend=0).tolist())
     if path.endswith(".model"):
         return [len(x) for x in _encode(cache.tok, [_text(t) for t in texts])]
     units = [None if _ODD.search(t) else _UNITS.findall(t) for t in texts]
