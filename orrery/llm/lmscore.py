@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, lean, materialize, pick, raw, tune, words_of
+from .common import docs_of, lean, materialize, pick, raw, settle, tune, words_of
 
 #: Text of a block, how much of it a task gathers before it hands it out, and n-grams of a bucket.
 BLOCK_BYTES, GATHER_BYTES, BUCKET_GRAMS = 4 << 20, 32 << 20, 2 << 20
@@ -282,7 +282,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     tune(spark)
     blocked, _ = materialize(blocks(docs, target_ids), "blocks")
     n, n_target = blocked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    settle(spark)
     summed, _ = materialize(sums(blocked, n), "sums")
+    settle(spark)
     vocabulary = summed.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     texts = blocked.select("block", "ids", "target", "lens", "texts")
     return texts.groupBy("block").cogroup(summed.drop("words").groupBy("block")).applyInArrow(_score((n, n_target), vocabulary), _SCORES)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, docs_of, forget, lean, masked, materialize, raw, tune, worker_state
+from .common import WORD, distinct, docs_of, forget, lean, masked, materialize, tune, words_of
 
 ROWS, BANDS, BITS = 6, 32, 2
 K = ROWS * BANDS
@@ -37,8 +37,6 @@ BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Bits of the filter that spares the second pass most texts, 8 MB. It is used where it has 16 bits a candidate or more;
 #: of more candidates, texts are found by a semi-join instead.
 FILTER_BITS = 1 << 26
-#: Words whose hashes a worker remembers.
-WORDS = 100_000
 
 _rng = np.random.default_rng(20240)
 _A = (_rng.integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -53,31 +51,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self) < WORDS and len(w) < 64:
-            self[w] = h
-        return h
-
-
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles; of fewer words, of the whole sequence; else empty."""
-    lists = [t.lower().split() for t in texts]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    known = worker_state("neardup").setdefault("words", _Words())
-    h = np.fromiter((x for ws in lists for x in map(known.__getitem__, ws)), np.uint64, int(sizes.sum()))
+    words, codes, sizes = words_of(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[codes]
     n = max(0, len(h) - width + 1)
     roll = np.zeros(n, np.uint64)
     for j in range(width):
         roll += h[j : j + n] * _MIX[j]
     roll = _mix(roll)
     out, at = [], 0
-    for ws, size in zip(lists, sizes.tolist(), strict=True):
+    for size in sizes.tolist():
         if size >= width:
-            out.append(np.unique(roll[at : at + size - width + 1]))
+            out.append(distinct(roll[at : at + size - width + 1]))
         elif size:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b"%d " % size + b" ".join(ws))], np.uint64))
+            few = b" ".join(words[c] for c in codes[at : at + size].tolist())
+            out.append(np.array([xxhash.xxh3_64_intdigest(b"%d " % size + few)], np.uint64))
         else:
             out.append(np.empty(0, np.uint64))
         at += size
@@ -136,7 +125,7 @@ def _list(values: np.ndarray) -> pa.Array:
 def _sketches(width: int):
     def run(batches):
         for b in batches:
-            sets = shingle_sets(raw(b.column("text")), width)
+            sets = shingle_sets(b.column("text"), width)
             mins = np.array([minima(s) if len(s) else np.zeros(K, np.uint32) for s in sets], np.uint32).reshape(-1, K)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,7 +149,7 @@ def _slot(doc_ids: np.ndarray) -> np.ndarray:
 def _filter_slots(batches):
     """Bytes and bits of the filter that ids set."""
     for b in batches:
-        s = np.unique(_slot(b.column(0).to_numpy(zero_copy_only=False)))
+        s = distinct(_slot(b.column(0).to_numpy(zero_copy_only=False)))
         yield pa.RecordBatch.from_arrays([pa.array(s // 32768), pa.array(s % 32768)], names=["chunk", "bit"])
 
 
@@ -179,7 +168,7 @@ def _read_sets(width: int, bitmap=None):
             if bitmap:
                 slot = _slot(b.column("doc_id").to_numpy(zero_copy_only=False))
                 b = b.filter(pa.array((bitmap.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-            sets = [s for s in shingle_sets(raw(b.column("text")), width) if len(s)]
+            sets = [s for s in shingle_sets(b.column("text"), width) if len(s)]
             for lo in range(0, len(sets), 200):
                 part = sets[lo : lo + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], names=["node", "members"])

@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import docs_of, forget, lean, materialize, pick, raw, tune
+from .common import Recent, docs_of, forget, lean, materialize, pick, raw, tune, words_of
 
 SLOTS = 1 << 17
+#: Words whose weights a worker remembers in a generation.
+REMEMBER = 200_000
 #: Tokens in a chunk of the batched recursion.
 CHUNK = 64
 STRIP = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
@@ -296,26 +298,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
 def _score(field):
     def run(batches):
         f = field.value
-        cache: dict[bytes, float] = {}
-
-        class Known(dict):
-            def __missing__(self, w):
-                n = normal(w)
-                e = cache.get(n)
-                if e is None:
-                    e = f.emission(n)
-                    if len(cache) < 200_000:
-                        cache[n] = e
-                if len(self) < 400_000 and len(w) < 64:
-                    self[w] = e
-                return e
-
-        known = Known()
+        known: Recent = Recent(REMEMBER)
         for b in batches:
             texts = raw(b.column("text"))
-            lists = [t.split() for t in texts]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            e = np.fromiter((x for ws in lists for x in map(known.__getitem__, ws)), np.float64, int(lens.sum()))
+            words, codes, lens = words_of(b.column("text"))
+            known.age()
+            known.update({w: f.emission(normal(w)) for w in known.lacking(words)})
+            e = np.fromiter(map(known.__getitem__, words), np.float64, len(words))[codes]
             p = marginals(e, lens, f.trans)
             expected, largest = _summary(p, lens)
             score = f.document_score(expected, largest, lens)
