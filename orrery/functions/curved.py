@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import dot, fold, l2, l2_squared, norm, vec
+from .vectors import bind, dot, fold, l2, l2_squared, norm, vec
 
 EPS = 1e-10
 
@@ -24,29 +24,39 @@ def poincare_distance(a, b, curvature: float = 1.0) -> Column:
 def mobius_add(a, b, curvature: float = 1.0) -> Column:
     a, b = vec(a), vec(b)
     c = abs(curvature)
-    ab, aa, bb = dot(a, b), _sq(a), _sq(b)
-    down = F.greatest(1 + 2 * c * ab + c * c * aa * bb, F.lit(EPS))
-    x, y = (1 + 2 * c * ab + c * bb) / down, (1 - c * aa) / down
-    return F.zip_with(a, b, lambda p, q: x * p + y * q)
+
+    def scale(s: Column) -> Column:
+        ab, aa, bb = s["ab"], s["aa"], s["bb"]
+        down = F.greatest(1 + 2 * c * ab + c * c * aa * bb, F.lit(EPS))
+        x, y = (1 + 2 * c * ab + c * bb) / down, (1 - c * aa) / down
+        return bind(F.struct(x.alias("x"), y.alias("y")), lambda k: F.zip_with(a, b, lambda p, q: p * k["x"] + q * k["y"]))
+
+    return bind(F.struct(dot(a, b).alias("ab"), _sq(a).alias("aa"), _sq(b).alias("bb")), scale)
 
 
 def exp_map(base, tangent, curvature: float = 1.0) -> Column:
-    base, tangent = vec(base), vec(tangent)
+    base = vec(base)
     c = abs(curvature)
-    n = norm(tangent)
-    lam = 2 / F.greatest(1 - c * _sq(base), F.lit(EPS))
-    k = F.tanh(c**0.5 * lam * n / 2) / (c**0.5 * F.greatest(n, F.lit(EPS)))
-    return F.when(n < EPS, F.transform(base, lambda x: x.cast("double"))).otherwise(mobius_add(base, F.transform(tangent, lambda x: x * k), c))
+
+    def step(t: Column) -> Column:
+        lam = 2 / F.greatest(1 - c * _sq(base), F.lit(EPS))
+        k = bind(norm(t), lambda n: F.tanh(c**0.5 * lam * n / 2) / (c**0.5 * F.greatest(n, F.lit(EPS))))
+        moved = bind(k, lambda k: bind(F.transform(t, lambda x: x * k), lambda s: mobius_add(base, s, c)))
+        return F.when(norm(t) < EPS, F.transform(base, lambda x: x.cast("double"))).otherwise(moved)
+
+    return bind(vec(tangent), step)
 
 
 def log_map(base, target, curvature: float = 1.0) -> Column:
     base, target = vec(base), vec(target)
     c = abs(curvature)
-    diff = mobius_add(F.transform(base, lambda x: -x.cast("double")), target, c)
-    n = norm(diff)
-    lam = 2 / F.greatest(1 - c * _sq(base), F.lit(EPS))
-    k = 2 / (c**0.5 * lam) * F.atanh(F.least(c**0.5 * n, F.lit(1 - 1e-7))) / F.greatest(n, F.lit(EPS))
-    return F.transform(diff, lambda x: x * k)
+
+    def step(diff: Column) -> Column:
+        lam = 2 / F.greatest(1 - c * _sq(base), F.lit(EPS))
+        k = bind(norm(diff), lambda n: 2 / (c**0.5 * lam) * F.atanh(F.least(c**0.5 * n, F.lit(1 - 1e-7))) / F.greatest(n, F.lit(EPS)))
+        return bind(k, lambda k: F.transform(diff, lambda x: x * k))
+
+    return bind(F.transform(base, lambda x: -x.cast("double")), lambda back: bind(mobius_add(back, target, c), step))
 
 
 def project_to_ball(a, curvature: float = 1.0, margin: float = 1e-5) -> Column:

@@ -28,6 +28,11 @@ def fold(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it: lambdas don't share what they repeat."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _paired(a, b, f: Callable[[Column, Column], Column], reduce: Callable[[Column], Column], policy: str) -> Column:
     a, b = vec(a), vec(b)
     pairs = F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double")))
@@ -185,3 +190,23 @@ def hv_permute(a: Column, by: int) -> Column:
 def hv_similarity(a: Column, b: Column) -> Column:
     """1 - 2 * share of differing bits."""
     return 1 - 2 * hamming_words(a, b) / (F.size(a) * 64)
+
+
+def hv_bundle(vectors: list[Column]) -> Column:
+    """Bitwise majority of hypervectors; where as many bits are set as not, the first one's bit counts."""
+    n = len(vectors)
+    size = F.size(vectors[0])
+
+    def word(at: Column) -> Column:
+        w = [F.element_at(v, at) for v in vectors]
+        out = F.lit(0).cast("bigint")
+        for bit in range(64):
+            one = [F.shiftrightunsigned(w[i], bit).bitwiseAND(F.lit(1)) for i in range(n)]
+            total = one[0]
+            for x in one[1:]:
+                total = total + x
+            on = (2 * total > n) | ((2 * total == n) & (one[0] == 1))
+            out = out.bitwiseOR(F.when(on, F.shiftleft(F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")))
+        return out
+
+    return F.transform(F.sequence(F.lit(1), size), word)

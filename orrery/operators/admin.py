@@ -82,12 +82,13 @@ def plan_nodes(df: DataFrame) -> DataFrame:
 COST = {"Exchange": 10.0, "SortMergeJoin": 6.0, "ShuffledHashJoin": 5.0, "BroadcastNestedLoopJoin": 9.0, "CartesianProduct": 10.0, "Sort": 4.0, "Window": 4.0, "HashAggregate": 3.0, "SortAggregate": 4.0, "FileScan": 3.0}
 
 
-def bottlenecks(df: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Operators whose cost is near the plan's highest."""
+def bottlenecks(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Operators whose criticality, their cost against the plan's highest, is over the threshold, with their impact, most
+    critical first."""
     cost = F.coalesce(F.create_map(*[x for k, v in COST.items() for x in (F.lit(k), F.lit(v))])[F.col("operator")], F.lit(1.0))
     n = plan_nodes(df).withColumn("cost", cost)
     top = n.agg(F.max("cost").alias("top"))
-    return n.crossJoin(F.broadcast(top)).withColumn("score", F.col("cost") / F.col("top")).where(F.col("score") >= threshold).drop("top")
+    return n.crossJoin(F.broadcast(top)).withColumn("score", F.col("cost") / F.col("top")).where(F.col("score") > threshold).withColumn("impact", F.col("cost") * F.col("score")).drop("top").orderBy(F.desc("score"), "node_id")
 
 
 def contract_met(recall: Column, latency_ms: Column, min_cut: Column, least_recall: float, most_latency_ms: float, least_min_cut: float) -> Column:

@@ -64,7 +64,45 @@ def group_evidence(df: DataFrame, node: str, confidence: str) -> DataFrame:
     return df.groupBy(node).agg(F.count("*").alias("n"), F.max(confidence).alias("confidence")).orderBy(F.desc("confidence"), F.desc("n"), node)
 
 
-def tier_bits(accesses: Column, age: Column) -> Column:
-    """Bits to keep a value with, by accesses * 1024 / age: hot 8, warm 7 or 5, cold 3."""
-    heat = accesses * 1024 / F.greatest(age, F.lit(1))
-    return F.when(heat >= 512, 8).when(heat >= 64, 7).when(heat >= 8, 5).otherwise(3)
+def tier_bits(accesses: Column, last: Column, now: Column, hot: int = 512, warm: int = 64, warm_bits: int = 7) -> Column:
+    """Bits to keep a value with, by accesses * 1024 / (now - last + 1), a whole number: 8 if it is hot, ``warm_bits`` if
+    it is warm, else 3."""
+    heat = F.floor(accesses.cast("bigint") * 1024 / (now - last + 1))
+    return F.when(heat >= hot, 8).when(heat >= warm, warm_bits).otherwise(3)
+
+
+def weighted_cdf(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., value, cdf): the share of the weight at or below each value. Equal values are summed before they meet."""
+    by = by or []
+    s = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    w = W.partitionBy(*by)
+    run = F.sum("_w").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return s.select(*by, value, (run / F.sum("_w").over(w)).alias("cdf"))
+
+
+def argsort(df: DataFrame, value: str, id_col: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., position, id): the order of the values from 0, equal ones by id."""
+    w = W.partitionBy(*(by or [])).orderBy(value, id_col)
+    return df.select(*(by or []), (F.row_number().over(w) - 1).alias("position"), id_col)
+
+
+def bitmap(df: DataFrame, position: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., bucket, bits): positions from 0 on as bitmaps of 32,768 bits, partly made before the shuffle."""
+    p = F.col(position).cast("bigint") + 1
+    bit = F.bitmap_bit_position(p)
+    return df.where(p.isNotNull()).groupBy(*(by or []), F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
+def bitmap_positions(bitmaps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., position) of the bits that are set."""
+    byte = F.conv(F.hex(F.substring("bits", F.col("_i") + 1, F.lit(1))), 16, 10).cast("int")
+    at = bitmaps.select(*(by or []), "bucket", "bits", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("_i")).withColumn("_b", byte).where("_b > 0")
+    each = at.select(*(by or []), "bucket", "_i", "_b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_k")).where("getbit(_b, _k) = 1")
+    return each.select(*(by or []), ((F.col("bucket") - 1) * 32768 + F.col("_i") * 8 + F.col("_k")).alias("position"))
+
+
+def bitmap_combine(left: DataFrame, right: DataFrame, how: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., position) of positions that are in both bitmaps (and), in one at least (or), or in just one (xor)."""
+    sides = bitmap_positions(left, by).withColumn("_s", F.lit(1)).unionByName(bitmap_positions(right, by).withColumn("_s", F.lit(2)))
+    n = sides.groupBy(*(by or []), "position").agg(F.bit_or("_s").alias("_s"))
+    return n.where({"and": "_s = 3", "or": "true", "xor": "_s < 3"}[how]).drop("_s")

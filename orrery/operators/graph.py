@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -16,13 +17,26 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session (a local one only where none is set)."""
+    """Cut lineage through the shared checkpoint folder of the session. Where none is set, a folder of this machine, if
+    the session runs on it alone; on a cluster that raises."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="orrery-"))
     return df.checkpoint()
 
 
+#: After so many rounds, what was found in each is gathered in one table, so plans stay short.
+GATHER = 16
+
+
+def _rounds(most: int | None):
+    """1, 2, 3 and on, up to ``most`` if given."""
+    return count(1) if most is None else range(1, most + 1)
+
+
 @dataclass
 class Graph:
     nodes: DataFrame
@@ -73,19 +87,24 @@ class Graph:
         d = self.nodes.select("id").join(o, "id", "left").join(i, "id", "left").fillna(0)
         return d.withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
-    def walks(self, starts: DataFrame, low: int, high: int, direction: str = "out", types: list[str] | None = None) -> DataFrame:
-        """(start, end, hops, path, edges) of walks of low to high hops that use no edge twice, as a union of joins."""
+    def walks(self, starts: DataFrame, low: int, high: int | None, direction: str = "out", types: list[str] | None = None) -> DataFrame:
+        """(start, end, hops, path, edges) of walks of low to high hops that use no edge twice, as a union of joins;
+        without ``high``, all such walks, a stored table a hop, until no walk goes on."""
         s = self.steps(direction, types)
         row = starts.select(F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("hops"), F.array("id").alias("path"), F.array().cast(f"array<{dict(self.edges.dtypes)['id']}>").alias("edges"))
         out = row if low == 0 else None
-        for h in range(1, high + 1):
+        for h in range(1, high + 1) if high is not None else count(1):
             row = (
                 row.join(s, F.col("end") == F.col("src"))
                 .where(~F.array_contains("edges", F.col("edge_id")))
                 .select("start", F.col("dst").alias("end"), F.lit(h).alias("hops"), F.concat("path", F.array("dst")).alias("path"), F.concat("edges", F.array("edge_id")).alias("edges"))
             )
+            if high is None:
+                row = cut(row)
             if h >= low:
                 out = row if out is None else out.unionByName(row)
+            if high is None and row.isEmpty() and out is not None:
+                break
         return out
 
     def simple_paths(self, start, end, max_hops: int, max_paths: int | None = None) -> DataFrame:
@@ -102,25 +121,26 @@ class Graph:
 
     # --- searches -------------------------------------------------------------------------------------------------
 
-    def bfs(self, start, max_hops: int = 64, direction: str = "out", types: list[str] | None = None) -> DataFrame:
-        """(id, hops) of all nodes that are reached, by frontiers against what was seen."""
+    def bfs(self, start, max_hops: int | None = None, direction: str = "out", types: list[str] | None = None) -> DataFrame:
+        """(id, hops) of all nodes that are reached, within ``max_hops`` if given, by frontiers against what was seen."""
         s = self.steps(direction, types).select("src", "dst").distinct()
         seen = self.node(start).select("id", F.lit(0).alias("hops"))
         front = seen
-        for h in range(1, max_hops + 1):
+        for h in _rounds(max_hops):
             step = front.join(s, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
             front = cut(step.join(seen, "id", "left_anti").select("id", F.lit(h).alias("hops")))
             if front.isEmpty():
                 break
             seen = seen.unionByName(front)
+            seen = cut(seen) if h % GATHER == 0 else seen
         return seen
 
-    def shortest_path(self, start, end, max_hops: int = 16, types: list[str] | None = None) -> DataFrame:
+    def shortest_path(self, start, end, max_hops: int | None = None, types: list[str] | None = None) -> DataFrame:
         """(path, hops) of one shortest path by hops, of equals the one with the smallest nodes; start = end: one node."""
         s = self.steps("out", types).select("src", "dst").distinct()
         front = self.node(start).select("id", F.array("id").alias("path"))
         seen = front.select("id")
-        for _ in range(max_hops):
+        for h in _rounds(max_hops):
             hit = front.where(F.col("id") == F.lit(end))
             if not hit.isEmpty():
                 break
@@ -129,14 +149,43 @@ class Graph:
             if front.isEmpty():
                 break
             seen = seen.unionByName(front.select("id"))
+            seen = cut(seen) if h % GATHER == 0 else seen
         return front.where(F.col("id") == F.lit(end)).select("path", (F.size("path") - 1).alias("hops"))
 
-    def distances(self, start, rounds: int = 64, types: list[str] | None = None) -> DataFrame:
-        """(id, cost, path) of cheapest paths by weight (missing: 1.0), by relaxation until nothing improves."""
+    def dfs(self, start, stop: Column | None = None, types: list[str] | None = None) -> DataFrame:
+        """(id, position) of a depth-first visit, the smallest node first; it ends behind the first node that ``stop``, a
+        condition on id, holds for.
+
+        Such an order can't be found by parts. What is reached is found by rounds; its edges then come to the driver, which
+        visits them: use it for a neighbourhood, not for a whole large graph.
+        """
+        near: dict = {}
+        reach = self.bfs(start, types=types).select("id")
+        for r in self.steps("out", types).join(reach.select(F.col("id").alias("src")), "src").select("src", "dst").distinct().orderBy("src", F.desc("dst")).toLocalIterator():
+            near.setdefault(r.src, []).append(r.dst)
+        seen: dict = {}
+        todo = [r.id for r in self.node(start).select("id").collect()]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen[x] = len(seen)
+                todo += [y for y in near.get(x, []) if y not in seen]
+        spark = self.nodes.sparkSession
+        out = spark.createDataFrame(list(seen.items()) or [], f"id {dict(self.nodes.dtypes)['id']}, position int")
+        if stop is None:
+            return out
+        last = out.where(stop).agg(F.min("position").alias("last"))
+        return out.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col("position") <= F.col("last"))).drop("last")
+
+    def distances(self, start, types: list[str] | None = None) -> DataFrame:
+        """(id, cost, path) of cheapest paths by weight (missing: 1.0), by relaxation until nothing improves. Weights are
+        not negative; else this raises."""
+        if not self.steps("out", types).where("weight < 0").isEmpty():
+            raise ValueError("a weight is negative")
         s = self.steps("out", types).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
         best = self.node(start).select("id", F.lit(0.0).alias("cost"), F.array("id").alias("path"))
         front = best
-        for _ in range(rounds):
+        while True:
             step = front.join(s, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
             step = step.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("n"))
             old = best.select("id", F.col("cost").alias("old"))
@@ -146,13 +195,13 @@ class Graph:
             best = cut(best.join(front, "id", "left_anti").unionByName(front))
         return best
 
-    def all_pairs(self, rounds: int = 8) -> DataFrame:
+    def all_pairs(self) -> DataFrame:
         """(src, dst, cost) of cheapest paths between all pairs, by squaring in the min-plus algebra. For small graphs:
         the result itself has a row a pair."""
         d = self.steps("out").groupBy("src", "dst").agg(F.min("weight").alias("cost"))
         d = d.unionByName(self.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("cost"))).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
         state = None
-        for _ in range(rounds):
+        while True:
             r = d.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("cost").alias("more"))
             d = cut(d.join(r, F.col("dst") == F.col("mid")).groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("cost") + F.col("more")).alias("cost")))
             now = tuple(d.agg(F.count("*"), F.sum("cost")).first())
@@ -161,11 +210,11 @@ class Graph:
             state = now
         return d
 
-    def components(self, rounds: int = 64) -> DataFrame:
+    def components(self) -> DataFrame:
         """(id, component): the smallest id that a node is connected with, whatever the direction."""
         both = self.steps("both").select("src", "dst").distinct()
         label = self.nodes.select("id", F.col("id").alias("component"))
-        for _ in range(rounds):
+        while True:
             near = both.join(label, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
             step = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("old"))
             # Pointer jumping: take over what the component's own node has meanwhile.
@@ -174,7 +223,6 @@ class Graph:
             if step.where("component != old").isEmpty():
                 return step.select("id", "component")
             label = step.select("id", "component")
-        return label
 
     def pagerank(self, alpha: float = 0.85, rounds: int = 20, epsilon: float | None = 1e-6, seeds: DataFrame | None = None) -> DataFrame:
         """(id, rank), sums to 1. Rank of nodes without outgoing edges, and the rest of alpha, go to the seeds, or to all."""
@@ -209,16 +257,17 @@ class Graph:
             return self.nodes.select("id").join(d, "id", "left").select("id", F.coalesce(F.col("m") * F.col("m") / (F.col("s") * max(1, n - 1)), F.lit(0.0)).alias("centrality"))
         raise ValueError(f"unknown centrality: {method}")
 
-    def topological_order(self, rounds: int = 256) -> DataFrame:
+    def topological_order(self) -> DataFrame:
         """(id, level): the longest path from a source; nodes on cycles are left out."""
         e = cut(self.edges.select("src", "dst").distinct())
         left = cut(self.nodes.select("id"))
         out = left.limit(0).withColumn("level", F.lit(0))
-        for level in range(rounds):
+        for level in count():
             ready = cut(left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
             if ready.isEmpty():
                 break
             out = out.unionByName(ready.withColumn("level", F.lit(level)))
+            out = cut(out) if level % GATHER == GATHER - 1 else out
             left = cut(left.join(ready, "id", "left_anti"))
             e = cut(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
         return out

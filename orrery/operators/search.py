@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from .graph import cut
 
 #: Queries whose packed matrix stays under this are sent to all tasks; beyond, they are joined by blocks.
 BROADCAST_BYTES = 32 << 20
@@ -53,56 +56,69 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ve
     """(query_id, id, distance, rank): each query's k nearest rows.
 
     Two phases: every task scores its rows against a block of queries as a matrix product and keeps k a query; a window
-    ranks what is left. Queries whose matrix is over BROADCAST_BYTES are taken in blocks, one job's union.
+    ranks what is left. Queries whose matrix is over BROADCAST_BYTES meet the rows by blocks of both.
     """
     spark = base.sparkSession
     q = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     b = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     n, dims = q.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-(n * (dims or 1) * 8) // BROADCAST_BYTES))
-
-    def part(i: int) -> DataFrame:
-        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas() if blocks > 1 else q.toPandas()
+    def best(ids: np.ndarray, m: np.ndarray, batches):
+        """Each query's best k of all batches (id, v)."""
+        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        for pdf in batches:
+            if not len(pdf) or not len(ids):
+                continue
+            x, xi = np.array(pdf.v.tolist(), dtype=float), pdf.id.to_numpy()
+            d = _distances(metric, m, x)
+            if exclude_self:
+                d[ids[:, None] == xi[None, :]] = np.inf
+            d = np.concatenate([best_d, d], 1)
+            i = np.concatenate([best_i, np.broadcast_to(xi, (len(ids), len(xi)))], 1)
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        at, pos = np.nonzero(np.isfinite(best_d))
+        return pd.DataFrame({"query_id": ids[at], "id": best_i[at, pos], "distance": best_d[at, pos]}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
+
+    schema = "query_id bigint, id bigint, distance double"
+    if n * (dims or 1) * 8 <= BROADCAST_BYTES:
+        rows = q.toPandas()
         held = spark.sparkContext.broadcast((rows.query_id.to_numpy(), np.array(rows.v.tolist(), dtype=float).reshape(len(rows), -1)))
 
         def run(batches):
-            ids, m = held.value
-            best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                x, xi = np.array(pdf.v.tolist(), dtype=float), pdf.id.to_numpy()
-                d = _distances(metric, m, x)
-                if exclude_self:
-                    d[ids[:, None] == xi[None, :]] = np.inf
-                d = np.concatenate([best_d, d], 1)
-                i = np.concatenate([best_i, np.broadcast_to(xi, (len(ids), len(xi)))], 1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            ok = np.isfinite(best_d)
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_d.shape[1])[ok.ravel()], "id": best_i[ok], "distance": best_d[ok]})
-
-        return b.mapInPandas(run, "query_id bigint, id bigint, distance double")
-
-    found = part(0)
-    for i in range(1, blocks):
-        found = found.unionByName(part(i))
+            yield best(*held.value, batches)
+
+        found = b.mapInPandas(run, schema)
+    else:
+        # Neither side goes to the driver: blocks of rows meet blocks of queries, which are cut so that the distances of
+        # two blocks fit.
+        meet = lambda x, y: best(y.id.to_numpy(), np.array(y.v.tolist(), dtype=float).reshape(len(y), -1), [x])
+        found = _block_pairs(base, queries, vector, id_col, meet, schema)
     w = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float, vector: str = "embedding", id_col: str = "vec_id", metric: str = "cosine", buckets: int = 8, seed: int = 3) -> DataFrame:
-    """(a, b, distance) of pairs nearer than the threshold, a < b, exact.
+#: Rows of a block that meets another: their distances are one matrix.
+BLOCK_ROWS = 2048
 
-    Rows are dealt into blocks; each pair of blocks is one task, so neither side is ever whole in one place.
-    """
+
+def _block_pairs(left: DataFrame, right: DataFrame, vector: str, id_col: str, run, schema: str) -> DataFrame:
+    """``run`` (two frames of id and v) on each pair of blocks of the two sides; the number of blocks grows with the rows."""
 
     def tag(df: DataFrame, side: int) -> DataFrame:
         d = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-        d = d.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_o")
-        d = d.select("id", "v", "_g", other)
-        return d.select("id", "v", *([F.col("_g").alias("i"), F.col("_o").alias("j")] if side == 0 else [F.col("_o").alias("i"), F.col("_g").alias("j")]))
+        return d.withColumn("_g", F.pmod(F.xxhash64("id", F.lit(side)), F.lit(blocks[side])).cast("int"))
+
+    blocks = [max(1, -(-df.where(F.col(vector).isNotNull()).count() // BLOCK_ROWS)) for df in (left, right)]
+    a = tag(left, 0).select("id", "v", F.col("_g").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"))
+    b = tag(right, 1).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("i"), F.col("_g").alias("j"))
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
+
+
+def similarity_join(left: DataFrame, right: DataFrame, threshold: float, vector: str = "embedding", id_col: str = "vec_id", metric: str = "cosine") -> DataFrame:
+    """(a, b, distance) of pairs nearer than the threshold, a < b, exact.
+
+    Rows are dealt into blocks; each pair of blocks is one task, so neither side is ever whole in one place.
+    """
 
     def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -112,7 +128,42 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, vector:
         i, j = np.nonzero(ok)
         return pd.DataFrame({"a": x.id.to_numpy()[i], "b": y.id.to_numpy()[j], "distance": d[i, j]})
 
-    return tag(left, 0).groupBy("i", "j").cogroup(tag(right, 1).groupBy("i", "j")).applyInPandas(pairs, "a bigint, b bigint, distance double")
+    return _block_pairs(left, right, vector, id_col, pairs, "a bigint, b bigint, distance double")
+
+
+def pairwise_total(df: DataFrame, metric: str = "l2", vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(total, n): the sum of the distances of all pairs, and their number. Blocks are summed where they meet; no pair is
+    a row."""
+
+    def totals(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"total": [0.0], "n": [0]})
+        d = _distances(metric, np.array(x.v.tolist()), np.array(y.v.tolist()))
+        ok = x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :]
+        return pd.DataFrame({"total": [float(d[ok].sum())], "n": [int(ok.sum())]})
+
+    return _block_pairs(df, df, vector, id_col, totals, "total double, n bigint").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def attention_rerank(candidates: DataFrame, query, k: int, vector: str = "embedding", similarity: str = "similarity", id_col: str = "id", by: list[str] | None = None) -> DataFrame:
+    """(by..., id, score, rank): each list's best k by 0.6 of their attention weight, a softmax of scaled dot products
+    with the query, and 0.4 of their similarity."""
+    by = by or []
+    dims = F.size(vector)
+    c = candidates.withColumn("_s", vectors.dot(F.col(vector), query) / F.sqrt(dims.cast("double")))
+    w = W.partitionBy(*by)
+    c = c.withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(w)))
+    c = c.withColumn("score", 0.6 * F.col("_e") / F.sum("_e").over(w) + 0.4 * F.col(similarity))
+    return c.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), id_col))).where(F.col("rank") <= k).select(*by, id_col, "score", "rank")
+
+
+def model_rerank(candidates: DataFrame, model, columns: list[str], k: int, id_col: str = "id", by: list[str] | None = None) -> DataFrame:
+    """(by..., id, score, rank): each list's best k by a model, a function of pandas series that gives a score a row."""
+    by = by or []
+    score = F.pandas_udf(lambda *xs: pd.Series(np.asarray(model(*xs), float)), "double")
+    c = candidates.withColumn("score", score(*[F.col(x) for x in columns]))
+    w = W.partitionBy(*by).orderBy(F.desc("score"), id_col)
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, id_col, "score", "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -148,17 +199,23 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, query: list[float], k: i
     return top_k(index.where(F.col("list_id").isin(*[int(i) for i in near])), vector, query, k, metric, id_col)
 
 
+#: Terms of queries up to this number are broadcast.
+BROADCAST_TERMS = 100_000
+
+
 # --- keyword search -----------------------------------------------------------------------------------------------
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank). idf = ln((N - df + 0.5) / (df + 0.5) + 1). Query terms count once each."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), text.terms(F.col(text_col)).alias("terms"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    tf = t.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(text.terms(F.col(text_col)))).alias("term"))
-    # Only terms that are asked for go on: a semi join before the aggregation by term.
-    tf = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = asked.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    # Terms are made once, in a stored table, and only those that are asked for are grouped.
+    t = cut(docs.select(F.col(doc_id).alias("doc_id"), text.terms(F.col(text_col)).alias("terms")))
+    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
+    tf = t.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    tf = cut(tf.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
     hit = asked.join(df_, "term").join(tf, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -267,17 +324,22 @@ def conformal_set(df: DataFrame, score: str, threshold: float) -> DataFrame:
     return df.where(F.col(score) <= threshold)
 
 
+#: What sends a question to the temporal or the graph search.
+TEMPORAL = ["yesterday", "last week", "last month", "today", "this morning", "this afternoon", "hours ago", "minutes ago", "days ago", "between", "before", "after"]
+GRAPH = ["related to", "connected to", "linked with", "associated with", "relationship between"]
+
+
 def route(query: Column) -> Column:
-    """What kind of search a question asks for, by its words."""
+    """What kind of search a question asks for: temporal or graph by the words in it; keyword if it is quoted whole or
+    has two words or fewer; else hybrid."""
     q = F.lower(query)
-    has = lambda *ws: q.rlike(r"\b(" + "|".join(ws) + r")\b")
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(q, F.lit(w)) for w in words])
     return (
-        F.when(has("related", "connected", "connection", "relationship", "linked"), "graph")
-        .when(has("yesterday", "today", "week", "month", "recent", "recently", "before", "after", "when", "last"), "temporal")
-        .when(q.contains('"'), "keyword")
-        .when(F.size(F.split(F.trim(q), r"\s+")) <= 2, "keyword")
-        .when(has("and", "or", "not"), "hybrid")
-        .otherwise("semantic")
+        F.when(has(TEMPORAL), "temporal")
+        .when(has(GRAPH), "graph")
+        .when(F.startswith(query, F.lit('"')) & F.endswith(query, F.lit('"')), "keyword")
+        .when(F.size(F.filter(F.split(q, r"\s+"), lambda w: w != "")) <= 2, "keyword")
+        .otherwise("hybrid")
     )
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph
+from ..operators.graph import Graph, cut
 from .tokens import Stream
 
 _TOKENS = r"""
@@ -61,9 +61,12 @@ def _compare(op: str, a: Val, b: Val) -> Column:
 
 
 class Engine:
-    """Runs queries over a graph. Mutating clauses give the changed graph in ``graph``."""
+    """Runs queries over a graph. Mutating clauses give the changed graph in ``graph``.
 
-    def __init__(self, graph: Graph, params: dict | None = None, max_hops: int = 8):
+    ``*`` and ``*2..`` go on until no walk does, or up to ``max_hops`` if given: walks use no edge twice.
+    """
+
+    def __init__(self, graph: Graph, params: dict | None = None, max_hops: int | None = None):
         self.graph, self.params, self.max_hops = graph, params or {}, max_hops
         self.spark = graph.nodes.sparkSession
 
@@ -233,7 +236,7 @@ class Engine:
                 hops.append(F.lit(1))
                 edges_cols.append(F.array(f"{name}__id"))
             else:
-                w = self._walks(low, high, direction, types)
+                w = self.graph.walks(rows.select(F.col(f"{at}__id").alias("id")).distinct(), low, high, direction, types or None)
                 self.kinds[name] = "list"
                 rows = rows.join(w.select(F.col("start").alias("_from"), F.col("end").alias("_to"), F.col("edges").alias(name), F.col("hops").alias(f"{name}__hops")), F.col(f"{at}__id") == F.col("_from"))
                 hops.append(F.col(f"{name}__hops"))
@@ -253,9 +256,6 @@ class Engine:
             rows = rows.withColumn(path, F.struct(F.array(*ids).alias("nodes"), (F.concat(*edges_cols) if edges_cols else F.array().cast("array<string>")).alias("relationships"), total.alias("length")))
         return rows
 
-    def _walks(self, low: int, high: int, direction: str, types: list[str]) -> DataFrame:
-        return self.graph.walks(self.graph.nodes.select("id"), low, high, direction, types or None)
-
     def _match(self, optional: bool = False) -> None:
         before, kinds = self.rows, dict(self.kinds)
         patterns = [self._pattern()]
@@ -263,7 +263,8 @@ class Engine:
             patterns.append(self._pattern())
         start = self.t.i
         if optional and before is not None:
-            key = before.withColumn("_row", F.monotonically_increasing_id())
+            # Numbered once, in a stored table: both sides of the join below must see the same numbers.
+            key = cut(before.withColumn("_row", F.monotonically_increasing_id()))
             rows: DataFrame | None = key
         else:
             rows = before

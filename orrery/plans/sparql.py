@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from .tokens import Stream
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -419,7 +420,8 @@ class Engine:
         cond = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"_r_{c}") for c in shared], F.lit(True))
         if filters:
             both = [c for c in right.columns if c not in left.columns]
-            key = left.withColumn("_row", F.monotonically_increasing_id())
+            # Numbered once, in a stored table: both sides of the join below must see the same numbers.
+            key = cut(left.withColumn("_row", F.monotonically_increasing_id()))
             hit = key.join(r, cond).select(*left.columns, "_row", *[F.col(f"_r_{c}").alias(c) for c in both])
             for at in filters:
                 t.i = at
@@ -463,12 +465,20 @@ class Engine:
         shared = [c for c in left.columns if c in right.columns]
         if not shared:
             return left
-        r = right.select(*[F.col(c).alias(f"_r_{c}") for c in shared]).distinct()
-        ok = reduce(lambda x, y: x & y, [(F.col(c) == F.col(f"_r_{c}")) | F.col(c).isNull() | F.col(f"_r_{c}").isNull() for c in shared])
-        some = reduce(lambda x, y: x | y, [F.col(c).isNotNull() & F.col(f"_r_{c}").isNotNull() for c in shared])
-        if len(shared) == 1:
-            return left.join(r.withColumnRenamed(f"_r_{shared[0]}", shared[0]), shared, "left_anti")
-        return left.join(r, ok & some, "left_anti")
+        # Rows with equal sets of bound variables meet in an equi-join over those that both sides have bound, so there is
+        # one anti-join for each pair of such sets, of which few occur.
+        bound = lambda df: [[c for c in shared if r[c]] for r in df.select(*[F.col(c).isNotNull().alias(c) for c in shared]).distinct().collect()]
+        only = lambda df, names: df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() if c in names else F.col(c).isNull() for c in shared]))
+        right = right.select(*shared).distinct()
+        removed = [(names, only(right, names)) for names in bound(right)]
+        parts = []
+        for mine in bound(left):
+            part = only(left, mine)
+            for its, rows in removed:
+                if on := [c for c in mine if c in its]:
+                    part = part.join(rows.select(*on).distinct(), on, "left_anti").select(*left.columns)
+            parts.append(part)
+        return reduce(DataFrame.unionByName, parts) if parts else left
 
     def _values(self) -> DataFrame:
         t = self.t

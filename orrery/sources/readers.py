@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 
 import numpy as np
 import pandas as pd
@@ -11,22 +12,31 @@ from pyspark.sql import functions as F
 
 
 def read_json_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(id, vector, metadata) from an array or lines of objects; metadata is kept as JSON text."""
-    raw = spark.read.schema("id string, vector array<double>, metadata string").option("multiLine", True).json(path)
-    return raw
+    """(id, vector, metadata) from an array or lines of objects; metadata is kept as JSON text. What isn't JSON raises.
+
+    Where the first line that isn't blank is a whole object, each line is one, and files are split between tasks.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    many = first is not None
+    if many:
+        try:
+            many = not isinstance(json.loads(first[0]), dict)
+        except ValueError:
+            pass
+    return spark.read.schema("id string, vector array<double>, metadata string").json(path, multiLine=many, mode="FAILFAST")
 
 
 def read_csv_vectors(spark: SparkSession, path: str, id_column: int = 0, vector_start: int = 1, dimensions: int | None = None, header: bool = True, sep: str = ",") -> DataFrame:
     """(id, vector) from delimited text: an id column and the columns after it; the dimension is read off the file's
-    first line if it isn't given."""
+    first line if it isn't given. A cell that is no number, or a row of another length, raises. Blank lines don't count."""
     if dimensions is None:
-        first = spark.read.text(path).first()[0]
-        dimensions = len(first.split(sep)) - vector_start
+        first = spark.read.text(path).first()
+        dimensions = len(first[0].split(sep)) - vector_start if first else 0
     names = [f"c{i}" for i in range(vector_start + dimensions)]
-    df = spark.read.csv(path, header=False, sep=sep, schema=", ".join(f"{n} string" for n in names))
-    cells = [F.col(n).try_cast("double") for n in names[vector_start:]]
-    out = df.select(F.col(names[id_column]).alias("id"), F.array(*cells).alias("vector"))
-    return out.where(F.forall("vector", lambda x: x.isNotNull())) if header else out
+    df = spark.read.csv(path, header=header, sep=sep, schema=", ".join(f"{n} string" for n in names), mode="FAILFAST")
+    wrong = lambda n: F.raise_error(F.concat(F.lit("not a number: "), F.coalesce(F.col(n), F.lit("nothing")))).cast("double")
+    cells = [F.coalesce(F.trim(n).try_cast("double"), wrong(n)) for n in names[vector_start:]]
+    return df.select(F.col(names[id_column]).alias("id"), F.array(*cells).alias("vector"))
 
 
 def read_npy(spark: SparkSession, path: str, start_id: int = 0, rows_per_batch: int = 4096) -> DataFrame:

@@ -51,31 +51,35 @@ def similarity_dedup(df: DataFrame, size: int = 100, threshold: float = 0.95) ->
     return df.groupBy("key").applyInPandasWithState(step, _DEDUP, "kept array<array<double>>", "append", GroupStateTimeout.NoTimeout)
 
 
-_GATE = "key string, id bigint, value double, residual double"
-
-
-def _gate_rows(key: str, pdf: pd.DataFrame, state: list[float | None], alpha: float, threshold: float) -> pd.DataFrame:
+def _gate_rows(key: str, pdf: pd.DataFrame, state: list, alpha: float, threshold: float) -> pd.DataFrame:
+    """Rows whose residual's root mean square is over the threshold; those move the prediction, which begins with zeros."""
     out = []
-    for i, v in zip(pdf.id, pdf.value, strict=True):
-        r = float("inf") if state[0] is None else abs(v - state[0])
+    for i, value in zip(pdf.id, pdf.value, strict=True):
+        v = np.atleast_1d(np.asarray(value, float))
+        if state[0] is None:
+            state[0] = np.zeros(len(v))
+        r = float(np.sqrt(np.mean((v - state[0]) ** 2)))
         if r > threshold:
-            out.append((key, int(i), float(v), r if np.isfinite(r) else None))
-        state[0] = float(v) if state[0] is None else alpha * v + (1 - alpha) * state[0]
-    return pd.DataFrame(out, columns=["key", "id", "value", "residual"]).astype({"id": "int64", "value": "float64", "residual": "float64"})
+            out.append((key, int(i), value, r))
+            state[0] = (1 - alpha) * state[0] + alpha * v
+    return pd.DataFrame(out, columns=["key", "id", "value", "residual"]).astype({"id": "int64", "residual": "float64"})
 
 
 def residual_gate(df: DataFrame, threshold: float, alpha: float = 0.3) -> DataFrame:
-    """Rows (key, id, ts, value) that an exponential mean didn't foresee to within the threshold; the first always."""
+    """Rows (key, id, ts, value) that a running prediction missed by more than the threshold (root mean square over a
+    vector's components; a number is a vector of one). Only rows that go through teach the prediction."""
+    schema = f"key string, id bigint, value {dict(df.dtypes)['value']}, residual double"
     if not df.isStreaming:
-        return df.groupBy("key").applyInPandas(lambda k, pdf: _gate_rows(k[0], pdf.sort_values(["ts", "id"]), [None], alpha, threshold), _GATE)
+        return df.groupBy("key").applyInPandas(lambda k, pdf: _gate_rows(k[0], pdf.sort_values(["ts", "id"]), [None], alpha, threshold), schema)
 
     def step(k, pdfs, state: GroupState):
-        now: list[float | None] = [state.get[0] if state.exists else None]
+        now = [np.array(state.get[0]) if state.exists else None]
         for pdf in pdfs:
             yield _gate_rows(k[0], pdf.sort_values(["ts", "id"]), now, alpha, threshold)
-        state.update((now[0],))
+        if now[0] is not None:
+            state.update((now[0].tolist(),))
 
-    return df.groupBy("key").applyInPandasWithState(step, _GATE, "mean double", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy("key").applyInPandasWithState(step, schema, "mean array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def forecast(series: np.ndarray, steps: int, alpha: float = 0.3, beta: float = 0.1) -> np.ndarray:

@@ -112,10 +112,9 @@ def mmr_rerank(spark, d):
     return search.mmr(near.withColumn("score", 1 - F.col("distance")), 5, 0.5)
 
 
-@query("pairwise_l2_sum", f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 100) SELECT round(sum({_L2_PAIR}), 4) AS total, count(*) AS n FROM e q JOIN e c ON q.vec_id < c.vec_id")
+@query("pairwise_l2_sum", f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT round(sum({_L2_PAIR}), 4) AS total, count(*) AS n FROM e q JOIN e c ON q.vec_id < c.vec_id")
 def pairwise_l2_sum(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 100")
-    return search.similarity_join(e, e, float("inf"), metric="l2").agg(F.round(F.sum("distance"), 4).alias("total"), F.count("*").alias("n"))
+    return search.pairwise_total(t(spark, d, "embeddings")).select(F.round("total", 4).alias("total"), "n")
 
 
 @query("distance_histogram", f"{Q0}, x AS (SELECT {DIST['l2']} AS x FROM e, q WHERE vec_id > 0) SELECT (CASE WHEN x < 1 THEN 0 WHEN x >= 2 THEN 11 ELSE floor((x - 1) * 10) + 1 END)::BIGINT AS bucket, count(*) AS n, round(avg(x), 6) AS mean FROM x GROUP BY 1")
@@ -226,7 +225,7 @@ def tenant_isolation(spark, d):
 
 _TERMS = """regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')"""
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_STEM = "CASE WHEN len(t) <= 5 THEN t WHEN suffix(t,'ing') THEN t[:-4] WHEN suffix(t,'ed') THEN t[:-3] WHEN suffix(t,'es') THEN t[:-3] WHEN suffix(t,'s') THEN t[:-2] WHEN suffix(t,'ly') THEN t[:-3] WHEN suffix(t,'tion') THEN t[:-5] ELSE t END"
+_STEM = "CASE WHEN len(t) <= 5 THEN t WHEN suffix(t,'ing') THEN t[:-4] WHEN suffix(t,'ed') OR suffix(t,'es') THEN t[:-3] WHEN suffix(t,'s') AND NOT suffix(t,'ss') THEN t[:-2] WHEN suffix(t,'ly') THEN t[:-3] WHEN suffix(t,'tion') THEN t[:-4] ELSE t END"
 _BM25 = f"""WITH dt AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents), d AS (SELECT doc_id, {_STEM} AS term FROM dt WHERE len(t) > 1 AND t NOT IN ({_STOP})),
 len_ AS (SELECT documents.doc_id, count(d.term) AS len FROM documents LEFT JOIN d USING (doc_id) GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM len_),
 qt AS (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark), q AS (SELECT DISTINCT item_id AS query_id, {_STEM} AS term FROM qt WHERE len(t) > 1 AND t NOT IN ({_STOP})),
@@ -278,7 +277,10 @@ def norm_zscore(spark, d):
     return search.normalized(_lists(spark, d)[0], "score", "zscore").select("id", r6("score").alias("score"))
 
 
-@query("query_route", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(related|connected|connection|relationship|linked)\\b') THEN 'graph' WHEN regexp_matches(lower(text), '\\b(yesterday|today|week|month|recent|recently|before|after|when|last)\\b') THEN 'temporal' WHEN contains(lower(text), '\"') THEN 'keyword' WHEN len(regexp_split_to_array(trim(lower(text)), '\\s+')) <= 2 THEN 'keyword' WHEN regexp_matches(lower(text), '\\b(and|or|not)\\b') THEN 'hybrid' ELSE 'semantic' END AS route FROM conversations")
+_ANY = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+@query("query_route", f"SELECT conv_id, turn, CASE WHEN {_ANY(search.TEMPORAL)} THEN 'temporal' WHEN {_ANY(search.GRAPH)} THEN 'graph' WHEN starts_with(text, '\"') AND suffix(text, '\"') THEN 'keyword' WHEN len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) <= 2 THEN 'keyword' ELSE 'hybrid' END AS route FROM conversations")
 def query_route(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", search.route(F.col("text")).alias("route"))
 
@@ -365,11 +367,12 @@ def mobius_add(spark, d):
     return _half(spark, d).select("vec_id", r6(vectors.fold(curved.mobius_add("a", "b"))).alias("total"))
 
 
-@query("exp_log_round_trip", "SELECT vec_id, true AS same FROM embeddings")
+# The tangent at a towards b, of unit length, moved along by half the distance: its distance from a is known.
+@query("exp_log_round_trip", f"{_HALF} SELECT vec_id, true AS same, round(acosh(greatest(1.0, 1 + 2 * dd / ((1 - aa) * (1 - bb)))) / 2, 5) AS half FROM n WHERE vec_id > 0")
 def exp_log_round_trip(spark, d):
-    h = _half(spark, d)
-    back = curved.exp_map("a", curved.log_map("a", "b"))
-    return h.select("vec_id", (vectors.chebyshev(back, F.col("b")) < 1e-6).alias("same"))
+    h = _half(spark, d).where("vec_id > 0").withColumn("t", curved.log_map("a", "b"))
+    h = h.withColumn("back", curved.exp_map("a", "t")).withColumn("mid", curved.exp_map("a", F.transform("t", lambda x: x / 2)))
+    return h.select("vec_id", (vectors.chebyshev(F.col("back"), F.col("b")) < 1e-6).alias("same"), F.round(curved.poincare_distance("a", "mid"), 5).alias("half"))
 
 
 @query("lorentz_distance", f"{_HALF} SELECT vec_id, round(acosh(greatest(1.0, ((1+aa)/(1-aa)) * ((1+bb)/(1-bb)) - 4 * ab / ((1-aa)*(1-bb)))), 5) AS distance FROM n")
@@ -400,9 +403,59 @@ def wasserstein_1d(spark, d):
     return t(spark, d, "embeddings").select("vec_id", r6(distributions.wasserstein(F.transform("embedding", lambda x: x.cast("double")), query_vector(spark, d))).alias("distance"))
 
 
-@query("hash_embeddings")
+_HASHED = "SELECT doc_id, list_transform(range(64), lambda i: ('0x' || md5(i || ':' || md5(coalesce(text, '')))[1:8])::BIGINT::DOUBLE / 4294967295.0 * 2 - 1) AS v FROM documents"
+
+
+@query("hash_embeddings", f"WITH h AS ({_HASHED}) SELECT doc_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_sum(v) / sqrt(list_inner_product(v, v)), 6) AS total FROM h")
 def hash_embeddings(spark, d):
-    return t(spark, d, "documents").select("doc_id", r6(vectors.norm(text.hash_embedding(F.col("text")))).alias("norm"))
+    h = t(spark, d, "documents").select("doc_id", text.hash_embedding(F.col("text")).alias("v"))
+    return h.select("doc_id", r6(F.col("v")[0]).alias("first"), r6(vectors.fold(F.col("v"))).alias("total"))
+
+
+@query("attention_rerank", f"{Q0}, c AS (SELECT e.vec_id AS id, e.v AS v, q.v AS q, list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))) AS sim FROM e, q WHERE e.vec_id > 0 ORDER BY sim DESC, id LIMIT 50), x AS (SELECT *, exp(list_inner_product(v, q) / 8.0) AS a FROM c), s AS (SELECT id, 0.6 * a / sum(a) OVER () + 0.4 * sim AS score FROM x) SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 10")
+def attention_rerank(spark, d):
+    q = query_vector(spark, d)
+    near = search.top_k(t(spark, d, "embeddings").where("vec_id > 0"), "embedding", q, 50, "cosine").select(F.col("vec_id").alias("id"), (1 - F.col("distance")).alias("similarity"), "embedding")
+    return search.attention_rerank(near, q, 10).select("id", r6("score").alias("score"), "rank")
+
+
+@query("model_rerank", f"{Q0}, c AS (SELECT e.vec_id AS id, e.v AS v, {DIST['l2']} AS x FROM e, q WHERE e.vec_id > 0 ORDER BY x, id LIMIT 50) SELECT id, round(v[1], 6) AS score, row_number() OVER (ORDER BY v[1] DESC, id)::INTEGER AS rank FROM c QUALIFY rank <= 10")
+def model_rerank(spark, d):
+    near = search.top_k(t(spark, d, "embeddings").where("vec_id > 0"), "embedding", query_vector(spark, d), 50).select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("first"))
+    return search.model_rerank(near, lambda x: x, ["first"], 10).select("id", r6("score").alias("score"), "rank")
+
+
+@query("bitmap_combine", "SELECT 'and' AS how, user_id AS position FROM (SELECT user_id FROM events WHERE value > 50 INTERSECT SELECT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)) UNION ALL SELECT 'xor', user_id FROM ((SELECT user_id FROM events WHERE value > 90 EXCEPT SELECT user_id FROM events WHERE value < 5) UNION (SELECT user_id FROM events WHERE value < 5 EXCEPT SELECT user_id FROM events WHERE value > 90))")
+def bitmap_combine(spark, d):
+    e = t(spark, d, "events")
+    kind = e.agg(F.min("event_type")).first()[0]
+    bits = lambda cond: aggregates.bitmap(e.where(cond), "user_id")
+    both = aggregates.bitmap_combine(bits("value > 50"), bits(F.col("event_type") == kind), "and").select(F.lit("and").alias("how"), "position")
+    return both.unionByName(aggregates.bitmap_combine(bits("value > 90"), bits("value < 5"), "xor").select(F.lit("xor").alias("how"), "position"))
+
+
+@query("weighted_cdf", "WITH s AS (SELECT event_type, round(value) AS value, sum(event_id % 7 + 1) AS w FROM events GROUP BY 1, 2) SELECT event_type, value, round(sum(w) OVER (PARTITION BY event_type ORDER BY value) / sum(w) OVER (PARTITION BY event_type), 6) AS cdf FROM s")
+def weighted_cdf(spark, d):
+    e = t(spark, d, "events").select("event_type", F.round("value").alias("value"), F.expr("event_id % 7 + 1").alias("w"))
+    return aggregates.weighted_cdf(e, "value", "w", ["event_type"]).select("event_type", "value", r6("cdf").alias("cdf"))
+
+
+@query("argsort_by_type", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS position, event_id FROM events")
+def argsort_by_type(spark, d):
+    return aggregates.argsort(t(spark, d, "events"), "value", "event_id", ["event_type"]).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query("tier_bits", "SELECT user_id, CASE WHEN s >= 512 THEN 8 WHEN s >= 64 THEN 7 ELSE 3 END AS bits FROM (SELECT user_id, count(*) * 1024 // (max(max(event_id)) OVER () - max(event_id) + 1) AS s FROM events GROUP BY 1)")
+def tier_bits(spark, d):
+    e = t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    now = e.agg(F.max("last")).first()[0]
+    return e.select("user_id", aggregates.tier_bits(F.col("n"), F.col("last"), F.lit(now)).alias("bits"))
+
+
+@query("entities_found")
+def entities_found(spark, d):
+    e = t(spark, d, "documents").select("doc_id", text.entities(F.col("text")).alias("e"))
+    return e.select("doc_id", "e.*")
 
 
 @query("k_winners", "WITH x AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS pos FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos) AS rn FROM x) SELECT vec_id, sum(pos)::BIGINT AS places FROM r WHERE rn <= 5 GROUP BY vec_id")
