@@ -106,6 +106,11 @@ def log_since(log: DataFrame, sequence: int) -> DataFrame:
     return log.where(F.col("sequence") > sequence)
 
 
+def log_truncate(log: DataFrame, before: int) -> DataFrame:
+    """The log without entries before a sequence number."""
+    return log.where(F.col("sequence") >= before)
+
+
 def log_range(log: DataFrame, low: int, high: int) -> DataFrame:
     return log.where(F.col("sequence").between(low, high))
 

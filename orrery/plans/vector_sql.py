@@ -21,6 +21,33 @@ FUNCTIONS = {
     "vector_ip": f"-({_DOT})",
     "vector_l1": _FOLD.format("abs(CAST(x AS DOUBLE) - y)"),
 }
+_PAIRS = "zip_with({{a}}, {{b}}, (x, y) -> {})"
+_EACH = "transform({{a}}, x -> {})"
+_POINCARE = f"acosh(greatest(1D, 1 + 2 * {_FOLD.format('(CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)')} / greatest((1 - pow({_A}, 2)) * (1 - pow({_B}, 2)), 1e-10)))"
+#: More functions by name: of two vectors (over {a} and {b}) or of one, and what they return.
+MORE = {
+    "vector_dot": (_DOT, "DOUBLE"),
+    "vector_l2_squared": (_FOLD.format("(CAST(x AS DOUBLE) - y) * (CAST(x AS DOUBLE) - y)"), "DOUBLE"),
+    "vector_cosine_similarity": (f"CASE WHEN {_A} = 0 OR {_B} = 0 THEN 0D ELSE {_DOT} / nullif({_A} * {_B}, 0) END", "DOUBLE"),
+    "vector_chebyshev": ("array_max(zip_with({a}, {b}, (x, y) -> abs(CAST(x AS DOUBLE) - y)))", "DOUBLE"),
+    "vector_canberra": (_FOLD.format("CASE WHEN abs(x) + abs(y) = 0 THEN 0D ELSE abs(CAST(x AS DOUBLE) - y) / nullif(abs(x) + abs(y), 0) END"), "DOUBLE"),
+    "vector_hamming": (_FOLD.format("CASE WHEN (x > 0) <> (y > 0) THEN 1D ELSE 0D END"), "DOUBLE"),
+    "vector_poincare": (_POINCARE, "DOUBLE"),
+    "vector_add": (_PAIRS.format("CAST(x AS DOUBLE) + y"), "ARRAY<DOUBLE>"),
+    "vector_sub": (_PAIRS.format("CAST(x AS DOUBLE) - y"), "ARRAY<DOUBLE>"),
+    "vector_mul": (_PAIRS.format("CAST(x AS DOUBLE) * y"), "ARRAY<DOUBLE>"),
+    "vector_norm": (_A, "DOUBLE"),
+    "vector_dims": ("size({a})", "INT"),
+    "vector_sum": ("aggregate({a}, 0D, (acc, x) -> acc + x)", "DOUBLE"),
+    "vector_avg": ("aggregate({a}, 0D, (acc, x) -> acc + x) / nullif(size({a}), 0)", "DOUBLE"),
+    "vector_normalize": (f"CASE WHEN {_A} = 0 THEN {{a}} ELSE element_at(transform(array({_A}), n -> transform({{a}}, x -> x / nullif(n, 0))), 1) END", "ARRAY<DOUBLE>"),
+    "vector_abs": (_EACH.format("abs(x)"), "ARRAY<DOUBLE>"),
+    "vector_neg": (_EACH.format("-x"), "ARRAY<DOUBLE>"),
+    "vector_relu": (_EACH.format("greatest(x, 0D)"), "ARRAY<DOUBLE>"),
+    "vector_sigmoid": (_EACH.format("1 / (1 + exp(-x))"), "ARRAY<DOUBLE>"),
+    "vector_binary": (_EACH.format("CASE WHEN x > 0 THEN 1D ELSE 0D END"), "ARRAY<DOUBLE>"),
+    "vector_softmax": ("element_at(transform(array(array_max({a})), m -> element_at(transform(array(transform({a}, x -> exp(x - m))), e -> transform(e, x -> x / aggregate(e, 0D, (acc, y) -> acc + y))), 1)), 1)", "ARRAY<DOUBLE>"),
+}
 OPERATORS = {"<->": "vector_l2", "<=>": "vector_cosine", "<#>": "vector_ip", "<+>": "vector_l1"}
 _OPERAND = r"(?:[A-Za-z_][\w.]*(?:\([^()]*\))?|\[[^\]]*\]|'\[[^\]]*\]'(?:::vector)?|\((?:[^()]|\([^()]*\))*\)|:\w+)"
 _INFIX = re.compile(rf"({_OPERAND})\s*(<->|<=>|<#>|<\+>)\s*({_OPERAND})")
@@ -30,11 +57,18 @@ def register(spark: SparkSession) -> None:
     """Make the functions known to a session."""
     for name, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {_checked(body, 'a', 'b')}")
+    for name, (body, kind) in MORE.items():
+        if "{b}" in body:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS {kind} RETURN {_checked(body, 'a', 'b', kind)}")
+        else:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>) RETURNS {kind} RETURN {body.format(a='a')}")
+    # A table function: a vector's components as rows.
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vector_rows(a ARRAY<DOUBLE>) RETURNS TABLE(pos INT, x DOUBLE) RETURN SELECT pos, col FROM posexplode(a)")
 
 
-def _checked(body: str, a: str, b: str) -> str:
+def _checked(body: str, a: str, b: str, kind: str = "DOUBLE") -> str:
     """The expression; vectors of different lengths raise."""
-    return f"(CASE WHEN size({a}) <> size({b}) THEN CAST(raise_error('vectors differ in length') AS DOUBLE) ELSE {body.format(a=a, b=b)} END)"
+    return f"(CASE WHEN size({a}) <> size({b}) THEN CAST(raise_error('vectors differ in length') AS {kind}) ELSE {body.format(a=a, b=b)} END)"
 
 
 def _literal(s: str) -> str:

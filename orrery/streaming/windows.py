@@ -66,3 +66,32 @@ def correlation(df: DataFrame, ts: str, size: str, series: str, value: str) -> D
 def every(query_df: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = "5 seconds"):
     """Call back with each micro-batch; restarts resume at the checkpoint."""
     return query_df.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+
+
+def trend_buckets(df: DataFrame, ts: str, size: str, value: str) -> DataFrame:
+    """(start, n, average, best) of each bucket of time."""
+    w = F.window(ts, size)
+    return df.groupBy(w).agg(F.count("*").alias("n"), F.avg(value).alias("average"), F.max(value).alias("best")).select(F.col("window.start").alias("start"), "n", "average", "best")
+
+
+def regime_change(df: DataFrame, value: str, order: list[str], recent: int, baseline: int, by: list[str]) -> DataFrame:
+    """Rows with ``change``, the probability that the level shifted: how far the mean of the last ``recent`` rows is from
+    that of the ``baseline`` rows before them, in standard errors of the two, as a two-sided normal probability."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*by).orderBy(*order)
+    now, past = w.rowsBetween(-(recent - 1), 0), w.rowsBetween(-(recent + baseline - 1), -recent)
+    error = F.sqrt(F.var_pop(value).over(now) / F.count(value).over(now) + F.var_pop(value).over(past) / F.nullif(F.count(value).over(past), F.lit(0)))
+    z = F.abs(F.avg(value).over(now) - F.avg(value).over(past)) / F.nullif(error, F.lit(0.0))
+    # 1 - erfc(z / sqrt 2), by the logistic curve next to the normal one.
+    return df.withColumn("change", F.coalesce(2 / (1 + F.exp(-1.702 * z)) - 1, F.lit(0.0)))
+
+
+def metrics(query) -> list[dict]:
+    """Of each recent micro-batch of a running query: rows, rows a second taken in and processed, and milliseconds; it falls
+    behind where more comes in than is processed."""
+    out = []
+    for p in query.recentProgress:
+        taken, done = p["inputRowsPerSecond"] or 0.0, p["processedRowsPerSecond"] or 0.0
+        out.append({"batch": p["batchId"], "rows": p["numInputRows"], "input_rate": taken, "rate": done, "ms": p["durationMs"].get("triggerExecution", 0), "behind": taken > done > 0})
+    return out

@@ -131,7 +131,7 @@ def graph_hyperedges(spark, d):
 # --- Cypher -------------------------------------------------------------------------------------------------------
 
 _CY = {
-    "match_one_hop": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE n.name = 'nation_3' OR n.name = 'CANADA' RETURN c.name AS name, n.name AS nation", "SELECT c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('nation_3', 'CANADA')"),
+    "match_one_hop": ("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE n.name = 'NATION_3' OR n.name = 'NATION_4' RETURN c.name AS name, n.name AS nation", "SELECT c_name AS name, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IN ('NATION_3', 'NATION_4')"),
     "match_chain": ("MATCH (s:Supplier)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(*) AS n", "SELECT r_name AS region, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "match_incoming": ("MATCH (n:Nation)<-[:IN_NATION]-(c:Customer) WHERE c.acctbal > 9000 RETURN n.name AS nation, count(c) AS n ORDER BY n DESC, nation LIMIT 5", "SELECT n_name AS nation, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_acctbal > 9000 GROUP BY 1 ORDER BY n DESC, nation LIMIT 5"),
     "match_with": ("MATCH (c:Customer)-[p:PLACED]->(o:Order) WITH c, count(o) AS n WHERE n > 15 RETURN c.name AS name, n", "SELECT c_name AS name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING count(*) > 15"),
@@ -139,7 +139,7 @@ _CY = {
     "match_pattern_predicate": ("MATCH (n:Nation) WHERE NOT (n)<-[:IN_NATION]-(:Supplier) RETURN n.name AS nation", "SELECT n_name AS nation FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)"),
     "match_var_length": ("MATCH (s:Supplier)-[:IN_NATION|IN_REGION*1..2]->(x) RETURN s.name AS name, x.name AS x", "SELECT s_name AS name, n_name AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "match_open_length": ("MATCH (s:Supplier)-[:IN_NATION|IN_REGION*]->(x:Region) RETURN s.name AS name, x.name AS x", "SELECT s_name AS name, r_name AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
-    "match_strings": ("MATCH (n:Nation) WHERE n.name STARTS WITH 'nation' AND (n.name ENDS WITH '1' XOR n.name CONTAINS '_1') AND n.name =~ '.*_[0-9]+' RETURN n.name AS name", "SELECT n_name AS name FROM nation WHERE n_name LIKE 'nation%' AND ((n_name LIKE '%1') <> contains(n_name, '_1')) AND regexp_full_match(n_name, '.*_[0-9]+')"),
+    "match_strings": ("MATCH (n:Nation) WHERE n.name STARTS WITH 'NATION' AND (n.name ENDS WITH '1' XOR n.name CONTAINS '_1') AND n.name =~ '.*_[0-9]+' RETURN n.name AS name", "SELECT n_name AS name FROM nation WHERE n_name LIKE 'NATION%' AND ((n_name LIKE '%1') <> contains(n_name, '_1')) AND regexp_full_match(n_name, '.*_[0-9]+')"),
     "match_distinct_case": ("MATCH (c:Customer) RETURN DISTINCT CASE WHEN c.acctbal < 0 THEN 'debt' ELSE toUpper(c.mktsegment) END AS class", "SELECT DISTINCT CASE WHEN c_acctbal < 0 THEN 'debt' ELSE upper(c_mktsegment) END AS class FROM customer"),
     "match_undirected": ("MATCH (a:Nation)-[:IN_REGION]-(r:Region)-[:IN_REGION]-(b:Nation) WHERE a.name < b.name RETURN a.name AS a, b.name AS b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name"),
     "unwind": ("UNWIND [1, 2, 3] AS x RETURN x * 2 AS y", "SELECT unnest([2, 4, 6])::BIGINT AS y"),

@@ -6,8 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import curved, distributions, geo, quantize, sparse, text, vectors
-from ..operators import aggregates, filters, search
+from ..operators import aggregates, filters, retrieval, search
+from ..plans import vector_sql
 from ..registry import query
+from ..streaming import windows
 from .common import query_vector, r6, t
 
 Q0 = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -280,6 +282,17 @@ def norm_zscore(spark, d):
 _ANY = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
 
 
+@query("trend_buckets", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(avg(value), 6) AS average, round(max(value), 6) AS best FROM events GROUP BY 1")
+def trend_buckets(spark, d):
+    b = windows.trend_buckets(t(spark, d, "events"), "ts", "1 day", "value")
+    return b.select("start", "n", r6("average").alias("average"), r6("best").alias("best"))
+
+
+@query("regime_change", "WITH x AS (SELECT event_id, avg(value) OVER n AS a, avg(value) OVER p AS b, var_pop(value) OVER n / count(value) OVER n + var_pop(value) OVER p / nullif(count(value) OVER p, 0) AS e FROM events WINDOW n AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), p AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 59 PRECEDING AND 10 PRECEDING)) SELECT event_id, round(coalesce(2 / (1 + exp(-1.702 * abs(a - b) / nullif(sqrt(e), 0))) - 1, 0), 5) AS change FROM x")
+def regime_change(spark, d):
+    return windows.regime_change(t(spark, d, "events"), "value", ["event_id"], 10, 50, ["event_type"]).select("event_id", F.round("change", 5).alias("change"))
+
+
 @query("query_route", f"SELECT conv_id, turn, CASE WHEN {_ANY(search.TEMPORAL)} THEN 'temporal' WHEN {_ANY(search.GRAPH)} THEN 'graph' WHEN starts_with(text, '\"') AND suffix(text, '\"') THEN 'keyword' WHEN len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) <= 2 THEN 'keyword' ELSE 'hybrid' END AS route FROM conversations")
 def query_route(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", search.route(F.col("text")).alias("route"))
@@ -452,6 +465,45 @@ def tier_bits(spark, d):
     return e.select("user_id", aggregates.tier_bits(F.col("n"), F.col("last"), F.lit(now)).alias("bits"))
 
 
+@query("sql_functions", f"{Q0} SELECT e.vec_id, round(list_inner_product(e.v, q.v), 6) AS dot, round(sqrt(list_inner_product(e.v, e.v)), 6) AS norm, len(e.v)::INTEGER AS dims, round(list_sum(e.v) / len(e.v), 6) AS mean, round(list_max(list_transform(list_zip(e.v, q.v), lambda p: abs(p[1] - p[2]))), 6) AS chebyshev, round(e.v[1] / sqrt(list_inner_product(e.v, e.v)), 6) AS first, round(exp(e.v[1]) / list_sum(list_transform(e.v, lambda x: exp(x))), 6) AS soft FROM e, q")
+def sql_functions(spark, d):
+    vector_sql.register(spark)
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("q", vectors.vec(query_vector(spark, d)))
+    two = {"dot": "vector_dot(v, q)", "norm": "vector_norm(v)", "mean": "vector_avg(v)", "chebyshev": "vector_chebyshev(v, q)", "first": "vector_normalize(v)[0]", "soft": "vector_softmax(v)[0]"}
+    return e.selectExpr("vec_id", "vector_dims(v) AS dims", *[f"round({x}, 6) AS {n}" for n, x in two.items()])
+
+
+@query("sql_table_function", "SELECT vec_id, (pos - 1)::INTEGER AS pos, round(x, 6) AS x FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(1, 65)) AS pos FROM embeddings)")
+def sql_table_function(spark, d):
+    vector_sql.register(spark)
+    t(spark, d, "embeddings").createOrReplaceTempView("_vectors")
+    return spark.sql("SELECT vec_id, r.pos, round(r.x, 6) AS x FROM _vectors, LATERAL vector_rows(CAST(embedding AS ARRAY<DOUBLE>)) AS r")
+
+
+@query("similar_nodes", f"{Q0}, s AS (SELECT e.vec_id AS id, list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))) AS score FROM e, q ORDER BY score DESC, id LIMIT 20) SELECT id, round(score, 6) AS score FROM s WHERE score >= 0.2")
+def similar_nodes(spark, d):
+    e = t(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return retrieval.similar(e, query_vector(spark, d), 20, 0.2).select("id", r6("score").alias("score"))
+
+
+@query("rag_context", f"{Q0}, s AS (SELECT e.vec_id AS id, list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))) AS score FROM e, q ORDER BY score DESC, id LIMIT 20) SELECT id, text AS content, round(score, 6) AS score, ceil(length(text) / 4)::BIGINT AS tokens FROM s JOIN documents ON doc_id = id WHERE score >= 0.1")
+def rag_context(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    e = t(spark, d, "embeddings").withColumnRenamed("vec_id", "id").join(docs, "id", "left")
+    found = retrieval.context(e, query_vector(spark, d), 20, 0.1)
+    return found.where("content IS NOT NULL").select("id", "content", r6("score").alias("score"), "tokens")
+
+
+@query("bloom_members", "SELECT DISTINCT user_id FROM events WHERE value > 50")
+def bloom_members(spark, d):
+    e = t(spark, d, "events")
+    held = e.where("value > 50").select("user_id")
+    bits, hashes = retrieval.filter_size(e.count(), 1e-6)
+    maybe = retrieval.maybe_in(e.select("user_id").distinct(), "user_id", retrieval.bloom(held, "user_id", bits, hashes), bits, hashes)
+    # A filter lets a few others through; an exact look-up of what is left makes the result whole.
+    return maybe.join(held.distinct(), "user_id", "left_semi")
+
+
 @query("entities_found")
 def entities_found(spark, d):
     e = t(spark, d, "documents").select("doc_id", text.entities(F.col("text")).alias("e"))
