@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages: quality rules, near-dedup, secret redaction, source mixing, packing."""
+"""A corpus pipeline of five stages: quality rules, near-dedup, secret redaction, source mixing, packing.
+
+Every stage takes any columns, whatever their names, and passes them through; a column that it needs and that is missing
+counts as null. Documents without words go in the first stage, as they fail the base rules. Null ids and repeated rows
+are treated as the operators say. An empty table gives an empty one. All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from orrery.llm import common, mixing, neardup, packing, quality, secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: the base rules, or a perplexity out of their language's band."""
     return quality.quality_filter(docs)
 
 
@@ -29,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece, with its sequence and place."""
+    """A row per piece, with its sequence and place; null texts are the end token alone."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
