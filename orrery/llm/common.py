@@ -117,6 +117,24 @@ def release() -> None:
         pass
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterable[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes: what repeats between small batches is met once."""
+    held, size = [], 0
+
+    def whole():
+        t = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns], names=t.column_names)
+
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield whole()
+            held, size = [], 0
+    if held:
+        yield whole()
+
+
 class Recent(dict):
     """What was made for keys, of two generations: when the younger one has ``most`` keys, it becomes the older one, and
     what is asked for again is taken over from there. So what is common stays, in bounded memory."""
@@ -164,7 +182,8 @@ def tune(spark: SparkSession) -> None:
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a text column; nulls are empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [b or b"" for b in column.cast(kind).to_pylist()]
+    # By way of NumPy: to_pylist makes a scalar object of each value first.
+    return pc.fill_null(column.cast(kind), b"").to_numpy(zero_copy_only=False).tolist()
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

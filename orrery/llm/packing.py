@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import docs_of, lean, materialize, tune, words_of
-from .tokens import _encode, load_tokenizer, worker_cache
+from .common import docs_of, gathered, lean, materialize, tune, words_of
+from .tokens import REMEMBER, _encode, load_tokenizer, worker_cache
 
+#: Text that is encoded at a time.
+GATHER_BYTES = 8 << 20
 #: Buckets a length is dealt to.
 BUCKETS = 1024
 #: A plan of more runs than this is joined without a broadcast.
@@ -92,12 +94,12 @@ def _encoded(cache, texts: pa.Array, lower: bool) -> list[np.ndarray]:
     return np.split(ids, ends[:-1]) if len(ends) else []
 
 
-def _pieces(path: str, end_id: int, capacity: int, fold: bool):
+def _pieces(path: str, end_id: int, capacity: int, fold: bool, remember: int, gather: int):
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        cache = worker_cache(path, "ids", _ids)
-        for b in batches:
+        cache = worker_cache(path, "ids", _ids, remember)
+        for b in gathered(batches, gather):
             texts = pc.fill_null(b.column("text"), "")
             # Where the tokenizer folds case itself; special tokens are told apart by it.
             marked = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) | (not fold)
@@ -120,13 +122,13 @@ def _pieces(path: str, end_id: int, capacity: int, fold: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, remember: int = REMEMBER, gather: int = GATHER_BYTES) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece. A tokenizer that drops white space and never joins
     across it may encode word by word; ``tests/llm`` holds this against whole texts."""
     tune(docs.sparkSession)
     d = docs_of(docs, "doc_id", "text")
     fold = _encode(load_tokenizer(tokenizer_path), ["AbC DeF"]) == _encode(load_tokenizer(tokenizer_path), ["abc def"])
-    return d.mapInArrow(lean("tokens-ids", _pieces(tokenizer_path, end_id, capacity, fold)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return d.mapInArrow(lean("tokens-ids", _pieces(tokenizer_path, end_id, capacity, fold, remember, gather)), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def assign(cut: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -154,11 +156,12 @@ def assign(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, remember: int = REMEMBER, gather: int = GATHER_BYTES) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens: a row per piece, with its place.
 
     Null or empty text is the end token alone. Longer documents are cut into full pieces and a rest. Repeated rows
-    are packed each. Only doc_id and text are read; an empty table gives no rows.
+    are packed each. Only doc_id and text are read; an empty table gives no rows. ``remember`` (pieces a worker keeps in a
+    generation) and ``gather`` (bytes of text encoded at a time) trade memory for time; results don't depend on them.
     """
-    cut, _ = materialize(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    cut, _ = materialize(pieces(docs, tokenizer_path, capacity, end_id, remember, gather), "pieces")
     return assign(cut, capacity)

@@ -26,8 +26,8 @@ from .common import Recent, docs_of, lean, materialize, pick, raw, shared_dir, t
 _UNITS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space beyond ASCII, and separators that libraries treat differently: such a text is encoded in one piece.
 _ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8d\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
-#: Pieces a worker remembers in a generation, and the longest of them in bytes: some 150 MB in two generations.
-REMEMBER, LONGEST = 500_000, 48
+#: Pieces a worker remembers in a generation, and the longest of them in bytes: some 90 MB in two generations.
+REMEMBER, LONGEST = 300_000, 48
 #: Marks that may follow a word. Tokenizers cut between a letter or digit and such a mark, so a word and the marks
 #: behind it are encoded apart. Not among them: the apostrophe (contractions) and what special tokens are made of.
 _MARKS = b".,;:!?\")]}*#$%&=+-_~^@/\\"
@@ -108,11 +108,12 @@ class PieceCache(Recent):
         return self.once[piece]
 
 
-def worker_cache(path: str, kind: str, make) -> PieceCache:
-    """A cache that its Python worker keeps till another operator uses the worker."""
+def worker_cache(path: str, kind: str, make, remember: int = REMEMBER) -> PieceCache:
+    """A cache that its Python worker keeps till another operator uses the worker; ``remember``: pieces in a generation."""
     state = worker_state(f"tokens-{kind}")
     if path not in state:
         state[path] = PieceCache(load_tokenizer(path), make)
+    state[path].most = remember
     return state[path]
 
 
