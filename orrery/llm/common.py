@@ -174,9 +174,12 @@ def lean(kind: str, run: Callable) -> Callable:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: texts differ in length by orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Small Arrow batches: texts differ in length by orders of magnitude. Where the session asks for smaller ones yet,
+    those stay; results don't depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
