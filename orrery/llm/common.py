@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -52,9 +53,11 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nobody refers to any more. Its cleaner needs two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def pick(df: DataFrame, *names: str, types: dict[str, str] | None = None) -> DataFrame:
