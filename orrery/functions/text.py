@@ -39,11 +39,19 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) > 5, out).otherwise(word)
 
 
+def words(text: Column) -> Column:
+    """Runs of a-z and 0-9 of the lower-cased text; empty ones at its ends."""
+    return F.split(F.lower(text), r"[^a-z0-9]+")
+
+
+def is_term(word: Column) -> Column:
+    """Whether keyword search heeds a word: over one character, no stop word."""
+    return (F.length(word) > 1) & ~word.isin(*STOP_WORDS)
+
+
 def terms(text: Column) -> Column:
-    """Terms for keyword search: runs of a-z and 0-9 of the lower-cased text, over one character, no stop words, stemmed."""
-    words = F.split(F.lower(text), r"[^a-z0-9]+")
-    kept = F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
-    return F.transform(kept, stem)
+    """Terms for keyword search: words that it heeds, stemmed."""
+    return F.transform(F.filter(words(text), is_term), stem)
 
 
 def str_before(s: Column, mark: str) -> Column:

@@ -6,6 +6,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,8 +54,78 @@ def _distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.stack([((x - v) ** 2).sum(1) for v in q]), 0))
 
 
+#: Distances that a task holds at once.
+MATRIX = 1 << 21
+
+_FOUND = "query_id bigint, id bigint, distance double"
+
+
+def _rough(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(what orders pairs as their distances do, how far rounding may take two of them apart), by matrix products."""
+    eps = 16 * (q.shape[1] + 8) * np.finfo(float).eps
+    nq, nx = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+    finite = lambda v: float(v[np.isfinite(v)].max(initial=0.0))
+    if metric == "l2":
+        return nq[:, None] + nx[None, :] - 2 * (q @ x.T), eps * (finite(nq) + finite(nx))
+    d = _distances(metric, q, x)
+    return d, eps * max(1.0, finite(nq), finite(nx), finite(np.abs(d).ravel()))
+
+
+def _exactly(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distance of each row of one to the same row of the other; equal rows give equal numbers, wherever they lie."""
+    if metric == "l2":
+        return np.sqrt(((a - b) ** 2).sum(1))
+    if metric == "l1":
+        return np.abs(a - b).sum(1)
+    dot = (a * b).sum(1)
+    if metric == "ip":
+        return -dot
+    n = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.where(n == 0, 1.0, 1 - dot / np.where(n == 0, 1, n))
+
+
+def _best(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row, ties by id."""
+    order = np.lexsort((ids, d, row))
+    row, ids, d = row[order], ids[order], d[order]
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+    return row[rank < k], ids[rank < k], d[rank < k]
+
+
+def nearest(metric: str, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, skip_same: bool):
+    """(row of q, id, distance) of the k nearest of x. Matrix products leave those that rounding can't rule out; these
+    are then measured one by one, so results don't depend on how rows were dealt."""
+    found = []
+    step = max(1, MATRIX // max(1, len(x)))
+    for lo in range(0, len(q), step):
+        part = q[lo : lo + step]
+        s, slack = _rough(metric, part, x)
+        s[~np.isfinite(s)] = np.inf
+        if skip_same:
+            s[q_ids[lo : lo + step, None] == x_ids[None, :]] = np.inf
+        if s.shape[1] > k:
+            r, c = np.nonzero((s <= np.partition(s, k - 1, axis=1)[:, k - 1 : k] + slack) & np.isfinite(s))
+        else:
+            r, c = np.nonzero(np.isfinite(s))
+        size = max(1, MATRIX // max(1, q.shape[1]))
+        d = [_exactly(metric, part[r[i : i + size]], x[c[i : i + size]]) for i in range(0, len(r), size)]
+        found.append(_best(r + lo, x_ids[c], np.concatenate(d) if d else np.zeros(0), k))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long vectors as a matrix; null components are NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    lens = pc.list_value_length(column)
+    if len(column) and pc.min(lens).as_py() != pc.max(lens).as_py():
+        raise ValueError("vectors differ in length")
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", vector: str = "embedding", id_col: str = "vec_id", exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, distance, rank): each query's k nearest rows.
+    """(query_id, id, distance, rank): each query's k nearest rows. Null vectors take no part, nor do distances that
+    aren't finite.
 
     Two phases: every task scores its rows against a block of queries as a matrix product and keeps k a query; a window
     ranks what is left. Queries whose matrix is over BROADCAST_BYTES meet the rows by blocks of both.
@@ -62,37 +134,31 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ve
     q = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     b = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     n, dims = q.agg(F.count("*"), F.max(F.size("v"))).first()
-    def best(ids: np.ndarray, m: np.ndarray, batches):
-        """Each query's best k of all batches (id, v)."""
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x, xi = np.array(pdf.v.tolist(), dtype=float), pdf.id.to_numpy()
-            d = _distances(metric, m, x)
-            if exclude_self:
-                d[ids[:, None] == xi[None, :]] = np.inf
-            d = np.concatenate([best_d, d], 1)
-            i = np.concatenate([best_i, np.broadcast_to(xi, (len(ids), len(xi)))], 1)
-            order = np.lexsort((i, d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        at, pos = np.nonzero(np.isfinite(best_d))
-        return pd.DataFrame({"query_id": ids[at], "id": best_i[at, pos], "distance": best_d[at, pos]}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
-
-    schema = "query_id bigint, id bigint, distance double"
     if n * (dims or 1) * 8 <= BROADCAST_BYTES:
-        rows = q.toPandas()
-        held = spark.sparkContext.broadcast((rows.query_id.to_numpy(), np.array(rows.v.tolist(), dtype=float).reshape(len(rows), -1)))
+        rows = q.toArrow().combine_chunks()
+        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(pa.concat_arrays(rows["v"].chunks)) if n else np.zeros((0, 0))))
 
         def run(batches):
-            yield best(*held.value, batches)
-
-        found = b.mapInPandas(run, schema)
+            ids, m = held.value
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for batch in batches:
+                if len(ids) and batch.num_rows:
+                    new = nearest(metric, m, ids, _matrix(batch.column("v")), batch.column("id").to_numpy(), k, exclude_self)
+                    best = _best(*[np.concatenate(z) for z in zip(best, new, strict=True)], k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["query_id", "id", "distance"])
+
+        found = b.mapInArrow(run, _FOUND)
     else:
         # Neither side goes to the driver: blocks of rows meet blocks of queries, which are cut so that the distances of
         # two blocks fit.
-        meet = lambda x, y: best(y.id.to_numpy(), np.array(y.v.tolist(), dtype=float).reshape(len(y), -1), [x])
-        found = _block_pairs(base, queries, vector, id_col, meet, schema)
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if not len(x) or not len(y):
+                return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
+            ids = y.id.to_numpy()
+            row, near, d = nearest(metric, np.array(y.v.tolist(), dtype=float), ids, np.array(x.v.tolist(), dtype=float), x.id.to_numpy(), k, exclude_self)
+            return pd.DataFrame({"query_id": ids[row], "id": near, "distance": d})
+
+        found = _block_pairs(base, queries, vector, id_col, meet, _FOUND)
     w = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -207,15 +273,23 @@ BROADCAST_TERMS = 100_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank). idf = ln((N - df + 0.5) / (df + 0.5) + 1). Query terms count once each."""
+    """(query_id, doc_id, score, rank). idf = ln((N - df + 0.5) / (df + 0.5) + 1). Query terms count once each. Rows
+    of one doc_id are one document; null texts have no terms."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(text.terms(F.col(text_col)))).alias("term"))
     wanted = asked.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
-    # Terms are made once, in a stored table, and only those that are asked for are grouped.
-    t = cut(docs.select(F.col(doc_id).alias("doc_id"), text.terms(F.col(text_col)).alias("terms")))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
-    tf = t.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    tf = cut(tf.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
+    small = wanted.count() <= BROADCAST_TERMS
+    wanted = F.broadcast(wanted) if small else wanted
+    # Words become rows before they are stemmed, so all of it stays in generated code. Of each document, only asked terms
+    # are told apart; the others are one sum, made before the shuffle.
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(text.words(F.col(text_col))).alias("w"))
+    kept = words.select("doc_id", F.when(text.is_term(F.col("w")), text.stem(F.col("w"))).alias("term"))
+    if not small:
+        kept = kept.groupBy("doc_id", "term").agg(F.count("term").alias("n"))
+    hits = kept.join(wanted.withColumnRenamed("term", "asked"), F.col("term") == F.col("asked"), "left")
+    per = cut(hits.groupBy("doc_id", F.col("asked").alias("term")).agg((F.count("term") if small else F.sum("n")).alias("tf")))
+    per = per.withColumn("len", F.sum("tf").over(W.partitionBy("doc_id")))
+    stats = per.select("doc_id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = per.where("term is not null")
     df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
     hit = asked.join(df_, "term").join(tf, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

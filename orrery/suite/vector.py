@@ -85,6 +85,12 @@ def knn_join_l2_k3(spark, d):
     return _knn(spark, d, 3, "l2").select("query_id", "id", r6("distance").alias("distance"), "rank")
 
 
+@query("knn_join_all", _KNN.format(dist=_L2_PAIR, k=3).replace("q.vec_id < 10 AND ", ""))
+def knn_join_all(spark, d):
+    e = t(spark, d, "embeddings")
+    return search.knn_join(e, e, 3).select("query_id", "id", r6("distance").alias("distance"), "rank")
+
+
 @query("similarity_join", f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT q.vec_id AS a, c.vec_id AS b, round({_COS_PAIR}, 6) AS distance FROM e q JOIN e c ON q.vec_id < c.vec_id WHERE {_COS_PAIR} < 0.5")
 def similarity_join(spark, d):
     e = t(spark, d, "embeddings")
@@ -93,7 +99,7 @@ def similarity_join(spark, d):
 
 @query("recall_of_ivf")
 def recall_of_ivf(spark, d):
-    """Recall of approximate search (IVF, 4 of 16 lists) against exact, for one query."""
+    """Recall of approximate search (IVF, 8 of 16 lists) against exact, for one query."""
     e = t(spark, d, "embeddings")
     index, c = search.ivf_build(e, 16)
     q = query_vector(spark, d)

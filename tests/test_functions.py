@@ -82,3 +82,38 @@ def test_kernels():
     assert np.allclose(a @ kernels.conjugate_gradient(a, np.ones(4)), 1)
     assert kernels.bottleneck([(0, 2)], [(0, 1.5)]) == 0.5
     assert kernels.effective_resistance(np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0.0]]), 0, 2) == pytest.approx(2)
+
+
+def test_nearest_ties_and_blocks():
+    """Equal vectors tie by id, however rows are dealt; components that aren't finite take no part."""
+    import numpy as np
+
+    from orrery.operators import search
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 7)).repeat(3, 0)[r.permutation(900)]
+    x[5, 2] = np.nan
+    ids = r.permutation(900)
+    for metric in ("l2", "l1", "cosine", "ip"):
+        d = search._distances(metric, x[:40], x)
+        whole = search.nearest(metric, x[:40], ids[:40], x, ids, 10, True)
+        parts = [search.nearest(metric, x[:40], ids[:40], x[lo : lo + 111], ids[lo : lo + 111], 10, True) for lo in range(0, 900, 111)]
+        again = search._best(*[np.concatenate(z) for z in zip(*parts, strict=True)], 10)
+        assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+        for i in range(40):
+            want = sorted((round(v, 9), j) for v, j in zip(d[i], ids, strict=True) if np.isfinite(v) and j != ids[i])[:10]
+            got = [(round(v, 9), j) for k, j, v in zip(*whole, strict=True) if k == i]
+            assert got == want
+
+
+def test_bm25_of_hand_made_texts(spark):
+    from orrery.operators import search
+
+    docs = spark.createDataFrame([(1, "red red fox"), (2, "blue fox"), (3, None), (4, ""), (5, "the")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "red foxes"), (2, "zebra"), (3, None)], "query_id bigint, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in search.bm25(docs, asked, 5).collect()}
+    import math
+
+    n, mean = 5, 5 / 5
+    idf = math.log((n - 1 + 0.5) / 1.5 + 1)
+    assert set(got) == {(1, 1)} and abs(got[1, 1] - idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean))) < 1e-9
