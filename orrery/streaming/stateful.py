@@ -108,10 +108,10 @@ def cusum(series: np.ndarray, slack: float = 0.5, limit: float = 5.0) -> list[in
 
 
 def forecasts(df: DataFrame, steps: int, alpha: float = 0.3) -> DataFrame:
-    """(key, step, forecast) for rows (key, ts, value)."""
+    """(key, step, forecast) for rows (key, ts, value), in the order of ts, then value."""
 
     def run(k, pdf):
-        f = forecast(pdf.sort_values("ts").value.to_numpy(), steps, alpha)
+        f = forecast(pdf.sort_values(["ts", "value"]).value.to_numpy(), steps, alpha)
         return pd.DataFrame({"key": k[0], "step": np.arange(1, steps + 1), "forecast": f})
 
     return df.groupBy("key").applyInPandas(run, "key string, step bigint, forecast double")

@@ -230,11 +230,18 @@ def _features(spark, d):
     return edges, e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-@query("gcn_layer")
+_W = np.random.default_rng(1).normal(size=(64, 8)) / 8
+_GCN = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS id, c.v, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1]-p[2])*(p[1]-p[2])))), c.vec_id) AS rank FROM e q JOIN e c ON q.vec_id <> c.vec_id),
+n AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM s WHERE rank <= 5), m AS (SELECT id, i, sum(x) / sqrt(count(*)) AS x FROM n GROUP BY 1, 2),
+w(i, pos, w) AS (VALUES {", ".join(f"({i}, {j}, {float(_W[i, j])!r}::DOUBLE)" for i in range(64) for j in range(8))})
+SELECT id, pos::INTEGER AS pos, round(greatest(sum(x * w), 0), 6) + 0.0 AS value FROM m JOIN w USING (i) GROUP BY 1, 2"""
+
+
+@query("gcn_layer", _GCN)
 def gcn_layer(spark, d):
     edges, f = _features(spark, d)
-    w = np.random.default_rng(1).normal(size=(64, 8)) / 8
-    return G.gcn_layer(edges, f, w).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return G.gcn_layer(edges, f, _W).select("id", F.posexplode("v").alias("pos", "x")).select("id", "pos", (F.round("x", 6) + 0.0).alias("value"))
 
 
 @query("sage_layer")
@@ -252,7 +259,9 @@ def _by_label(kernel, schema):
     return run
 
 
-query("attention_by_label")(_by_label(lambda k, x: pd.DataFrame({"label": [k], "total": [round(float(kernels.attention(x, x, x).sum()), 6)]}), "label int, total double"))
+_ATTENTION = """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.label, q.vec_id, list_sum(c.v) AS t, list_inner_product(q.v, c.v) / sqrt(len(q.v)) AS s FROM e q JOIN e c USING (label)),
+m AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS x FROM s), r AS (SELECT label, vec_id, sum(x * t) / sum(x) AS y FROM m GROUP BY 1, 2) SELECT label::INTEGER AS label, round(sum(y), 6) AS total FROM r GROUP BY 1"""
+query("attention_by_label", _ATTENTION)(_by_label(lambda k, x: pd.DataFrame({"label": [k], "total": [round(float(kernels.attention(x, x, x).sum()), 6)]}), "label int, total double"))
 query("spectral_clusters")(_by_label(lambda k, x: pd.DataFrame({"label": k, "row": np.arange(len(x)), "cluster": kernels.spectral_cluster(np.exp(-search._distances("l2", x, x)), min(2, len(x)))}), "label int, row int, cluster int"))
 query("persistence_by_label")(_by_label(lambda k, x: pd.DataFrame([(k, *p) for p in kernels.persistence(x, 0) if np.isfinite(p[2])], columns=["label", "dimension", "birth", "death"]), "label int, dimension int, birth double, death double"))
 

@@ -95,18 +95,38 @@ def cross_correlation(spark, d):
     return windows.correlation(t(spark, d, "events"), "ts", "1 hour", "event_type", "value").select("a", "b", F.round("correlation", 5).alias("correlation"))
 
 
-@query("similarity_dedup")
+# Folds over a key's rows: each element is a state, of which the first holds nothing yet.
+_DEDUP = """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT label, vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e),
+l AS (SELECT label, list({'id': vec_id, 'u': list_transform(list_zip(v, list_transform(v, lambda x: n)), lambda p: p[1] / p[2]), 'kept': []::DOUBLE[][], 'best': -1.0::DOUBLE, 'out': []::STRUCT(id BIGINT, duplicate BOOLEAN, similarity DOUBLE)[]} ORDER BY vec_id) AS rows FROM u GROUP BY 1),
+f AS (SELECT label, list_reduce(list_prepend({'id': -1::BIGINT, 'u': []::DOUBLE[], 'kept': []::DOUBLE[][], 'best': -1.0::DOUBLE, 'out': []::STRUCT(id BIGINT, duplicate BOOLEAN, similarity DOUBLE)[]}, rows), lambda a, r: {
+ 'id': r.id, 'u': r.u,
+ 'kept': CASE WHEN coalesce(list_max(list_transform(a.kept, lambda k: list_inner_product(k, r.u))), -1.0) >= 0.5 THEN a.kept ELSE list_append(a.kept, r.u)[-50:] END,
+ 'best': -1.0::DOUBLE,
+ 'out': list_append(a.out, {'id': r.id, 'duplicate': coalesce(list_max(list_transform(a.kept, lambda k: list_inner_product(k, r.u))), -1.0) >= 0.5, 'similarity': coalesce(list_max(list_transform(a.kept, lambda k: list_inner_product(k, r.u))), -1.0)})}) AS s FROM l),
+o AS (SELECT label, unnest(s.out) AS x FROM f) SELECT label::VARCHAR AS key, x.id AS id, x.duplicate AS duplicate, round(x.similarity, 6) AS similarity FROM o"""
+_GATE = """WITH RECURSIVE e AS (SELECT event_type AS key, event_id AS id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT key, 0::BIGINT AS n, 0::BIGINT AS id, 0.0::DOUBLE AS value, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS p, false AS out FROM e GROUP BY 1 UNION ALL
+SELECT e.key, e.n, e.id, e.value, abs(e.value - g.p), CASE WHEN abs(e.value - g.p) > 20 THEN 0.7 * g.p + 0.3 * e.value ELSE g.p END, abs(e.value - g.p) > 20 FROM g JOIN e ON e.key = g.key AND e.n = g.n + 1)
+SELECT key, id, value, round(residual, 6) AS residual FROM g WHERE out"""
+_FORECAST = """WITH l AS (SELECT event_type AS key, list({'l': value::DOUBLE, 't': 0.0::DOUBLE} ORDER BY ts, value) AS rows FROM events GROUP BY 1),
+f AS (SELECT key, list_reduce(rows, lambda a, r: {'l': 0.3 * r.l + 0.7 * (a.l + a.t), 't': 0.1 * ((0.3 * r.l + 0.7 * (a.l + a.t)) - a.l) + 0.9 * a.t}) AS s FROM l)
+SELECT key, step::BIGINT AS step, round(s.l + s.t * step, 6) AS forecast FROM f, range(1, 4) x(step)"""
+
+
+@query("similarity_dedup", _DEDUP)
 def similarity_dedup(spark, d):
     e = t(spark, d, "embeddings")
-    return stateful.similarity_dedup(e.select(F.col("label").cast("string").alias("key"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ts"), F.col("embedding").alias("vector")), 50, 0.5)
+    found = stateful.similarity_dedup(e.select(F.col("label").cast("string").alias("key"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ts"), F.col("embedding").alias("vector")), 50, 0.5)
+    return found.withColumn("similarity", r6("similarity"))
 
 
-@query("residual_gate")
+@query("residual_gate", _GATE)
 def residual_gate(spark, d):
     e = t(spark, d, "events")
-    return stateful.residual_gate(e.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts", "value"), 20.0)
+    return stateful.residual_gate(e.select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), "ts", "value"), 20.0).withColumn("residual", r6("residual"))
 
 
-@query("trend_forecast")
+@query("trend_forecast", _FORECAST)
 def trend_forecast(spark, d):
-    return stateful.forecasts(t(spark, d, "events").select(F.col("event_type").alias("key"), "ts", "value"), 3)
+    return stateful.forecasts(t(spark, d, "events").select(F.col("event_type").alias("key"), "ts", "value"), 3).withColumn("forecast", r6("forecast"))

@@ -304,7 +304,7 @@ def query_route(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", search.route(F.col("text")).alias("route"))
 
 
-@query("hybrid_search")
+@query("hybrid_search", f"{Q0}, n AS (SELECT vec_id, text, {DIST['cosine']} AS x FROM e JOIN documents ON doc_id = vec_id, q ORDER BY x, vec_id LIMIT 30), s AS (SELECT vec_id, 0.7 * (1 - x) + 0.3 * len(list_intersect(['the', 'license', 'of', 'that'], regexp_split_to_array(lower(text), '\\s+'))) / 4 AS score FROM n) SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10")
 def hybrid_search(spark, d):
     e = t(spark, d, "embeddings").join(t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
     return search.hybrid(e, "embedding", query_vector(spark, d), "the license of that", "text", 10).select("vec_id", r6("score").alias("score"))
