@@ -57,6 +57,38 @@ def clock_merge(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
 
 
+def lamport_receive(own: Column, remote: Column) -> Column:
+    """A Lamport clock after a message: one more than the later of both."""
+    return F.greatest(own, remote) + 1
+
+
+_HYBRID = "struct<physical:bigint,logical:bigint,replica:string>"
+
+
+def _hybrid(physical: Column, logical: Column, replica: Column) -> Column:
+    return F.struct(physical.alias("physical"), logical.alias("logical"), replica.alias("replica")).cast(_HYBRID)
+
+
+def hybrid_now(clock: Column, physical: Column) -> Column:
+    """A hybrid clock struct(physical, logical, replica) at a local event: it follows the physical time, or counts on where
+    that stands still or runs back. Hybrid clocks are ordered as structs are: by physical, logical, replica."""
+    later = physical > clock["physical"]
+    return _hybrid(F.when(later, physical).otherwise(clock["physical"]), F.when(later, 0).otherwise(clock["logical"] + 1), clock["replica"])
+
+
+def hybrid_receive(clock: Column, remote: Column, physical: Column) -> Column:
+    """A hybrid clock after a message with ``remote``: the latest of the three times; its count goes on unless the
+    physical time is later than both."""
+    most = F.greatest(clock["physical"], remote["physical"])
+    count = (
+        F.when(physical > most, 0)
+        .when(clock["physical"] > remote["physical"], clock["logical"] + 1)
+        .when(clock["physical"] < remote["physical"], remote["logical"] + 1)
+        .otherwise(F.greatest(clock["logical"], remote["logical"]) + 1)
+    )
+    return _hybrid(F.greatest(most, physical), count, clock["replica"])
+
+
 # --- vector deltas ------------------------------------------------------------------------------------------------
 
 

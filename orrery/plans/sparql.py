@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut
+from ..sources import readers
 from .tokens import Stream
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -117,8 +119,8 @@ AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
 class Engine:
     """Queries and updates over ``triples``, a DataFrame (g, s, p, o); ``g`` is null for the default graph."""
 
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, max_path: int = 8):
-        self.triples, self.prefixes, self.max_path = triples, dict(prefixes or {}), max_path
+    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None):
+        self.triples, self.prefixes = triples, dict(prefixes or {})
         self.spark = triples.sparkSession
         self.fresh = 0
 
@@ -172,7 +174,21 @@ class Engine:
             t.take("SILENT")
             if t.take("ALL"):
                 return Engine(self.triples.limit(0), reader.prefixes)
+            if t.take("NAMED"):
+                return Engine(self.triples.where(F.col("g").isNull()), reader.prefixes)
             return Engine(self.triples.where(~F.coalesce(at(graph_of()), F.lit(False))), reader.prefixes)
+        if t.take("LOAD"):
+            silent = t.take("SILENT")
+            path = reader._term()[1:-1]
+            graph = (t.expect("GRAPH"), reader._term())[1] if t.take("INTO") else None
+            try:
+                new = readers.read_ntriples(self.spark, path)
+            except AnalysisException:  # no such file
+                if silent:
+                    return self
+                raise
+            new = new.withColumn("g", F.lit(graph)) if graph else new
+            return Engine(self.triples.unionByName(new).distinct(), reader.prefixes)
         if t.take("CREATE"):
             graph_of()
             return self

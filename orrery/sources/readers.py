@@ -1,15 +1,18 @@
-"""Importers of vectors and triples."""
+"""Importers of vectors, triples and financial reports."""
 
 from __future__ import annotations
 
 import io
 import json
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import normalize
+
 
 def read_json_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector, metadata) from an array or lines of objects; metadata is kept as JSON text. What isn't JSON raises.
@@ -54,16 +57,19 @@ def read_npy(spark: SparkSession, path: str, start_id: int = 0, rows_per_batch:
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(g, s, p, o) from N-Triples or N-Quads text; comments and blank lines are left out."""
+    """(g, s, p, o) from N-Triples or N-Quads text; comments and blank lines are left out, other lines that hold no triple
+    raise when the result is read."""
     return parse_ntriples(spark.read.text(path))
 
 
 def parse_ntriples(lines: DataFrame) -> DataFrame:
     term = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)'
     rx = rf"^\s*{term}\s+(<[^>]*>)\s+{term}\s*(<[^>]*>)?\s*\.\s*$"
-    hit = lines.where(F.col("value").rlike(rx))
+    hit = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     g = F.regexp_extract("value", rx, 4)
-    return hit.select(F.when(g != "", g).alias("g"), F.regexp_extract("value", rx, 1).alias("s"), F.regexp_extract("value", rx, 2).alias("p"), F.regexp_extract("value", rx, 3).alias("o"))
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), "value")).cast("string")
+    subject = F.when(F.col("value").rlike(rx), F.regexp_extract("value", rx, 1)).otherwise(bad)
+    return hit.select(F.when(g != "", g).alias("g"), subject.alias("s"), F.regexp_extract("value", rx, 2).alias("p"), F.regexp_extract("value", rx, 3).alias("o"))
 
 
 def triples_from(df: DataFrame, kind: str, key: str, base: str = "http://example.org/", references: dict[str, str] | None = None) -> DataFrame:
@@ -90,3 +96,74 @@ def ingest(df: DataFrame, key: list[str], allowed=None, transform=None) -> DataF
     df = df.where(allowed) if allowed is not None else df
     df = transform(df) if transform else df
     return df.dropDuplicates(key)
+
+
+# --- financial reports --------------------------------------------------------------------------------------------
+
+#: Parts of a concept's name that put it in a statement; the first statement that fits counts.
+STATEMENTS = {
+    "balance_sheet": ["Assets", "Liabilities", "Equity", "Cash", "Inventory", "Receivable", "Payable", "Debt", "Property", "Goodwill"],
+    "income_statement": ["Revenue", "Sales", "Cost", "Expense", "Income", "Profit", "Loss", "Earnings", "EBITDA", "Margin"],
+    "cash_flow": ["CashFlow", "Operating", "Investing", "Financing", "Depreciation", "Amortization", "CapitalExpenditure"],
+}
+#: A report whose main period is longer, in days, is an annual one.
+ANNUAL_DAYS = 300
+
+
+def statement_of(concept: Column) -> Column:
+    """Which statement a concept belongs to; null if to none."""
+    out = F.lit(None).cast("string")
+    for name, parts in reversed(STATEMENTS.items()):
+        out = F.when(concept.rlike("|".join(parts)), name).otherwise(out)
+    return out
+
+
+def xbrl_facts(reports: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """(key, name, value, unit, context, start, end, statement) of the numeric facts of XBRL documents, one a row.
+
+    A fact is an element that refers to a context; ``end`` is the period's end or instant, ``start`` is null for instants.
+    Facts that aren't numbers are left out. A null or empty document has none; one that isn't XML raises.
+    """
+    kind = dict(reports.dtypes)[key]
+
+    def facts(ident, text: str):
+        root = ElementTree.fromstring(text)
+        bare = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+        period = {}
+        for c in root.iter():
+            if bare(c) == "context":
+                at = {bare(e): (e.text or "").strip() for e in c.iter()}
+                period[c.get("id")] = (at.get("startDate"), at.get("endDate") or at.get("instant"))
+        for e in root.iter():
+            ref = e.get("contextRef")
+            if ref is not None:
+                try:
+                    value = float((e.text or "").replace(",", ""))
+                except ValueError:
+                    continue
+                yield (ident, bare(e), value, e.get("unitRef"), ref, *period.get(ref, (None, None)))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [f for ident, text in zip(pdf[key], pdf[content], strict=True) if text for f in facts(ident, text)]
+            yield pd.DataFrame(rows, columns=[key, "name", "value", "unit", "context", "start", "end"])
+
+    found = reports.select(key, content).mapInPandas(run, f"`{key}` {kind}, name string, value double, unit string, context string, start string, end string")
+    return found.withColumns({"start": F.col("start").try_cast("date"), "end": F.col("end").try_cast("date"), "statement": statement_of(F.col("name"))})
+
+
+def statements(facts: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
+    """(key, period_end, is_annual, embedding): a row a report. The main period is the longest one, of equals the latest.
+    The embedding holds ratios of concepts in that period, or at its end, padded with zeros and scaled to length 1;
+    missing totals count as 1, other missing concepts as 0. Of equal facts, the largest value counts."""
+    days = F.coalesce(F.datediff("end", "start"), F.lit(0))
+    main = facts.where(F.col("end").isNotNull()).groupBy(key).agg(F.max(F.struct(days.alias("days"), "end")).alias("m"))
+    f = facts.join(main, key).where(F.col("end") == F.col("m.end")).where(F.col("start").isNull() | (days == F.col("m.days")))
+    total = lambda c, missing: F.coalesce(F.max(F.when(F.col("name") == c, F.col("value"))), F.lit(missing)).alias(c)
+    wide = f.groupBy(key, F.col("m.end").alias("period_end"), (F.col("m.days") > ANNUAL_DAYS).alias("is_annual")).agg(
+        total("Assets", 1.0), total("Liabilities", 0.0), total("StockholdersEquity", 1.0), total("Cash", 0.0), total("Revenue", 1.0), total("NetIncome", 0.0), total("OperatingIncome", 0.0)
+    )
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    pairs = [("Liabilities", "Assets"), ("Cash", "Assets"), ("StockholdersEquity", "Assets"), ("NetIncome", "Revenue"), ("OperatingIncome", "Revenue"), ("NetIncome", "StockholdersEquity"), ("NetIncome", "Assets")]
+    raw = F.array(*[ratio(F.col(a), F.col(b)) for a, b in pairs], *[F.lit(0.0)] * (dimensions - len(pairs)))
+    return wide.select(key, "period_end", "is_annual", normalize(raw).alias("embedding"))

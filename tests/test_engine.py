@@ -160,3 +160,51 @@ def test_admin(spark):
     assert admin.bottlenecks(df.groupBy("id").count(), 0.9).where("operator = 'Exchange'").count() == 1
     met = spark.range(1).select(admin.contract_met(F.lit(0.9), F.lit(5), F.lit(2.0), 0.95, 10, 1.0).alias("c")).first().c
     assert not met.valid and met.broken == ["recall"]
+
+
+def test_load_and_malformed_triples(spark, tmp_path):
+    from orrery.plans import sparql
+    from orrery.sources import readers
+
+    (tmp_path / "a.nt").write_text('# a comment\n\n<http://x/1> <http://x/p> "one" .\n<http://x/2> <http://x/p> "two"@en .\n')
+    (tmp_path / "bad.nt").write_text('<http://x/1> <http://x/p> "one" .\n<http://x/1> no triple\n')
+    e = sparql.Engine(spark.createDataFrame([(None, "<http://x/0>", "<http://x/p>", '"zero"')], "g string, s string, p string, o string"))
+    here = e.update(f"LOAD <{tmp_path}/a.nt> INTO GRAPH <http://x/g> ; LOAD SILENT <{tmp_path}/none.nt>")
+    assert {(r.g, r.o) for r in here.triples.collect()} == {(None, '"zero"'), ("<http://x/g>", '"one"'), ("<http://x/g>", '"two"@en')}
+    assert [r.o for r in here.update("CLEAR NAMED").triples.collect()] == ['"zero"']
+    assert e.update(f"LOAD <{tmp_path}/a.nt>").triples.where("g is null").count() == 3
+    with pytest.raises(Exception, match="not a triple"):
+        readers.read_ntriples(spark, f"{tmp_path}/bad.nt").collect()
+
+
+def test_xbrl(spark):
+    from orrery.sources import readers
+
+    text = """<x:xbrl xmlns:x="http://x" xmlns:g="http://g">
+      <x:context id="Y"><x:period><x:startDate>2023-01-01</x:startDate><x:endDate>2023-12-31</x:endDate></x:period></x:context>
+      <x:context id="Q"><x:period><x:startDate>2023-10-01</x:startDate><x:endDate>2023-12-31</x:endDate></x:period></x:context>
+      <x:context id="E"><x:period><x:instant>2023-12-31</x:instant></x:period></x:context>
+      <g:Assets contextRef="E" unitRef="USD">1,000</g:Assets><g:Liabilities contextRef="E">400</g:Liabilities>
+      <g:Revenue contextRef="Y">500</g:Revenue><g:Revenue contextRef="Q">900</g:Revenue><g:NetIncome contextRef="Y">50</g:NetIncome>
+      <g:NetCashFlow contextRef="Y">7</g:NetCashFlow><g:Note contextRef="Y">words</g:Note></x:xbrl>"""
+    facts = readers.xbrl_facts(spark.createDataFrame([(1, text), (2, None), (3, "")], "cik bigint, content string"), "cik")
+    rows = {(r.name, r.context): (r.value, r.statement) for r in facts.collect()}
+    assert rows[("Assets", "E")] == (1000.0, "balance_sheet") and rows[("NetIncome", "Y")] == (50.0, "income_statement") and len(rows) == 6
+    (r,) = readers.statements(facts, "cik").collect()
+    want = [0.4, 0.0, 0.001, 0.1, 0.0, 50.0, 0.05]
+    n = sum(v * v for v in want) ** 0.5
+    assert r.is_annual and str(r.period_end) == "2023-12-31" and len(r.embedding) == 64
+    assert all(abs(a - b / n) < 1e-12 for a, b in zip(r.embedding, want, strict=False)) and not any(r.embedding[7:])
+
+
+def test_clocks(spark):
+    from pyspark.sql import functions as F
+
+    from orrery.operators import replication as R
+
+    clock = lambda p, n, name: F.struct(F.lit(p).alias("physical"), F.lit(n).alias("logical"), F.lit(name).alias("replica"))
+    own = clock(10, 4, "a")
+    cases = [R.hybrid_now(own, F.lit(12)), R.hybrid_now(own, F.lit(9)), *[R.hybrid_receive(own, clock(p, 7, "b"), F.lit(now)) for p, now in ((11, 12), (9, 10), (11, 5), (10, 10))]]
+    got = [tuple(x) for x in spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(cases)]).first()]
+    assert got == [(12, 0, "a"), (10, 5, "a"), (12, 0, "a"), (10, 5, "a"), (11, 8, "a"), (10, 8, "a")]
+    assert spark.range(1).select(R.lamport_receive(F.lit(3), F.lit(8))).first()[0] == 9
