@@ -116,6 +116,74 @@ def spectral_cluster(adj: np.ndarray, k: int) -> np.ndarray:
     return k_means(u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12), k)
 
 
+#: Up to so many points, a matrix of all pairs is made.
+DENSE = 512
+
+
+def spectral_points(x: np.ndarray, k: int) -> np.ndarray:
+    """spectral_cluster of points whose affinity is exp(-distance). No matrix of all pairs is kept: the first
+    eigenvectors come from block Krylov spaces, and each product with the matrix measures the pairs again, tile by tile."""
+    if len(x) <= DENSE:
+        return spectral_cluster(np.exp(-distances(x, x)), k)
+    s = 1 / np.sqrt(_affinity(x, np.ones((len(x), 1)))[:, 0])
+    u = _top_vectors(lambda v: s[:, None] * _affinity(x, s[:, None] * v), 1 / s, k)
+    return k_means(u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12), k)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs by a matrix product; those of near pairs, which cancel there, directly."""
+    nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    d = x @ y.T
+    d *= -2
+    d += nx[:, None]
+    d += ny[None, :]
+    i, j = np.nonzero(~(d > 1e-4 * (nx.max(initial=0.0) + ny.max(initial=0.0))))
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
+    step = max(1, (1 << 21) // max(1, x.shape[1]))
+    for lo in range(0, len(i), step):
+        a, b = i[lo : lo + step], j[lo : lo + step]
+        d[a, b] = np.sqrt(((x[a] - y[b]) ** 2).sum(1))
+    return d
+
+
+def _affinity(x: np.ndarray, v: np.ndarray, tile: int = 1024) -> np.ndarray:
+    """The matrix exp(-distance) of all pairs times v; a tile serves both of its sides."""
+    out = np.zeros_like(v)
+    for i in range(0, len(x), tile):
+        for j in range(i, len(x), tile):
+            a = distances(x[i : i + tile], x[j : j + tile])
+            np.exp(np.negative(a, out=a), out=a)
+            out[i : i + tile] += a @ v[j : j + tile]
+            if j > i:
+                out[j : j + tile] += a.T @ v[i : i + tile]
+    return out
+
+
+def _top_vectors(times, first: np.ndarray, k: int, block: int = 16, most: int = 320, tol: float = 1e-12) -> np.ndarray:
+    """Eigenvectors of a symmetric matrix's k largest eigenvalues, by block Lanczos steps with full orthogonalization,
+    until their residuals are under ``tol``. A basis of ``most`` columns is replaced by its best half."""
+    start = np.random.default_rng(42).normal(size=(len(first), block))
+    start[:, 0] = first
+    new = np.linalg.qr(start)[0]
+    basis, t = np.zeros((len(first), 0)), np.zeros((0, 0))
+    while True:
+        w = times(new)
+        n, basis = basis.shape[1], np.hstack([basis, new])
+        h = basis.T @ w
+        w = w - basis @ h
+        w -= basis @ (basis.T @ w)
+        t = np.block([[t, h[:n]], [h[:n].T, (h[n:] + h[n:].T) / 2]])
+        values, y = np.linalg.eigh(t)
+        u, size, z = np.linalg.svd(w, full_matrices=False)
+        left = np.linalg.norm((size[:, None] * z) @ y[n:, -k:])
+        u = u[:, size > 1e-13]
+        if left < tol or not u.shape[1]:
+            return basis @ y[:, : -k - 1 : -1]
+        new = np.linalg.qr(u - basis @ (basis.T @ u))[0]
+        if basis.shape[1] >= most:
+            basis, t = basis @ y[:, -most // 2 :], np.diag(values[-most // 2 :])
+
+
 def chebyshev_filter(adj: np.ndarray, signal: np.ndarray, response, degree: int = 10) -> np.ndarray:
     """A polynomial filter of the Laplacian's spectrum (0 to 2) applied to a signal."""
     n = degree + 1

@@ -261,8 +261,8 @@ def _by_label(kernel, schema):
 
 _ATTENTION = """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.label, q.vec_id, list_sum(c.v) AS t, list_inner_product(q.v, c.v) / sqrt(len(q.v)) AS s FROM e q JOIN e c USING (label)),
 m AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS x FROM s), r AS (SELECT label, vec_id, sum(x * t) / sum(x) AS y FROM m GROUP BY 1, 2) SELECT label::INTEGER AS label, round(sum(y), 6) AS total FROM r GROUP BY 1"""
-query("attention_by_label", _ATTENTION)(_by_label(lambda k, x: pd.DataFrame({"label": [k], "total": [round(float(kernels.attention(x, x, x).sum()), 6)]}), "label int, total double"))
-query("spectral_clusters")(_by_label(lambda k, x: pd.DataFrame({"label": k, "row": np.arange(len(x)), "cluster": kernels.spectral_cluster(np.exp(-search._distances("l2", x, x)), min(2, len(x)))}), "label int, row int, cluster int"))
+query("attention_by_label", _ATTENTION)(_by_label(lambda k, x: pd.DataFrame({"label": [k], "total": [round(float(kernels.tiled(x, x, x, 1024).sum()), 6)]}), "label int, total double"))
+query("spectral_clusters")(_by_label(lambda k, x: pd.DataFrame({"label": k, "row": np.arange(len(x)), "cluster": kernels.spectral_points(x, min(2, len(x)))}), "label int, row int, cluster int"))
 query("persistence_by_label")(_by_label(lambda k, x: pd.DataFrame([(k, *p) for p in kernels.persistence(x, 0) if np.isfinite(p[2])], columns=["label", "dimension", "birth", "death"]), "label int, dimension int, birth double, death double"))
 
 

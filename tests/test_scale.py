@@ -1,6 +1,7 @@
 """Whole jobs on tables that the first versions of these queries couldn't take."""
 
 import time
+import tracemalloc
 
 import numpy as np
 
@@ -20,3 +21,19 @@ def test_min_cut_of_large_sparse_graphs():
     assert kernels.min_cut(4000, ring)[0] == 2.0
     assert kernels.min_cut(8000, ring + [(a + 4000, b + 4000, 1.0) for a, b, _ in ring] + [(0, 4000, 1.5)])[0] == 1.5
     assert time.time() - began < 60
+
+
+def _points(n: int, seed: int = 1) -> np.ndarray:
+    x = np.random.default_rng(seed).normal(size=(n, 8))
+    x[n // 2 : n // 2 + 9] = x[:9]
+    return x
+
+
+def test_spectral_clusters_without_a_matrix_of_all_pairs():
+    x = _points(900)
+    dense = kernels.spectral_cluster(np.exp(-np.linalg.norm(x[:, None] - x[None], axis=-1)), 2)
+    assert (kernels.spectral_points(x, 2) == dense).all()
+    tracemalloc.start()
+    kernels.spectral_points(_points(6000)[:, :4], 2)
+    assert tracemalloc.get_traced_memory()[1] < 150e6  # the matrix alone has 288 MB
+    tracemalloc.stop()
