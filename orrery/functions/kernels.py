@@ -332,8 +332,33 @@ def rips(points: np.ndarray, max_dim: int = 1, max_radius: float = np.inf) -> li
     return sorted(out, key=lambda x: (x[0], len(x[1]), x[1]))
 
 
+def _merges(points: np.ndarray) -> np.ndarray:
+    """The edge lengths of a least spanning tree, by Prim's method: one row of distances at a time."""
+    rest, out = points[1:], []
+    best = np.full(len(rest), np.inf)
+    live = np.ones(len(rest), bool)
+    at = points[:1]
+    for _ in range(len(rest)):
+        d = np.linalg.norm(rest - at, axis=-1)
+        np.fmin(best, d, out=best, where=live)
+        best[~live] = np.inf
+        # Of those left, the nearest; where all that is left is infinitely far or not a number, any.
+        i = int(np.argmin(best))
+        i = i if live[i] else int(np.argmax(live))
+        out.append(best[i])
+        live[i], at = False, rest[i : i + 1]
+        if 2 * live.sum() < len(live):
+            rest, best, live = rest[live], best[live], np.ones(int(live.sum()), bool)
+    return np.array(out)
+
+
 def persistence(points: np.ndarray, max_dim: int = 1, max_radius: float = np.inf) -> list[tuple[int, float, float]]:
-    """(dimension, birth, death) by reduction of the boundary matrix; pairs of equal birth and death are left out."""
+    """(dimension, birth, death) by reduction of the boundary matrix; pairs of equal birth and death are left out. Of
+    dimension 0 alone, from a least spanning tree, without listing pairs."""
+    if max_dim == 0:
+        w = _merges(points) if len(points) else np.zeros(0)
+        dead = w[w <= max_radius]
+        return [(0, 0.0, float(x)) for x in np.sort(dead[dead > 0])] + [(0, 0.0, float("inf"))] * (len(points) - len(dead))
     simplices = rips(points, max_dim, max_radius)
     index = {s: i for i, (_, s) in enumerate(simplices)}
     low: dict[int, int] = {}

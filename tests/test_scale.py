@@ -1,5 +1,6 @@
 """Whole jobs on tables that the first versions of these queries couldn't take."""
 
+import itertools
 import time
 import tracemalloc
 
@@ -37,3 +38,20 @@ def test_spectral_clusters_without_a_matrix_of_all_pairs():
     kernels.spectral_points(_points(6000)[:, :4], 2)
     assert tracemalloc.get_traced_memory()[1] < 150e6  # the matrix alone has 288 MB
     tracemalloc.stop()
+
+
+def test_persistence_of_components_without_listing_pairs():
+    x = _points(120)
+    d = np.linalg.norm(x[:, None] - x[None], axis=-1)
+    for radius in (np.inf, 2.0):
+        # Kruskal: sorted edges that join two parts.
+        part, deaths = list(range(len(x))), []
+        for i, j in sorted(itertools.combinations(range(len(x)), 2), key=lambda p: d[p]):
+            if d[i, j] <= radius and part[i] != part[j]:
+                deaths += [d[i, j]] if d[i, j] > 0 else []
+                part = [part[i] if p == part[j] else p for p in part]
+        assert kernels.persistence(x, 0, radius) == [(0, 0.0, w) for w in deaths] + [(0, 0.0, np.inf)] * len(set(part))
+    tracemalloc.start()
+    assert len(kernels.persistence(_points(1500), 0)) == 1500 - 9
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # 1.1 million pairs before
+    tracemalloc.stop()
