@@ -31,8 +31,12 @@ def multi_head(q, k, v, heads: int) -> np.ndarray:
     return np.concatenate([attention(a, b, c) for a, b, c in zip(*(np.split(x, heads, axis=-1) for x in (q, k, v)), strict=True)], axis=-1)
 
 
-def tiled(q, k, v, tile: int = 64) -> np.ndarray:
-    """Attention by tiles of keys with a running maximum, in bounded memory."""
+def tiled(q, k, v, tile: int = 64, rows: int = 1024) -> np.ndarray:
+    """Attention by tiles of keys with a running maximum, for so many queries at a time, in bounded memory."""
+    return np.concatenate([_tiled(q[lo : lo + rows], k, v, tile) for lo in range(0, max(1, len(q)), rows)])
+
+
+def _tiled(q, k, v, tile: int) -> np.ndarray:
     m = np.full(len(q), -np.inf)
     z, out = np.zeros(len(q)), np.zeros((len(q), v.shape[1]))
     for i in range(0, len(k), tile):

@@ -55,3 +55,12 @@ def test_persistence_of_components_without_listing_pairs():
     assert len(kernels.persistence(_points(1500), 0)) == 1500 - 9
     assert tracemalloc.get_traced_memory()[1] < 20e6  # 1.1 million pairs before
     tracemalloc.stop()
+
+
+def test_attention_of_many_queries_in_bounded_memory():
+    x = _points(20_000)
+    tracemalloc.start()
+    y = kernels.tiled(x[:, :2], x[:300, :2], x[:300], 1024)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # 20,000 x 300 scores, several times, before
+    tracemalloc.stop()
+    assert np.allclose(y, kernels.attention(x[:, :2], x[:300, :2], x[:300]), rtol=1e-12, atol=1e-14)
