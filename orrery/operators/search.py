@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import kernels, text, vectors
 from .graph import cut
 
 #: Queries whose packed matrix stays under this are sent to all tasks; beyond, they are joined by blocks.
@@ -62,17 +63,22 @@ _FOUND = "query_id bigint, id bigint, distance double"
 
 def _rough(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     """(what orders pairs as their distances do, how far rounding may take two of them apart), by matrix products."""
-    eps = 16 * (q.shape[1] + 8) * np.finfo(float).eps
+    eps = 16 * (q.shape[1] + 8) * float(np.finfo(q.dtype).eps)
     nq, nx = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
     finite = lambda v: float(v[np.isfinite(v)].max(initial=0.0))
     if metric == "l2":
-        return nq[:, None] + nx[None, :] - 2 * (q @ x.T), eps * (finite(nq) + finite(nx))
+        s = q @ x.T
+        s *= -2
+        s += nx[None, :]
+        s += nq[:, None]
+        return s, eps * (finite(nq) + finite(nx))
     d = _distances(metric, q, x)
     return d, eps * max(1.0, finite(nq), finite(nx), finite(np.abs(d).ravel()))
 
 
 def _exactly(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The distance of each row of one to the same row of the other; equal rows give equal numbers, wherever they lie."""
+    a, b = a.astype(float, copy=False), b.astype(float, copy=False)
     if metric == "l2":
         return np.sqrt(((a - b) ** 2).sum(1))
     if metric == "l1":
@@ -93,27 +99,55 @@ def _best(row: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.n
     return row[rank < k], ids[rank < k], d[rank < k]
 
 
-def nearest(metric: str, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, skip_same: bool):
+def _single(metric: str, *sides: np.ndarray) -> bool:
+    """Whether single precision can tell what it can't rule out: no square is lost at either end of its range."""
+    top = [float((v[np.isfinite(v)] ** 2).max(initial=0.0)) for v in sides]
+    return metric == "l2" and all(v.dtype == np.float32 for v in sides) and max(top) < 1e28 and min(top) > 1e-20
+
+
+def nearest(metric: str, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, skip_same: bool, limit: np.ndarray | None = None):
     """(row of q, id, distance) of the k nearest of x. Matrix products leave those that rounding can't rule out; these
-    are then measured one by one, so results don't depend on how rows were dealt."""
+    are then measured one by one, so results don't depend on how rows were dealt. ``limit``: distances beyond which a
+    row of q needs none any more."""
+    if not _single(metric, q, x):
+        q, x = q.astype(float, copy=False), x.astype(float, copy=False)
     found = []
     step = max(1, MATRIX // max(1, len(x)))
     for lo in range(0, len(q), step):
         part = q[lo : lo + step]
         s, slack = _rough(metric, part, x)
-        s[~np.isfinite(s)] = np.inf
-        if skip_same:
-            s[q_ids[lo : lo + step, None] == x_ids[None, :]] = np.inf
-        if s.shape[1] > k:
-            r, c = np.nonzero((s <= np.partition(s, k - 1, axis=1)[:, k - 1 : k] + slack) & np.isfinite(s))
+        most = None if limit is None else limit[lo : lo + step]
+        if most is not None and np.isfinite(most).all():
+            most = np.nextafter(((most**2 if metric == "l2" else most) + slack).astype(s.dtype), np.array(np.inf, s.dtype))
+            r, c = np.nonzero(s <= most[:, None])
+            ok = np.isfinite(s[r, c])
+            if skip_same:
+                ok &= q_ids[r + lo] != x_ids[c]
+            r, c = r[ok], c[ok]
         else:
-            r, c = np.nonzero(np.isfinite(s))
+            s[~np.isfinite(s)] = np.inf
+            if skip_same:
+                s[q_ids[lo : lo + step, None] == x_ids[None, :]] = np.inf
+            if s.shape[1] > k:
+                r, c = np.nonzero((s <= np.partition(s, k - 1, axis=1)[:, k - 1 : k] + np.array(slack, s.dtype)) & np.isfinite(s))
+            else:
+                r, c = np.nonzero(np.isfinite(s))
         size = max(1, MATRIX // max(1, q.shape[1]))
         d = [_exactly(metric, part[r[i : i + size]], x[c[i : i + size]]) for i in range(0, len(r), size)]
         found.append(_best(r + lo, x_ids[c], np.concatenate(d) if d else np.zeros(0), k))
     return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def _limits(best: tuple, n: int, k: int) -> np.ndarray:
+    """The k-th distance of each of n rows in what :func:`_best` gave; infinite where fewer were found."""
+    row, _, d = best
+    out = np.full(n, np.inf)
+    last = np.arange(k - 1, len(row))
+    last = last[row[last] == row[last - (k - 1)]]
+    out[row[last]] = d[last]
+    return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A column of equally long vectors as a matrix; null components are NaN."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -131,8 +165,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ve
     ranks what is left. Queries whose matrix is over BROADCAST_BYTES meet the rows by blocks of both.
     """
     spark = base.sparkSession
-    q = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    b = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    q = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and query_id is not null")
+    b = base.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null and id is not null")
     n, dims = q.agg(F.count("*"), F.max(F.size("v"))).first()
     if n * (dims or 1) * 8 <= BROADCAST_BYTES:
         rows = q.toArrow().combine_chunks()
@@ -140,75 +174,172 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ve
 
         def run(batches):
             ids, m = held.value
-            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            best, limit = _NONE, None
             for batch in batches:
                 if len(ids) and batch.num_rows:
-                    new = nearest(metric, m, ids, _matrix(batch.column("v")), batch.column("id").to_numpy(), k, exclude_self)
+                    new = nearest(metric, m, ids, _matrix(batch.column("v")), batch.column("id").to_numpy(), k, exclude_self, limit)
                     best = _best(*[np.concatenate(z) for z in zip(best, new, strict=True)], k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["query_id", "id", "distance"])
+                    limit = _limits(best, len(ids), k)
+            yield _found(ids, best)
 
         found = b.mapInArrow(run, _FOUND)
     else:
-        # Neither side goes to the driver: blocks of rows meet blocks of queries, which are cut so that the distances of
-        # two blocks fit.
-        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if not len(x) or not len(y):
-                return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
-            ids = y.id.to_numpy()
-            row, near, d = nearest(metric, np.array(y.v.tolist(), dtype=float), ids, np.array(x.v.tolist(), dtype=float), x.id.to_numpy(), k, exclude_self)
-            return pd.DataFrame({"query_id": ids[row], "id": near, "distance": d})
-
-        found = _block_pairs(base, queries, vector, id_col, meet, _FOUND)
+        # Neither side goes to the driver, and no row is copied: blocks of queries meet the blocks of a part of the rows
+        # one after another, and only a query's k nearest of that part go on.
+        def meet(met):
+            at, ids, best, limit = None, None, _NONE, None
+            for block, q_ids, m, _, x_ids, x in met:
+                if block != at:
+                    if at is not None:
+                        yield _found(ids, best)
+                    at, ids, best, limit = block, q_ids, _NONE, None
+                new = nearest(metric, m, ids, x, x_ids, k, exclude_self, limit)
+                best = _best(*[np.concatenate(z) for z in zip(best, new, strict=True)], k)
+                limit = _limits(best, len(ids), k)
+            if at is not None:
+                yield _found(ids, best)
+
+        left = _packed(queries, vector, id_col)
+        found = _block_pairs(left, left if base is queries else _packed(base, vector, id_col), meet, _FOUND)
     w = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Rows of a block that meets another: their distances are one matrix.
-BLOCK_ROWS = 2048
+_NONE = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+
+def _found(ids: np.ndarray, best: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["query_id", "id", "distance"])
+
+
+#: Rows of a block that meets another: their distances are tiles of one matrix.
+BLOCK_ROWS = 4096
+#: Bytes of vectors of one side that a task holds, and sends to Python at a time.
+SIDE_BYTES = 16 << 20
+
+
+def _packed(df: DataFrame, vector: str, id_col: str) -> tuple:
+    """(a stored table (block, ids, m) with a row a block, about one in each partition; its bytes; the components' type).
+    Each row is in it once. Null vectors and ids take no part."""
+    kind = "float" if df.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    dtype = np.float32 if kind == "float" else np.float64
+    d = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v")).where("v is not null and id is not null")
+    n, dims = d.agg(F.count("*"), F.max(F.size("v"))).first()
+
+    def pack(batches):
+        first, made, held, rows = TaskContext.get().partitionId() << 32, 0, [], 0
 
+        def block():
+            ids = np.concatenate([b.column("id").to_numpy() for b in held])
+            m = np.concatenate([_matrix(b.column("v")).astype(dtype) for b in held])
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([ids.tobytes()]), pa.array([m.tobytes()])], names=["block", "ids", "m"])
 
-def _block_pairs(left: DataFrame, right: DataFrame, vector: str, id_col: str, run, schema: str) -> DataFrame:
-    """``run`` (two frames of id and v) on each pair of blocks of the two sides; the number of blocks grows with the rows."""
+        for b in batches:
+            while b.num_rows:
+                take = b.slice(0, BLOCK_ROWS - rows)
+                held.append(take)
+                rows, b = rows + take.num_rows, b.slice(take.num_rows)
+                if rows == BLOCK_ROWS:
+                    yield block()
+                    held, rows, made = [], 0, made + 1
+        if held:
+            yield block()
 
-    def tag(df: DataFrame, side: int) -> DataFrame:
-        d = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-        return d.withColumn("_g", F.pmod(F.xxhash64("id", F.lit(side)), F.lit(blocks[side])).cast("int"))
+    # Half a block is left over at most: dealing rows out evenly makes parts that differ by a few rows.
+    parts = max(1, -(-n // max(1, BLOCK_ROWS * 31 // 32)))
+    return cut(d.repartition(parts).mapInArrow(pack, "block bigint, ids binary, m binary")), n * (dims or 1) * np.dtype(dtype).itemsize, dtype
 
-    blocks = [max(1, -(-df.where(F.col(vector).isNotNull()).count() // BLOCK_ROWS)) for df in (left, right)]
-    a = tag(left, 0).select("id", "v", F.col("_g").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("j"))
-    b = tag(right, 1).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("i"), F.col("_g").alias("j"))
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, schema)
+
+def _met(batches, kinds: tuple):
+    """(block, ids, vectors) of both sides, of each pair of blocks."""
+    for b in batches:
+        for i in range(b.num_rows):
+            out = []
+            for side, kind in zip("ab", kinds, strict=True):
+                ids = np.frombuffer(b.column(f"ids_{side}")[i].as_buffer(), np.int64)
+                m = np.frombuffer(b.column(f"m_{side}")[i].as_buffer(), kind)
+                out += [b.column(f"block_{side}")[i].as_py(), ids, m.reshape(len(ids), len(m) // len(ids))]
+            yield tuple(out)
+
+
+def _block_pairs(left: tuple, right: tuple, run, schema: str, once: bool = False) -> DataFrame:
+    """``run`` (an iterator as of :func:`_met`, which gives record batches) on each block of the left side against the
+    blocks of a part of the right one; with ``once``, of one side with itself, on each two blocks once. Tasks read the
+    stored blocks: nothing is shuffled, and neither side is ever whole in one place."""
+    (a, _, kind_a), (b, size, kind_b) = left, right
+    a, b = a.toDF("block_a", "ids_a", "m_a"), b.coalesce(max(1, -(-size // SIDE_BYTES))).toDF("block_b", "ids_b", "m_b")
+    met = a.hint("shuffle_replicate_nl").join(b, F.col("block_a") <= F.col("block_b")) if once else a.hint("shuffle_replicate_nl").crossJoin(b)
+    return met.mapInArrow(lambda batches: run(_met(batches, (kind_a, kind_b))), schema)
+
+
+def _within(metric: str, q: np.ndarray, x: np.ndarray, threshold: float):
+    """(row of q, row of x, distance) of pairs nearer than the threshold, tile by tile: matrix products leave those that
+    rounding can't rule out, which are then measured one by one."""
+    if metric == "cosine":
+        unit = lambda v: v / np.where((n := np.sqrt(np.einsum("ij,ij->i", v, v))) == 0, 1, n)[:, None]
+        u, w = (unit(v.astype(float)).astype(np.float32) for v in (q, x))
+    elif not _single(metric, q, x):
+        q, x = q.astype(float, copy=False), x.astype(float, copy=False)
+    step, size = max(1, MATRIX // max(1, len(x))), max(1, MATRIX // max(1, q.shape[1]))
+    for lo in range(0, len(q), step):
+        part = q[lo : lo + step]
+        if metric == "cosine":
+            least = 1 - threshold - 16 * (q.shape[1] + 8) * float(np.finfo(np.float32).eps)
+            r, c = np.nonzero(u[lo : lo + step] @ w.T >= np.float32(least))
+        else:
+            s, slack = _rough(metric, part, x)
+            most = (max(threshold, 0.0) ** 2 if metric == "l2" else threshold) + slack
+            r, c = np.nonzero(s <= np.nextafter(s.dtype.type(most), s.dtype.type(np.inf)))
+        for i in range(0, len(r), size):
+            a, b = r[i : i + size], c[i : i + size]
+            d = _exactly(metric, part[a], x[b])
+            ok = d < threshold
+            yield a[ok] + lo, b[ok], d[ok]
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float, vector: str = "embedding", id_col: str = "vec_id", metric: str = "cosine") -> DataFrame:
     """(a, b, distance) of pairs nearer than the threshold, a < b, exact.
 
-    Rows are dealt into blocks; each pair of blocks is one task, so neither side is ever whole in one place.
+    Blocks of rows meet where they are stored, so neither side is ever whole in one place; of one table with itself, each
+    two blocks meet once.
     """
+    once = left is right
 
-    def pairs(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64", "distance": "float64"})
-        d = _distances(metric, np.array(x.v.tolist()), np.array(y.v.tolist()))
-        ok = (d < threshold) & (x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :])
-        i, j = np.nonzero(ok)
-        return pd.DataFrame({"a": x.id.to_numpy()[i], "b": y.id.to_numpy()[j], "distance": d[i, j]})
+    def pairs(met):
+        for at, ids, x, other, more, y in met:
+            for r, c, d in _within(metric, x, y, threshold):
+                a, b = ids[r], more[c]
+                if once:
+                    ok = (a != b) & ((r < c) if at == other else True)
+                    a, b, d = np.minimum(a, b)[ok], np.maximum(a, b)[ok], d[ok]
+                else:
+                    a, b, d = a[a < b], b[a < b], d[a < b]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "distance"])
 
-    return _block_pairs(left, right, vector, id_col, pairs, "a bigint, b bigint, distance double")
+    side = _packed(left, vector, id_col)
+    return _block_pairs(side, side if once else _packed(right, vector, id_col), pairs, "a bigint, b bigint, distance double", once)
 
 
 def pairwise_total(df: DataFrame, metric: str = "l2", vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(total, n): the sum of the distances of all pairs, and their number. Blocks are summed where they meet; no pair is
-    a row."""
-
-    def totals(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"total": [0.0], "n": [0]})
-        d = _distances(metric, np.array(x.v.tolist()), np.array(y.v.tolist()))
-        ok = x.id.to_numpy()[:, None] < y.id.to_numpy()[None, :]
-        return pd.DataFrame({"total": [float(d[ok].sum())], "n": [int(ok.sum())]})
-
-    return _block_pairs(df, df, vector, id_col, totals, "total double, n bigint").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    """(total, n): the sum of the distances of all pairs, and their number. Blocks are summed where they meet, each two
+    once; no pair is a row."""
+
+    def totals(met):
+        for at, ids, x, other, more, y in met:
+            total, n = 0.0, 0
+            x, y, common = x.astype(float), y.astype(float), bool(len(np.intersect1d(ids, more)))
+            step = max(1, MATRIX // max(1, len(y)))
+            for lo in range(0, len(x), step):
+                d = kernels.distances(x[lo : lo + step], y) if metric == "l2" else _distances(metric, x[lo : lo + step], y)
+                if common:
+                    ok = ids[lo : lo + step, None] != more[None, :]
+                    d = d[np.triu(ok, lo + 1) if at == other else ok]
+                total, n = total + float(d.sum()), n + d.size
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], names=["total", "n"])
+
+    side = _packed(df, vector, id_col)
+    return _block_pairs(side, side, totals, "total double, n bigint", once=True).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def attention_rerank(candidates: DataFrame, query, k: int, vector: str = "embedding", similarity: str = "similarity", id_col: str = "id", by: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,10 @@ import time
 import tracemalloc
 
 import numpy as np
+import pytest
 
 from orrery.functions import kernels
+from orrery.operators import graph, search
 
 
 def test_min_cut_of_large_sparse_graphs():
@@ -64,3 +66,28 @@ def test_attention_of_many_queries_in_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 40e6  # 20,000 x 300 scores, several times, before
     tracemalloc.stop()
     assert np.allclose(y, kernels.attention(x[:, :2], x[:300, :2], x[:300]), rtol=1e-12, atol=1e-14)
+
+
+@pytest.fixture
+def vecs(spark, monkeypatch):
+    """Vectors in single precision with copies, dealt into many small blocks; and the table of all their distances."""
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(search, "SIDE_BYTES", 2000)
+    x = _points(230, 5).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 8), (999, None)], "vec_id bigint, embedding array<float>")
+    x = x.astype(float)
+    return df, np.linalg.norm(x[:, None] - x[None], axis=-1)
+
+
+def _copies_no_row(df) -> bool:
+    return "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_knn_of_blocks_that_are_not_copied(vecs):
+    df, d = vecs
+    found = search.knn_join(df, df, 3)
+    assert _copies_no_row(found)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1, int(j)) for i in range(230) for r, j in enumerate(np.lexsort((np.arange(230), d[i]))[:3])}
+    assert {(r.query_id, r["rank"], r.id) for r in found.collect()} == want
