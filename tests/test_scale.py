@@ -91,3 +91,11 @@ def test_knn_of_blocks_that_are_not_copied(vecs):
     np.fill_diagonal(d, np.inf)
     want = {(i, r + 1, int(j)) for i in range(230) for r, j in enumerate(np.lexsort((np.arange(230), d[i]))[:3])}
     assert {(r.query_id, r["rank"], r.id) for r in found.collect()} == want
+
+
+def test_total_of_blocks_that_are_not_copied(vecs):
+    df, d = vecs
+    found = search.pairwise_total(df)
+    assert _copies_no_row(found)
+    got = found.first()
+    assert got.n == 230 * 229 // 2 and got.total == pytest.approx(np.triu(d).sum(), rel=1e-12)
