@@ -99,3 +99,15 @@ def test_total_of_blocks_that_are_not_copied(vecs):
     assert _copies_no_row(found)
     got = found.first()
     assert got.n == 230 * 229 // 2 and got.total == pytest.approx(np.triu(d).sum(), rel=1e-12)
+
+
+def test_similarity_of_blocks_that_are_not_copied(vecs):
+    df, d = vecs
+    for other in (df, df.where("vec_id >= 0 or vec_id is null")):
+        found = search.similarity_join(df, other, 1.5, metric="l2")
+        assert _copies_no_row(found)
+        rows = found.collect()
+        want = {(i, j): d[i, j] for i in range(230) for j in range(i + 1, 230) if d[i, j] < 1.5}
+        assert len(rows) == len(want) > 9 and all(r.distance == pytest.approx(want[r.a, r.b], abs=1e-12) for r in rows)
+    angle = {(r.a, r.b) for r in search.similarity_join(df, df, 1e-9).collect()}
+    assert angle == {(i, 115 + i) for i in range(9)}
