@@ -377,28 +377,39 @@ def _dense(matrix: np.ndarray, bias: np.ndarray | None, relu: bool):
     return f
 
 
+def _mapped(features: DataFrame, matrix: np.ndarray, name: str) -> DataFrame:
+    """(id, name): features through a linear map; null components count as 0. What is linear comes first, so that the
+    mapped features travel, which are shorter."""
+    v = F.transform("v", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    return features.where("v is not null").select("id", _dense(matrix, None, False)(v).alias(name))
+
+
 def gcn_layer(edges: DataFrame, features: DataFrame, weight: np.ndarray, bias: np.ndarray | None = None) -> DataFrame:
     """Sum of neighbours over the root of the in-degree (that side only), a linear map, ReLU. Nodes without incoming
-    edges have a zero sum."""
-    deg = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("deg"))
-    s = aggregate_messages(edges, features, "sum").join(deg, "id").select("id", F.transform("v", lambda x: x / F.sqrt(F.col("deg"))).alias("m"))
-    zero = F.transform("v", lambda x: F.lit(0.0))
-    m = features.join(s, "id", "left").select("id", F.coalesce("m", zero).alias("m"))
-    return m.select("id", _dense(weight, bias, True)("m").alias("v"))
+    edges have a zero sum. Edges are read once, and summed before they travel to their node."""
+    w = F.coalesce(F.col("weight"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    e = edges.select("src", "dst", w.alias("w")).join(_mapped(features, weight, "y").withColumnRenamed("id", "src"), "src", "left")
+    n = weight.shape[1]
+    s = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_deg"), *[F.sum(F.get("y", F.lit(i)) * F.col("w")).alias(f"_s{i}") for i in range(n)])
+    add = bias if bias is not None else np.zeros(n)
+    out = [F.greatest(F.coalesce(F.col(f"_s{i}") / F.sqrt("_deg"), F.lit(0.0)) + F.lit(float(add[i])), F.lit(0.0)) for i in range(n)]
+    return features.select("id").join(s, "id", "left").select("id", F.array(*out).alias("v"))
 
 
 def sage_layer(edges: DataFrame, features: DataFrame, w_self: np.ndarray, w_near: np.ndarray, samples: int | None = None, seed: int = 42) -> DataFrame:
     """Own features and the mean of (sampled) neighbours through two linear maps, ReLU."""
-    e = edges
+    e = edges.drop("weight")
     if samples:
         from pyspark.sql import Window as W
 
         w = W.partitionBy("dst").orderBy(F.xxhash64("src", F.lit(seed)), "src")
         e = e.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= samples).drop("_r")
-    near = aggregate_messages(e.drop("weight"), features, "mean").select("id", F.col("v").alias("m"))
-    zero = F.transform("v", lambda x: F.lit(0.0))
-    both = features.join(near, "id", "left").select("id", F.concat("v", F.coalesce("m", zero)).alias("x"))
-    return both.select("id", _dense(np.vstack([w_self, w_near]), None, True)("x").alias("v"))
+    n = w_near.shape[1]
+    m = e.select("src", "dst").join(_mapped(features, w_near, "y").withColumnRenamed("id", "src"), "src")
+    near = m.groupBy(F.col("dst").alias("id")).agg(*[F.avg(F.get("y", F.lit(i))).alias(f"_m{i}") for i in range(n)])
+    own = features.select("id", _dense(w_self, None, False)("v").alias("_own"))
+    out = [F.greatest(F.get("_own", F.lit(i)) + F.coalesce(F.col(f"_m{i}"), F.lit(0.0)), F.lit(0.0)) for i in range(n)]
+    return own.join(near, "id", "left").select("id", F.array(*out).alias("v"))
 
 
 def message_pass(edges: DataFrame, features: DataFrame, hops: int, how: str = "mean") -> DataFrame:

@@ -111,3 +111,21 @@ def test_similarity_of_blocks_that_are_not_copied(vecs):
         assert len(rows) == len(want) > 9 and all(r.distance == pytest.approx(want[r.a, r.b], abs=1e-12) for r in rows)
     angle = {(r.a, r.b) for r in search.similarity_join(df, df, 1e-9).collect()}
     assert angle == {(i, 115 + i) for i in range(9)}
+
+
+def _chain(spark):
+    x = np.random.default_rng(4).normal(size=(40, 6))
+    feats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    edges = [(i, j) for i in range(40) for j in range(39) if (i * 7 + j * 3) % 5 == 0] + [(777, 1)]
+    return x, feats, spark.createDataFrame(edges, "src bigint, dst bigint"), edges
+
+
+def test_gcn_sums_mapped_features(spark):
+    x, feats, df, edges = _chain(spark)
+    w, b = np.random.default_rng(5).normal(size=(6, 3)), np.array([0.1, -0.2, 0.3])
+    out = graph.gcn_layer(df, feats, w, b)
+    assert _copies_no_row(out)
+    for r in out.collect():
+        near = [i for i, j in edges if j == r.id]
+        m = sum((x[i] for i in near if i < 40), np.zeros(6)) / max(1, len(near)) ** 0.5
+        assert np.allclose(r.v, np.maximum(m @ w + b, 0))
