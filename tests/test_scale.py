@@ -129,3 +129,13 @@ def test_gcn_sums_mapped_features(spark):
         near = [i for i, j in edges if j == r.id]
         m = sum((x[i] for i in near if i < 40), np.zeros(6)) / max(1, len(near)) ** 0.5
         assert np.allclose(r.v, np.maximum(m @ w + b, 0))
+
+
+def test_sage_averages_mapped_features(spark):
+    x, feats, df, edges = _chain(spark)
+    a, b = np.random.default_rng(6).normal(size=(2, 6, 3))
+    out = graph.sage_layer(df, feats, a, b)
+    assert _copies_no_row(out)
+    for r in out.collect():
+        near = [x[i] for i, j in edges if j == r.id and i < 40]
+        assert np.allclose(r.v, np.maximum(x[r.id] @ a + (np.mean(near, 0) @ b if near else 0), 0))
