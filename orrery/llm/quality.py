@@ -5,19 +5,20 @@ document, kept in sorted hash arrays, and scores each word of each document. Doc
 their language's band are rejected, besides those that fail two plain rules (few words, much repetition).
 
 N-grams run over the characters of a word between a start mark and an end mark; so the score of a word is a
-function of the word, and equal words of a batch are scored once. The model stays bounded: an n-gram is stored only if
-it makes up at least ``min_share`` of its language's n-grams (the probabilities come from all counts); what isn't stored
-is scored by its back-off.
+function of the word, and equal words of a batch are scored once. What workers hold stays bounded: n-grams that make up
+at least ``min_share`` of their language's. The others stay in tables: a document's occurrences of them are listed when it
+is scored, and get their probabilities by joins. So every document is scored by the whole model.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,7 +141,8 @@ def kneser_ney(counts: DataFrame, min_share: float) -> Model:
     Lower orders use the number of distinct left neighbours, but for n-grams at a word's start, which have none.
     Spark computes every count, discount, back-off weight and probability, from all n-grams. N-grams with at least
     ``min_share`` of their language's occurrences, at most ``ORDER / min_share`` a language, then come to the driver,
-    a language at a time, to be sorted by their hashes. Others are scored as what they back off to.
+    a language at a time, to be sorted by their hashes. All are in the model's tables, which stay stored until
+    ``forget(spark, *model.paths)``.
     """
     spark, paths = counts.sparkSession, []
 
@@ -158,31 +160,34 @@ def kneser_ney(counts: DataFrame, min_share: float) -> Model:
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = spark.createDataFrame(cuts, "lang string, least double, d1 double, d2 double, d3 double")
         t = up.join(F.broadcast(cut) if len(cuts) <= BROADCAST_LANGUAGES else cut, "lang").withColumn("d", d)
-        grams[k] = stored(t.where(F.col("raw") >= F.col("least")).select("lang", "gram", (F.col("n") - F.col("d")).alias("left")), f"left{k}")
+        common = (F.col("raw") >= F.col("least")).alias("common")
+        grams[k] = stored(t.select("lang", "gram", (F.col("n") - F.col("d")).alias("left"), common), f"left{k}")
         ctx = t.groupBy("lang", F.substring("gram", 1, k - 1).alias("ctx")).agg(F.sum("n").alias("tot"), F.sum("d").alias("d"), F.sum("raw").alias("raw"), F.max("least").alias("least"), F.count("*").alias("v"))
-        contexts[k] = stored(ctx.where(F.col("raw") >= F.col("least")).select("lang", "ctx", "tot", (F.col("d") / F.col("tot")).alias("weight"), "v"), f"contexts{k}")
+        contexts[k] = stored(ctx.select("lang", "ctx", "tot", (F.col("d") / F.col("tot")).alias("weight"), "v", common), f"contexts{k}")
         if k > 1:
             started = F.substring("gram", 2, 1) == START
             down = up.groupBy("lang", F.substring("gram", 2, k - 1).alias("gram")).agg(F.sum("n").alias("_sum"), F.count("*").alias("_left"), F.sum("raw").alias("raw"), F.max(started).alias("_started"))
             down = down.where(F.col("gram") != START).select("lang", "gram", F.when(F.col("_started"), F.col("_sum")).otherwise(F.col("_left")).alias("n"), "raw")
             up = stored(down, f"grams{k - 1}")
-    # Every n-gram that is stored has a stored context and a stored n-gram of the next lower order, as both are commoner.
+    # Every n-gram has a context and an n-gram of the next lower order; both are as common or commoner.
     flat = F.col("weight") / (F.col("v") + 1)
-    p = grams[1].join(contexts[1].select("lang", "tot", flat.alias("flat")), "lang").select("lang", "gram", (F.col("left") / F.col("tot") + F.col("flat")).alias("p"))
+    p = grams[1].join(contexts[1].select("lang", "tot", flat.alias("flat")), "lang").select("lang", "gram", (F.col("left") / F.col("tot") + F.col("flat")).alias("p"), "common")
     probs = {1: stored(p, "p1")}
     for k in range(2, ORDER + 1):
-        g = grams[k].select("lang", "gram", "left", F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("low"))
+        g = grams[k].select("lang", "gram", "left", "common", F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("low"))
         low = probs[k - 1].select("lang", F.col("gram").alias("low"), F.col("p").alias("lower"))
         g = g.join(contexts[k].select("lang", "ctx", "tot", "weight"), ["lang", "ctx"]).join(low, ["lang", "low"])
-        probs[k] = stored(g.select("lang", "gram", (F.col("left") / F.col("tot") + F.col("weight") * F.col("lower")).alias("p")), f"p{k}")
+        probs[k] = stored(g.select("lang", "gram", (F.col("left") / F.col("tot") + F.col("weight") * F.col("lower")).alias("p"), "common"), f"p{k}")
     model = Model({})
     for r in contexts[1].select("lang", flat.alias("flat")).collect():
         orders = []
         for k in range(1, ORDER + 1):
-            back = contexts[k + 1].where(F.col("lang") == r.lang).select("ctx", "weight").toArrow() if k < ORDER else None
-            orders.append((probs[k].where(F.col("lang") == r.lang).select("gram", "p").toArrow(), back))
+            back = contexts[k + 1].where((F.col("lang") == r.lang) & F.col("common")).select("ctx", "weight").toArrow() if k < ORDER else None
+            orders.append((probs[k].where((F.col("lang") == r.lang) & F.col("common")).select("gram", "p").toArrow(), back))
         model.langs[r.lang] = Language.of(r.flat, orders)
-    forget(spark, *paths)
+    model.tables = {k: (probs[k].drop("common"), contexts[k].select("lang", "ctx", "weight")) for k in probs}
+    model.paths = [p for p in paths if p.rsplit("/", 1)[1].startswith(("orrery-p", "orrery-contexts"))]
+    forget(spark, *set(paths) - set(model.paths))
     return model
 
 
@@ -267,14 +272,59 @@ class Language:
 
 @dataclass
 class Model:
-    """A model for each language."""
+    """A model for each language: what is held in memory; by order, tables of all probabilities (lang, gram, p) and
+    back-off weights (lang, ctx, weight); and where these tables lie."""
 
     langs: dict[str, Language]
+    tables: dict[int, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
+    paths: list[str] = field(default_factory=list)
 
     def words(self, lang: str, words: list[str]) -> np.ndarray:
-        """Log probability of each word, its end included; of a language without a model, 0."""
+        """Log probability of each word by what is held in memory, its end included; of a language without a model, 0."""
         return self.langs[lang].words(words) if lang in self.langs else np.zeros(len(words))
 
+    def look_up(self, grams: DataFrame) -> DataFrame:
+        """(lang, gram, units) of distinct ORDER-grams: their log probabilities in the tables, in UNIT-ths."""
+        flat = grams.sparkSession.createDataFrame([(la, m.unseen) for la, m in self.langs.items()], "lang string, unseen double")
+        log = lambda x: F.log(F.greatest(F.col(x), F.lit(1e-12)))
+        g = grams.select("lang", "gram", F.col("gram").alias("_at"), F.lit(0.0).alias("_back"), F.lit(None).cast("double").alias("_log"))
+        for k in range(ORDER, 0, -1):
+            probs, contexts = self.tables[k]
+            g = g.join(probs.select("lang", F.col("gram").alias("_at"), log("p").alias("_p")), ["lang", "_at"], "left")
+            g = g.withColumn("_log", F.coalesce("_log", F.col("_back") + F.col("_p"))).drop("_p")
+            if k > 1:
+                g = g.withColumn("_ctx", F.substring("_at", 1, k - 1)).join(contexts.select("lang", F.col("ctx").alias("_ctx"), log("weight").alias("_w")), ["lang", "_ctx"], "left")
+                g = g.select("lang", "gram", F.substring("_at", 2, k - 1).alias("_at"), (F.col("_back") + F.coalesce("_w", F.lit(0.0))).alias("_back"), "_log")
+        g = g.join(F.broadcast(flat) if len(self.langs) <= BROADCAST_LANGUAGES else flat, "lang")
+        return g.select("lang", "gram", F.round(F.coalesce("_log", F.col("_back") + F.col("unseen")) * UNIT).cast("bigint").alias("units"))
+
+
+#: Log probabilities are summed as whole numbers of this part of 1, so that their order doesn't matter.
+UNIT = 2**32
+
+
+def _held(top: tuple[np.ndarray, np.ndarray], words: list[str]) -> list:
+    """For each word, its log probability by ORDER-grams that are held in memory; where others occur in it, a pair of
+    that and these."""
+    cp, at = _points(words)
+    inside = np.ones(len(cp), bool)
+    for i in range(ORDER - 1):
+        inside[at[:-1] + i] = False
+    ends = np.flatnonzero(inside)
+    keys, logp = top
+    key = _keys(cp)[ends]
+    i = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+    hit = keys[i] == key if len(keys) else np.zeros(len(key), bool)
+    each = np.where(hit, logp[i], 0.0) if len(keys) else np.zeros(len(key))
+    out = np.add.reduceat(each, at[:-1] - (ORDER - 1) * np.arange(len(words))).tolist()
+    miss = ends[~hit]
+    text = np.stack([cp[miss - i] for i in range(ORDER - 1, -1, -1)], axis=1).tobytes().decode("utf-32-le", "surrogatepass")
+    for n, w in enumerate((np.searchsorted(at, miss, "right") - 1).tolist()):
+        if not isinstance(out[w], tuple):
+            out[w] = out[w], []
+        out[w][1].append(text[n * ORDER : (n + 1) * ORDER])
+    return out
+
 
 def _repeats(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each text of so many words, given as codes on end: how many lie in windows of WINDOW words that occur twice or
@@ -313,14 +363,17 @@ def _repeats(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _scorer(models: dict, text: str, lang: str):
-    """mapInArrow function that appends METRICS to the rows. models: broadcast models by language; a worker loads those
-    of the languages that it meets."""
+    """mapInArrow function that appends METRICS, a number of the row and the ORDER-grams that are not held in memory to
+    the rows; these still lack in log_ppl. models: broadcast ORDER-grams by language; a worker loads those of the
+    languages that it meets."""
 
     def run(batches):
         caches: dict[str, Recent] = {}
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             texts = raw(b.column(text))
             langs = pc.fill_null(b.column(lang).cast(pa.string()), "")
+            rest: list[list[str]] = [[] for _ in range(b.num_rows)]
             n_words, repeats, ppl = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             if sum(map(len, caches.values())) > CACHE:
                 for cache in caches.values():
@@ -335,11 +388,20 @@ def _scorer(models: dict, text: str, lang: str):
                 for lo in range(0, len(miss), 20_000):
                     part = miss[lo : lo + 20_000]
                     listed = [w.decode("utf-8", "replace") for w in part]
-                    cache.update(zip(part, model.words(listed).tolist() if model else [0.0] * len(part), strict=True))
+                    cache.update(zip(part, _held(model, listed) if model else [0.0] * len(part), strict=True))
                 n_words[mine], repeats[mine] = lens, _repeats(codes, lens)
                 some = lens > 0
                 if some.any():
-                    each = np.fromiter(map(cache.__getitem__, ws), np.float64, len(ws))[codes]
+                    known = [cache[w] for w in ws]
+                    part = [i for i, v in enumerate(known) if isinstance(v, tuple)]
+                    if part:
+                        lacks = {i: known[i][1] for i in part}
+                        for i in part:
+                            known[i] = known[i][0]
+                        at = np.flatnonzero(np.isin(codes, part))
+                        for d, w in zip(mine[np.searchsorted(np.cumsum(lens), at, "right")].tolist(), codes[at].tolist(), strict=True):
+                            rest[d] += lacks[w]
+                    each = np.array(known)[codes]
                     ppl[mine[some]] = -np.add.reduceat(each, (np.cumsum(lens) - lens)[some]) / (chars[mine] + lens)[some]
             symbols, dup = [], []
             for t in texts:
@@ -353,9 +415,12 @@ def _scorer(models: dict, text: str, lang: str):
                 pa.array(dup, pa.int64()),
                 pa.array(repeats),
                 pa.array(ppl),
+                pa.array(np.arange(row, row + b.num_rows)),
+                pa.array(rest, pa.list_(pa.string())),
             ]
+            row += b.num_rows
             keep = [i for i, f in enumerate(b.schema) if f.name != text or run.keep_text]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *new], names=[*[b.schema.field(i).name for i in keep], *[k for k, _ in METRICS]])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *new], names=[*[b.schema.field(i).name for i in keep], *[k for k, _ in METRICS], "_row", "_rest"])
 
     run.keep_text = True
     return run
@@ -371,12 +436,32 @@ def fit(docs: DataFrame, rules: Rules = Rules()) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", keep_text: bool = False) -> DataFrame:
     """Append METRICS to all columns; the text itself only with ``keep_text``."""
+    stored, whole, _ = _score(docs, model, text, lang, keep_text)
+    return stored.drop("log_ppl", "_rest").join(whole.select("_row", "log_ppl"), "_row").select(*[c for c in stored.columns if c not in ("_row", "_rest")])
+
+
+def _score(docs: DataFrame, model: Model, text: str, lang: str, keep_text: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(a stored table of the rows, which still lacks rare n-grams in log_ppl; a stored table without their other long
+    columns but with all n-grams in log_ppl; where both lie). Rows have a number in both, ``_row``."""
     spark = docs.sparkSession
     tune(spark)
-    run = _scorer({la: spark.sparkContext.broadcast(m) for la, m in model.langs.items()}, text, lang)
+    run = _scorer({la: spark.sparkContext.broadcast(m.orders[-1][0]) for la, m in model.langs.items()}, text, lang)
     run.keep_text = keep_text
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
-    return docs.mapInArrow(lean("quality", run), T.StructType([*fields, *[T.StructField(k, t) for k, t in METRICS]]))
+    new = [*[T.StructField(k, t) for k, t in METRICS], T.StructField("_row", T.LongType()), T.StructField("_rest", T.ArrayType(T.StringType()))]
+    stored, path = materialize(docs.mapInArrow(lean("quality", run), T.StructType([*fields, *new])), "quality")
+    rare = stored.select("_row", F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.explode("_rest").alias("gram"))
+    rare = rare.groupBy("_row", "lang", "gram").agg(F.count("*").alias("_n"))
+    looked, looked_path = materialize(model.look_up(rare.select("lang", "gram").distinct()), "rare") if model.langs else (None, None)
+    whole = stored.drop("_rest", *([text] if keep_text else []))
+    if looked is not None:
+        more = rare.join(looked, ["lang", "gram"]).groupBy("_row").agg(F.sum(F.col("_n") * F.col("units")).alias("_units"))
+        lacking = F.coalesce(F.col("_units") / UNIT / (F.col("word_chars") + F.col("n_words")), F.lit(0.0))
+        whole = whole.join(more, "_row", "left").withColumn("log_ppl", F.col("log_ppl") - lacking).drop("_units")
+    whole, whole_path = materialize(whole, "scores")
+    if looked_path:
+        forget(spark, looked_path)
+    return stored, whole, [path, whole_path]
 
 
 def bands(scored: DataFrame, rules: Rules, lang: str = "lang") -> dict[str, tuple[float, float, float]]:
@@ -417,7 +502,8 @@ def quality_table(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     gives an empty result.
     """
     model = fit(docs, rules)
-    scored, _ = materialize(score(docs_of(docs, "doc_id", "lang", "text"), model), "quality")
+    _, scored, paths = _score(docs_of(docs, "doc_id", "lang", "text"), model, "text", "lang", False)
+    forget(docs.sparkSession, *model.paths, paths[0])
     out = verdict(scored, bands(scored, rules), rules)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "ppl_low", "ppl_high", "base_failed", "kept")
 
@@ -431,6 +517,10 @@ def quality_filter(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     model = fit(docs, rules)
     d, at = masked(docs, "text", "lang")
     text, lang = at["text"], at["lang"]
-    scored, _ = materialize(score(d, model, text, lang, keep_text=True), "quality")
+    stored, scored, _ = _score(d, model, text, lang, keep_text=True)
+    forget(docs.sparkSession, *model.paths)
+    # Verdicts come from the table without texts; rejected rows, which are fewer than kept ones, meet the texts.
+    scored = scored.select("_row", lang, *[k for k, _ in METRICS])
+    rejected = verdict(scored, bands(scored, rules, lang), rules, lang).where(~F.coalesce("kept", F.lit(False))).select("_row")
     cols = [f"_c{i}" for i in range(len(docs.columns))]
-    return verdict(scored, bands(scored, rules, lang), rules, lang).where("kept").select(*cols).toDF(*docs.columns)
+    return stored.join(rejected, "_row", "left_anti").select(*cols).toDF(*docs.columns)

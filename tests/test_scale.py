@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from orrery.functions import kernels
+from orrery.llm import quality
 from orrery.operators import graph, search
 
 
@@ -139,3 +140,32 @@ def test_sage_averages_mapped_features(spark):
     for r in out.collect():
         near = [x[i] for i, j in edges if j == r.id and i < 40]
         assert np.allclose(r.v, np.maximum(x[r.id] @ a + (np.mean(near, 0) @ b if near else 0), 0))
+
+
+def _texts(spark):
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("abcdefghijklé"), int(n))) for n in rng.integers(1, 9, 400)]
+    rows = [(i % 50 if i < 60 else None, [None, "en", "de"][i % 3], " ".join(rng.choice(made, int(rng.integers(0, 60))))) for i in range(80)]
+    return spark.createDataFrame([*rows, (7, "en", None)], "doc_id bigint, lang string, text string")
+
+
+def test_rare_ngrams_are_scored_by_the_whole_model(spark):
+    """Whatever is held in memory, a document's score is that of all n-grams."""
+    docs = _texts(spark)
+    key = lambda df: sorted((str(r.doc_id), r.n_words, r.kept, r.base_failed, round(r.log_ppl, 7)) for r in df.collect())
+    want = key(quality.quality_table(docs, quality.Rules(min_share=0.0)))
+    for share in (2e-3,):
+        assert key(quality.quality_table(docs, quality.Rules(min_share=share))) == want
+    # Texts that the model wasn't counted on back off by the whole model too.
+    other = spark.createDataFrame([(1, "en", "abba zebra κόσμος lé"), (2, "xx", "abba"), (3, None, "cab")], "doc_id bigint, lang string, text string")
+    got = [{r.doc_id: r.log_ppl for r in quality.score(other, quality.fit(docs, quality.Rules(min_share=s))).collect()} for s in (0.0, 5e-3)]
+    assert got[0] == pytest.approx(got[1], abs=1e-8) and got[0][2] == 0
+    model = quality.fit(docs, quality.Rules(min_share=0.0))
+    words = "abba zebra κόσμος lé".split()
+    assert got[1][1] == pytest.approx(-model.words("en", words).sum() / (sum(map(len, words)) + 4), abs=1e-8)
+
+
+def test_filter_keeps_what_the_whole_model_keeps(spark):
+    docs = _texts(spark)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(quality.quality_filter(docs, quality.Rules(min_share=1.0))) == key(quality.quality_filter(docs, quality.Rules(min_share=0.0)))
