@@ -169,3 +169,13 @@ def test_filter_keeps_what_the_whole_model_keeps(spark):
     docs = _texts(spark)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(quality.quality_filter(docs, quality.Rules(min_share=1.0))) == key(quality.quality_filter(docs, quality.Rules(min_share=0.0)))
+
+
+def test_pipeline_stage_reads_no_rank_of_ngrams(spark, monkeypatch):
+    """The first stage scores by the whole model, whatever is held in memory."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(quality.quality_filter, "__defaults__", (quality.Rules(min_share=1.0),))
+    docs = _texts(spark)
+    got = sorted(map(str, corpus_pipeline.quality_rules(spark, docs, "").collect()))
+    assert got == sorted(map(str, quality.quality_filter(docs, quality.Rules(min_share=0.0)).collect()))
