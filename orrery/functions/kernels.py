@@ -134,6 +134,11 @@ def spectral_points(x: np.ndarray, k: int) -> np.ndarray:
     return k_means(u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12), k)
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``np.nonzero`` gives of a matrix, faster: it searches flat masks by whole words."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of all pairs by a matrix product; those of near pairs, which cancel there, directly."""
     nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
@@ -141,7 +146,7 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     d *= -2
     d += nx[:, None]
     d += ny[None, :]
-    i, j = np.nonzero(~(d > 1e-4 * (nx.max(initial=0.0) + ny.max(initial=0.0))))
+    i, j = places(~(d > 1e-4 * (nx.max(initial=0.0) + ny.max(initial=0.0))))
     np.sqrt(np.maximum(d, 0, out=d), out=d)
     step = max(1, (1 << 21) // max(1, x.shape[1]))
     for lo in range(0, len(i), step):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -218,13 +219,27 @@ BLOCK_ROWS = 4096
 SIDE_BYTES = 16 << 20
 
 
+@contextmanager
+def _dropped_shuffles(spark):
+    """Plans that are made and run in here delete their shuffle files when they end, not when the driver happens to
+    collect its garbage: what they give is stored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if kept is None else spark.conf.set(key, kept)
+
+
 def _packed(df: DataFrame, vector: str, id_col: str) -> tuple:
     """(a stored table (block, ids, m) with a row a block, about one in each partition; its bytes; the components' type).
     Each row is in it once. Null vectors and ids take no part."""
     kind = "float" if df.schema[vector].dataType.elementType.simpleString() == "float" else "double"
     dtype = np.float32 if kind == "float" else np.float64
     d = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v")).where("v is not null and id is not null")
-    n, dims = d.agg(F.count("*"), F.max(F.size("v"))).first()
+    with _dropped_shuffles(df.sparkSession):
+        n, dims = d.agg(F.count("*"), F.max(F.size("v"))).first()
 
     def pack(batches):
         first, made, held, rows = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -247,7 +262,9 @@ def _packed(df: DataFrame, vector: str, id_col: str) -> tuple:
 
     # Half a block is left over at most: dealing rows out evenly makes parts that differ by a few rows.
     parts = max(1, -(-n // max(1, BLOCK_ROWS * 31 // 32)))
-    return cut(d.repartition(parts).mapInArrow(pack, "block bigint, ids binary, m binary")), n * (dims or 1) * np.dtype(dtype).itemsize, dtype
+    with _dropped_shuffles(df.sparkSession):
+        stored = cut(d.repartition(parts).mapInArrow(pack, "block bigint, ids binary, m binary"))
+    return stored, n * (dims or 1) * np.dtype(dtype).itemsize, dtype
 
 
 def _met(batches, kinds: tuple):

@@ -102,6 +102,28 @@ def test_total_of_blocks_that_are_not_copied(vecs):
     assert got.n == 230 * 229 // 2 and got.total == pytest.approx(np.triu(d).sum(), rel=1e-12)
 
 
+def _shuffle_files(spark) -> set[str]:
+    """The files of shuffles that the session holds on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+def _left_by(spark, run) -> int:
+    """How many shuffle files are left when ``run`` has made a DataFrame, which isn't executed yet."""
+    before = _shuffle_files(spark)
+    held = run()
+    for _ in range(50):  # files go in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert held.columns
+    return len(left)
+
+
+def test_total_leaves_its_rows_once_on_disk(spark, vecs):
+    assert _left_by(spark, lambda: search.pairwise_total(vecs[0])) == 0
+
+
 def test_similarity_of_blocks_that_are_not_copied(vecs):
     df, d = vecs
     for other in (df, df.where("vec_id >= 0 or vec_id is null")):
