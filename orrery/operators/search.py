@@ -120,7 +120,7 @@ def nearest(metric: str, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids:
         most = None if limit is None else limit[lo : lo + step]
         if most is not None and np.isfinite(most).all():
             most = np.nextafter(((most**2 if metric == "l2" else most) + slack).astype(s.dtype), np.array(np.inf, s.dtype))
-            r, c = np.nonzero(s <= most[:, None])
+            r, c = kernels.places(s <= most[:, None])
             ok = np.isfinite(s[r, c])
             if skip_same:
                 ok &= q_ids[r + lo] != x_ids[c]
@@ -130,9 +130,9 @@ def nearest(metric: str, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids:
             if skip_same:
                 s[q_ids[lo : lo + step, None] == x_ids[None, :]] = np.inf
             if s.shape[1] > k:
-                r, c = np.nonzero((s <= np.partition(s, k - 1, axis=1)[:, k - 1 : k] + np.array(slack, s.dtype)) & np.isfinite(s))
+                r, c = kernels.places((s <= np.partition(s, k - 1, axis=1)[:, k - 1 : k] + np.array(slack, s.dtype)) & np.isfinite(s))
             else:
-                r, c = np.nonzero(np.isfinite(s))
+                r, c = kernels.places(np.isfinite(s))
         size = max(1, MATRIX // max(1, q.shape[1]))
         d = [_exactly(metric, part[r[i : i + size]], x[c[i : i + size]]) for i in range(0, len(r), size)]
         found.append(_best(r + lo, x_ids[c], np.concatenate(d) if d else np.zeros(0), k))
@@ -185,23 +185,26 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", ve
 
         found = b.mapInArrow(run, _FOUND)
     else:
-        # Neither side goes to the driver, and no row is copied: blocks of queries meet the blocks of a part of the rows
-        # one after another, and only a query's k nearest of that part go on.
+        # Neither side goes to the driver, and no row is copied: a task holds some blocks of queries, and the rows stream
+        # past them, all of them once there are blocks of queries for every core. So k rows a query go on, however
+        # many rows there are.
         def meet(met):
-            at, ids, best, limit = None, None, _NONE, None
-            for block, q_ids, m, _, x_ids, x in met:
-                if block != at:
-                    if at is not None:
-                        yield _found(ids, best)
-                    at, ids, best, limit = block, q_ids, _NONE, None
+            held = {}
+            for _, x_ids, x, block, ids, m in met:
+                ids, best, limit = held.get(block) or (ids.copy(), _NONE, None)
                 new = nearest(metric, m, ids, x, x_ids, k, exclude_self, limit)
                 best = _best(*[np.concatenate(z) for z in zip(best, new, strict=True)], k)
-                limit = _limits(best, len(ids), k)
-            if at is not None:
+                held[block] = ids, best, _limits(best, len(ids), k)
+            for ids, best, _ in held.values():
                 yield _found(ids, best)
 
-        left = _packed(queries, vector, id_col)
-        found = _block_pairs(left, left if base is queries else _packed(base, vector, id_col), meet, _FOUND)
+        right = _packed(queries, vector, id_col)
+        left = right if base is queries else _packed(base, vector, id_col)
+        cores = spark.sparkContext.defaultParallelism
+        # Blocks differ by a few rows, so the number of parts of whole blocks follows from bytes.
+        blocks = max(1, -(-n // BLOCK_ROWS))
+        parts = min(blocks, max(4 * cores, -(-(right[1] + 24 * k * n) // QUERY_BYTES)))
+        found = _block_pairs(left, right, meet, _FOUND, held=parts, streams=-(-2 * cores // parts))
     w = W.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -217,6 +220,8 @@ def _found(ids: np.ndarray, best: tuple) -> pa.RecordBatch:
 BLOCK_ROWS = 4096
 #: Bytes of vectors of one side that a task holds, and sends to Python at a time.
 SIDE_BYTES = 16 << 20
+#: Bytes of queries, and of what was found for them, that a task of a kNN join holds.
+QUERY_BYTES = 4 << 20
 
 
 @contextmanager
@@ -279,12 +284,14 @@ def _met(batches, kinds: tuple):
             yield tuple(out)
 
 
-def _block_pairs(left: tuple, right: tuple, run, schema: str, once: bool = False) -> DataFrame:
+def _block_pairs(left: tuple, right: tuple, run, schema: str, once: bool = False, held: int | None = None, streams: int | None = None) -> DataFrame:
     """``run`` (an iterator as of :func:`_met`, which gives record batches) on each block of the left side against the
     blocks of a part of the right one; with ``once``, of one side with itself, on each two blocks once. Tasks read the
-    stored blocks: nothing is shuffled, and neither side is ever whole in one place."""
+    stored blocks: nothing is shuffled, and neither side is ever whole in one place. ``held``: the number of parts of
+    the right side, which tasks hold; ``streams``: that of the left one, if not each block is one."""
     (a, _, kind_a), (b, size, kind_b) = left, right
-    a, b = a.toDF("block_a", "ids_a", "m_a"), b.coalesce(max(1, -(-size // SIDE_BYTES))).toDF("block_b", "ids_b", "m_b")
+    a = a if streams is None else a.coalesce(max(1, streams))
+    a, b = a.toDF("block_a", "ids_a", "m_a"), b.coalesce(held or max(1, -(-size // SIDE_BYTES))).toDF("block_b", "ids_b", "m_b")
     met = a.hint("shuffle_replicate_nl").join(b, F.col("block_a") <= F.col("block_b")) if once else a.hint("shuffle_replicate_nl").crossJoin(b)
     return met.mapInArrow(lambda batches: run(_met(batches, (kind_a, kind_b))), schema)
 

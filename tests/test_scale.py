@@ -154,6 +154,34 @@ def test_gcn_sums_mapped_features(spark):
         assert np.allclose(r.v, np.maximum(m @ w + b, 0))
 
 
+def _shuffled(plan) -> int:
+    """Rows that the exchanges of a plan that has run wrote."""
+    kind, rows = plan.getClass().getSimpleName(), 0
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled(plan.plan())
+    if kind == "ShuffleExchangeExec":
+        rows = plan.metrics().get("shuffleRecordsWritten").get().value()
+    return rows + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_sage_neighbours_shuffle_k_rows_a_query(spark, monkeypatch):
+    """However many blocks there are, not k rows of each part of the table."""
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(search, "SIDE_BYTES", 2000)
+    monkeypatch.setattr(search, "QUERY_BYTES", 2000, raising=False)
+    x = _points(1500, 9).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    near = search.knn_join(df, df, 5)
+    got = {(r.query_id, r["rank"]): r.id for r in near.collect()}
+    d = np.linalg.norm(x[:, None].astype(float) - x[None], axis=-1)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, n + 1): int(j) for i in range(1500) for n, j in enumerate(np.lexsort((np.arange(1500), d[i]))[:5])}
+    assert _shuffled(near._jdf.queryExecution().executedPlan()) == 5 * 1500
+
+
 def test_sage_averages_mapped_features(spark):
     x, feats, df, edges = _chain(spark)
     a, b = np.random.default_rng(6).normal(size=(2, 6, 3))
