@@ -309,11 +309,11 @@ def _within(metric: str, q: np.ndarray, x: np.ndarray, threshold: float):
         part = q[lo : lo + step]
         if metric == "cosine":
             least = 1 - threshold - 16 * (q.shape[1] + 8) * float(np.finfo(np.float32).eps)
-            r, c = np.nonzero(u[lo : lo + step] @ w.T >= np.float32(least))
+            r, c = kernels.places(u[lo : lo + step] @ w.T >= np.float32(least))
         else:
             s, slack = _rough(metric, part, x)
             most = (max(threshold, 0.0) ** 2 if metric == "l2" else threshold) + slack
-            r, c = np.nonzero(s <= np.nextafter(s.dtype.type(most), s.dtype.type(np.inf)))
+            r, c = kernels.places(s <= np.nextafter(s.dtype.type(most), s.dtype.type(np.inf)))
         for i in range(0, len(r), size):
             a, b = r[i : i + size], c[i : i + size]
             d = _exactly(metric, part[a], x[b])

@@ -124,6 +124,12 @@ def test_total_leaves_its_rows_once_on_disk(spark, vecs):
     assert _left_by(spark, lambda: search.pairwise_total(vecs[0])) == 0
 
 
+def test_similarity_leaves_its_rows_once_on_disk(spark, vecs):
+    df = vecs[0]
+    for other in (df, df.where("vec_id >= 0 or vec_id is null")):
+        assert _left_by(spark, lambda: search.similarity_join(df, other, 0.5)) == 0  # noqa: B023
+
+
 def test_similarity_of_blocks_that_are_not_copied(vecs):
     df, d = vecs
     for other in (df, df.where("vec_id >= 0 or vec_id is null")):
